@@ -1,5 +1,5 @@
 """The modules that register queries."""
 
-from . import packing, quality_rules
+from . import ann, language_id, packing, quality_classifier, quality_rules, url_filters
 
-MODULES = (packing, quality_rules)
+MODULES = (packing, quality_rules, language_id, url_filters, ann, quality_classifier)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import bucket, scan, table
 from .language_id import sample
 
-LEVEL = 3
+LEVEL = 5
+SEGMENT = 1024
 
 
 @dataclass
@@ -35,7 +36,12 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 class Sizer:
-    """Compressed sizes of whole texts under both dictionaries."""
+    """Compressed sizes of whole texts under both dictionaries.
+
+    A text is compressed in segments of SEGMENT bytes, each on its own, so that a long text does not become its own
+    dictionary; the difference is divided by the plain size, so that what either dictionary packs to nothing (one
+    phrase over and over) counts as explained by neither.
+    """
 
     def __init__(self, good: bytes, bad: bytes):
         self.by = []
@@ -45,12 +51,13 @@ class Sizer:
             self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False))
 
     def difference(self, text: str | None) -> float | None:
-        """(size under bad - size under good) / (sum of both), above 0 if good explains it better; None for an empty text."""
+        """(size under bad - size under good) / plain size, above 0 if good explains it better; None for an empty text."""
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw.strip():
             return None
-        good, bad = (len(c.compress(raw)) for c in self.by)
-        return (bad - good) / (bad + good)
+        parts = [raw[a : a + SEGMENT] for a in range(0, len(raw), SEGMENT)]
+        good, bad = (sum(len(c.compress(x)) for x in parts) for c in self.by)
+        return (bad - good) / len(raw)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
@@ -66,7 +73,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
     return [b[2] for b in blocks], [b[0] for b in blocks]
 
 
-def train(rows: list[tuple[str, str]], prior: float, size: int = 96 << 10) -> Model | None:
+def train(rows: list[tuple[str, str]], prior: float, size: int = 256 << 10) -> Model | None:
     """Half of the rows of each label make the dictionaries, the other half the calibration, weighted to the prior."""
     by = {y: [t.encode("utf-8", "surrogatepass") for t, z in rows if z == y] for y in ("0", "1")}
     if min(map(len, by.values())) < 2:

@@ -335,11 +335,16 @@ def _links(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, rep
     placed = placed.select("id", "component", near.alias("near"), code(F.col("class"), F.pmod(F.xxhash64("id"), count)).alias("leaf"))
     others = F.flatten(F.transform("near", lambda p: F.transform(F.sequence(F.lit(0).cast("long"), p["leaves"] - 1), lambda x: code(p["class"], x))))
     units = placed.select("id", "component", "leaf", F.explode(others).alias("other"))
-    # a leaf with itself is a unit of its own only where it is the family's only leaf pair or nothing else covers it
     units = units.select("id", "leaf", F.xxhash64("component", F.least("leaf", "other"), F.greatest("leaf", "other")).alias("unit"))
     return _bucketed(units.join(sets, "id"), "unit", links_in_unit, "a long, b long")
 
 
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, that of the smallest id; rows with a null id and texts without words stay."""
+    kept = join_components(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
 

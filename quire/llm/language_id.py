@@ -127,25 +127,36 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], li
     return langs, scores
 
 
-def sample(docs: DataFrame, label: str, per_label: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, str]]:
-    """About per_label rows of each label, as (text, label): the bounded sample on which a model is fitted.
+def sample(labels: DataFrame, docs: DataFrame, per_label: int, seed: int) -> list[tuple[str, str]]:
+    """At most per_label distinct texts of each label, as (text, label): the bounded sample on which a model is fitted.
 
-    Counts by label give each label a share; rows are kept by a seeded hash of id and text under that share, with twice the
-    margin, then the smallest hashes win, each distinct text once.  Rows with null text or label are left out.
+    labels: columns i (id) and y (label); docs: i and t (text).  Counts by label give each label a share; ids are kept by a seeded
+    hash under that share, with twice the margin, and the smallest hashes win.  Texts are then fetched by a broadcast of those
+    ids, at most 2 * per_label for each label.  Rows with null text or label are left out.
     """
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(label).isNotNull()).select(F.col(label).cast("string").alias("y"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    rows = labels.filter(F.col("y").isNotNull() & F.col("i").isNotNull()).select("i", F.col("y").cast("string").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30))
     share = F.lit(0)
     for y, n in counts.items():
-        share = F.when(F.col("y") == y, F.lit(int(min(1.0, 2 * per_label / n) * (1 << 30)))).otherwise(share)
-    got = rows.withColumn("d", draw).filter(F.col("d") < share).collect()
-    out, taken, seen = [], dict.fromkeys(counts, 0), set()
-    for r in sorted(got, key=lambda r: (r["d"], r["t"])):
-        if taken[r["y"]] < per_label and r["t"] not in seen:
-            seen.add(r["t"])
+        share = F.when(F.col("y") == y, F.lit(int(min(1.0, 3 * per_label / n) * (1 << 30)))).otherwise(share)
+    ids = rows.withColumn("d", F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30))).filter(F.col("d") < share).collect()
+    label, taken = {}, dict.fromkeys(counts, 0)
+    for r in sorted(ids, key=lambda r: (r["d"], r["i"])):
+        if r["i"] not in label and taken[r["y"]] < 2 * per_label:
+            label[r["i"]] = r["y"]
             taken[r["y"]] += 1
-            out.append((r["t"], r["y"]))
+    if not label:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in label], rows.select("i").schema)
+    text: dict = {}
+    for r in docs.select("i", "t").filter("t is not null").join(F.broadcast(wanted), "i").collect():
+        text[r["i"]] = min(text.get(r["i"], r["t"]), r["t"])
+    out, seen, taken = [], set(), dict.fromkeys(counts, 0)
+    for i, y in label.items():
+        if i in text and text[i] not in seen and taken[y] < per_label:
+            seen.add(text[i])
+            taken[y] += 1
+            out.append((text[i], y))
     return out
 
 
@@ -155,7 +166,8 @@ def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str
     learn_from: a condition for rows whose lang_col may be learnt from; at most per_language of each language are
     collected.  Null text, text without a letter, or nothing to learn from: UNKNOWN with score 0.  Ties go to the language first in order.
     """
-    rows = sample(docs.filter(learn_from), lang_col, per_language, seed, id_col, text_col)
+    known = docs.filter(learn_from).select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"))
+    rows = sample(known, docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), per_language, seed)
     model = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in rows], [y for _, y in rows]) if rows else None)
 
     def run(t: pa.Table) -> pa.Table:

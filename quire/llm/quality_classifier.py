@@ -105,11 +105,10 @@ def score_all(docs: DataFrame, marks: DataFrame, learn_from, label: str = "quali
     rows of each label are collected.  Empty and null texts get the prior, the share of label 1; so do all texts if one label has
     fewer than two rows (0.5 without labels).
     """
-    known = marks.filter(learn_from & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("i")).agg(F.max(label).alias("label"))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(known, "i")
-    got = known.agg(F.avg("label").alias("p")).collect()[0]["p"]
+    known = marks.filter(learn_from & F.col(label).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label).alias("y"))
+    got = known.agg(F.avg("y").alias("p")).collect()[0]["p"]
     prior = min(0.99, max(0.01, 0.5 if got is None else float(got)))
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(rows, "label", per_label, seed, "i", "t"), prior))
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(known, docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), per_label, seed), prior))
 
     def run(t: pa.Table) -> pa.Table:
         m = model.value

@@ -46,13 +46,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def grams(host: Column, path: Column) -> Column:
-    """The trigram codes of a URL, one for each character and the end."""
-    text = F.concat(host, F.translate(path, UPPER, LOWER))
-    symbols = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.call_function("instr", F.lit(SYMBOLS), F.substring(text, i, F.lit(1))))
-    symbols = F.when(F.length(text) > 0, symbols).otherwise(F.array().cast("array<int>"))
-    row = F.concat(F.array(F.lit(41), F.lit(41)), symbols, F.array(F.lit(42)))
-    return F.transform(F.sequence(F.lit(0), F.length(text)), lambda i: F.get(row, i) * BASE * BASE + F.get(row, i + 1) * BASE + F.get(row, i + 2))
+def spelled(host: Column, path: Column) -> Column:
+    """What the models read of a URL."""
+    return F.concat(host, F.translate(path, UPPER, LOWER))
+
+
+def grams(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and gram: the code of each character of `spelled`, and of the end, with the two symbols before it; one row with null for a null text."""
+    symbol = lambda i: F.call_function("instr", F.lit(SYMBOLS), F.substring(F.col("spelled"), i, F.lit(1)))
+    at = F.col("_at")
+    long = rows.select(*keep, "spelled", F.explode_outer(F.sequence(F.lit(1), F.length("spelled") + 1)).alias("_at"))
+    z = F.when(at <= F.length("spelled"), symbol(at)).otherwise(42)
+    gram = F.when(at > 2, symbol(at - 2)).otherwise(41) * (BASE * BASE) + F.when(at > 1, symbol(at - 1)).otherwise(41) * BASE + z
+    return long.select(*keep, F.when(at.isNotNull(), gram).alias("gram"))
 
 
 def weights(trained: DataFrame) -> DataFrame:
@@ -100,19 +106,19 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    labelled = base.filter("rule is not null").select((F.col("ruled") == "allow").alias("accepted"), F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD).alias("held"), grams(F.col("host"), F.col("path")).alias("grams"))
-    table_ = F.broadcast(weights(labelled.filter("not held").select("accepted", F.explode("grams").alias("gram"))))
+    labelled = base.filter("rule is not null").select((F.col("ruled") == "allow").alias("accepted"), F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD).alias("held"), spelled(F.col("host"), F.col("path")).alias("spelled"))
+    table_ = F.broadcast(weights(grams(labelled.filter("not held"), ["accepted"])))
 
     def scored(rows: DataFrame, keep: list[str]) -> DataFrame:
         """Adds score; the sum of a row's grams is complete before the exchange, on a key of its own."""
-        long = rows.withColumn("uid", F.monotonically_increasing_id()).select("uid", *keep, F.explode_outer("grams").alias("gram"))
+        long = grams(rows.withColumn("uid", F.monotonically_increasing_id()), ["uid", *keep])
         return long.join(table_, "gram", "left").groupBy("uid", *keep).agg(F.sum("weight").alias("weight_sum"), (F.sum("weight") / F.count("gram")).alias("score")).drop("uid")
 
     held = scored(labelled.filter("held and accepted"), ["accepted"]).select(F.floor(F.col("score") / 10_000.0).cast("long").alias("bin"))
     bins = held.groupBy("bin").agg(F.count("*").alias("n"))
     below = bins.withColumn("below", F.sum("n").over(Window.orderBy("bin")) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
     cut = below.filter(F.col("below") <= MISSED * F.col("total")).agg(F.coalesce(F.max("bin") * 10_000, F.lit(0)).alias("threshold"))
-    rows = base.withColumn("grams", F.when(F.col("rule").isNull(), grams(F.col("host"), F.col("path"))))
+    rows = base.withColumn("spelled", F.when(F.col("rule").isNull(), spelled(F.col("host"), F.col("path"))))
     out = scored(rows, ["page_id", "url", "host", "path", "rule", "ruled"])
     out = out.withColumn("threshold", cut.scalar())
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")).alias("verdict"), "weight_sum")

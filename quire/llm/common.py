@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,23 +57,35 @@ def _sweep() -> None:
             return
 
 
-def scan(df: DataFrame, columns: list, f: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
-    """Apply f to Arrow batches of the given columns; f sees whole rows and keeps nothing between batches."""
+def slices(t: pa.Table, size: int) -> Iterator[pa.Table]:
+    """Runs of rows whose column text holds about size bytes at most; a longer text stands alone."""
+    if "text" not in t.column_names:
+        yield t
+        return
+    total = np.cumsum(pc.fill_null(pc.binary_length(t["text"]), 0).to_numpy())
+    a = 0
+    while a < t.num_rows:
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + size, "right")))
+        yield t.slice(a, b - a)
+        a = b
+
+
+def scan(df: DataFrame, columns: list, f: Callable[[pa.Table], pa.Table | None], schema, size: int = 6 << 20) -> DataFrame:
+    """Apply f to Arrow slices of the given columns, of about size bytes of text; f sees whole rows and keeps nothing between calls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                out = f(pa.Table.from_batches([b]))
-                if out is not None:
-                    yield from out.to_batches()
+                for part in slices(pa.Table.from_batches([b]), size):
+                    if (out := f(part)) is not None:
+                        yield from out.to_batches()
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def parts_for(df: DataFrame, rows: int, per_part: int) -> int:
-    """Partitions for so many rows: never fewer than the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows // per_part))
+def growing(df: DataFrame) -> DataFrame:
+    """Marks a side of a join that grows with the corpus: it is merged, never broadcast, at every size."""
+    return df.hint("merge")
 
 
 def bucket(column: str | object, mod: int):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import growing, table, written
 
 WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
 FACTOR, PRIME = 69069, 2147483647
@@ -46,11 +46,11 @@ def removed_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     chunks = written(cut.select("_id", "_hash", F.inline(multi)).drop("n"))
     # written, so that both sides of the join are plain exchanges and a hot digest can be split at run time
     repeated = written(chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("_id").alias("holder")).filter("n > 1").drop("n"))
-    found = written(chunks.join(repeated, "digest"))
+    found = written(chunks.join(growing(repeated), "digest"))
 
     # bytes: each repeated digest must stand for one text only
     listed = found.groupBy("_id", "_hash").agg(F.collect_set(F.struct("k", "digest")).alias("_list"))
-    own = rows.join(listed.withColumnsRenamed({"_id": "_i", "_hash": "_h"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).drop("_i", "_h")
+    own = rows.join(growing(listed.withColumnsRenamed({"_id": "_i", "_hash": "_h"})), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).drop("_i", "_h")
     own = chunked(own, "_text").drop("_text")
     texts = own.select("_id", "_hash", F.inline(F.transform("_list", lambda c: F.struct(c["k"].alias("k"), c["digest"].alias("digest"), chunk_text(F.element_at("_chunks", c["k"] + 1)["a"], F.element_at("_chunks", c["k"] + 1)["b"]).alias("bytes")))))
     clash = written(texts.select("digest", "bytes").distinct().groupBy("digest").count().filter("count > 1").select("digest"))
@@ -75,7 +75,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = removed_chunks(docs, id_col, text_col).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    rows = rows.join(lost, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
+    rows = rows.join(growing(lost), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
     keep = rows.filter("_lost is null").select("_row", "_text", F.size(F.split(F.coalesce("_text", F.lit("")), "\n", -1)).alias("_n"), F.lit(0).alias("_gone"))
     cut = chunked(rows.filter("_lost is not null").select("_row", "_text", "_lost"), "_text").drop("_text")
     cut = _step(cut, _left=F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "_lost"))

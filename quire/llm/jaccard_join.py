@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, scan, table, written
+from .common import growing, mix, scan, table, written
 from .components import components
 
 WORDS = 5
@@ -298,27 +298,27 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal blocks of several bands are one block
     blocks = written(shared.groupBy("low", "high", "m", "x").agg(F.min("key").alias("key")))
     pairs = blocks.filter("m = 2").select(F.col("key").alias("block"), F.explode(F.array("low", "high")).alias("id"))
-    several = written(keys.join(blocks.filter("m > 2").select("key", "m"), "key"))
+    several = written(keys.join(growing(blocks.filter("m > 2").select("key", "m")), "key"))
     grouped = several.filter(F.col("m") <= LEAF).select(F.col("key").alias("block"), "id")
-    in_blocks = written(pairs.unionByName(grouped)).join(reps.select("id", "n", "point"), "id")
+    in_blocks = written(pairs.unionByName(grouped)).join(growing(reps.select("id", "n", "point")), "id")
     near = _bucketed(in_blocks, "block", near_in_block, "a long, b long")
     # large blocks: linked sizes differ by a quarter at most, so stars within neighbouring classes of size lose no link
     size_class = F.floor(F.log("n") / np.log(1.25)).cast("int")
     windows = written(several.filter(F.col("m") > LEAF).select("key", "id", F.explode(F.array(size_class, size_class + 1)).alias("w")))
     hubs = written(windows.groupBy("key", "w").agg(F.min("id").alias("hub")))
-    stars = windows.join(hubs, ["key", "w"]).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    stars = windows.join(growing(hubs), ["key", "w"]).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     families = written(components(near.unionByName(stars)))
 
     linked = _links(docs, families, id_col, text_col, reps)
     found = written(components(linked))
     named = classes.join(found, classes["rep"] == found["id"], "left").select("n", "d", "e", F.coalesce("component", "rep").alias("component"))
-    own = rows.select("id", "n", "d", "e").join(written(named), ["n", "d", "e"], "left")
+    own = rows.select("id", "n", "d", "e").join(growing(written(named)), ["n", "d", "e"], "left")
     return own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def _links(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, reps: DataFrame) -> DataFrame:
     """Verified spanning links of every family, from the whole sets of its members."""
-    members = families.join(reps.select("id", "n", "d", "e"), "id").withColumn("class", F.floor(F.log("n") / np.log(1.25)).cast("long"))
+    members = families.join(growing(reps.select("id", "n")), "id").withColumn("class", F.floor(F.log("n") / np.log(1.25)).cast("long"))
     members = written(members.select("id", "component", "class"))
     per_class = members.groupBy("component", "class").agg(F.ceil(F.count("*") / LEAF).cast("long").alias("leaves"))
     plan = written(per_class.groupBy("component").agg(F.collect_list(F.struct("class", "leaves")).alias("plan")))
@@ -327,7 +327,7 @@ def _links(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, rep
     def tokens(t: pa.Table) -> pa.Table:
         return pa.table([t["id"], pa.array([shingles(x).astype("<u8").tobytes() for x in t["text"].to_pylist()], pa.binary())], names=["id", "tokens"])
 
-    sets = scan(texts.join(members.select("id").distinct(), "id", "left_semi"), ["id", "text"], tokens, "id long, tokens binary")
+    sets = scan(texts.join(growing(members.select("id").distinct()), "id", "left_semi"), ["id", "text"], tokens, "id long, tokens binary")
     placed = members.join(plan, "component")
     near = F.filter("plan", lambda p: F.abs(p["class"] - F.col("class")) <= 1)
     count = F.element_at(F.filter("plan", lambda p: p["class"] == F.col("class")), 1)["leaves"]
@@ -336,13 +336,13 @@ def _links(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, rep
     others = F.flatten(F.transform("near", lambda p: F.transform(F.sequence(F.lit(0).cast("long"), p["leaves"] - 1), lambda x: code(p["class"], x))))
     units = placed.select("id", "component", "leaf", F.explode(others).alias("other"))
     units = units.select("id", "leaf", F.xxhash64("component", F.least("leaf", "other"), F.greatest("leaf", "other")).alias("unit"))
-    return _bucketed(units.join(sets, "id"), "unit", links_in_unit, "a long, b long")
+    return _bucketed(units.join(growing(sets), "id"), "unit", links_in_unit, "a long, b long")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, that of the smallest id; rows with a null id and texts without words stay."""
     kept = join_components(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    return docs.join(growing(kept), F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scan, table, written
+from .common import growing, scan, table, written
 
 #: A chunk ends where the top BITS bits of the hash of the last 32 bytes are 0, LEAST bytes or more after the last end.
 BITS, LEAST = 5, 16
@@ -112,7 +112,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _rows(docs, id_col, text_col)
     # two written tables: plain exchanges stand on both sides of the join, and a hot digest can be split at run time
     repeated = written(chunks(rows, False).groupBy("d", "e").agg(F.count("*").alias("n"), F.min("id").alias("holder")).filter("n > 1").drop("n"))
-    found = chunks(rows, True).join(repeated, ["d", "e"])
+    found = chunks(rows, True).join(growing(repeated), ["d", "e"])
     listed = found.groupBy("id", "hash").agg(F.collect_list(F.struct("k", "a", "b", "d", "e", "holder")).alias("found"))
 
     def run(t: pa.Table) -> pa.Table:
@@ -137,7 +137,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spans = repeated_spans(docs, id_col, text_col, span).withColumnsRenamed({"id": "_i", "hash": "_h"})
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    rows = rows.join(spans, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left").select("_row", "_text", "spans")
+    rows = rows.join(growing(spans), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left").select("_row", "_text", "spans")
     keep = rows.filter("spans is null").select("_row", "_text")
 
     def run(t: pa.Table) -> pa.Table:

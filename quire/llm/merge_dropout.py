@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ SPACE = "▁"
 OWN = "\ud800"
 #: Words of more characters than this run their agenda alone, in a heap: their number of rounds would hold up the others.
 WIDE = 40
+#: Bytes of text in one call: the more, the more occurrences share a word's agenda.
+SLICE = 12 << 20
 
 
 @dataclass
@@ -94,36 +97,46 @@ def skipped(key: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.nda
     return mix(key ^ mix(spot + np.uint64(0x9E3779B97F4A7C15))) < np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
 
 
-def agendas(words: list[str], keys: np.ndarray, v: Vocabulary, rate: float) -> list[list[int]]:
-    """Piece ids of each word; -c-2 stands for a character c that is no piece.  keys: the words' keyed hashes."""
-    out: list[list[int]] = [[]] * len(words)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    a = 0
+def agendas(words: list[str], keys: np.ndarray, v: Vocabulary, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece ids of all words one after another, and where each word's begin and how many they are; -c-2 stands for a character c that is no piece."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    begin, size, flat, total, a = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0, 0
     while a < len(order):
-        width = max(1, len(words[order[a]]))
-        b = a
-        while b < len(order) and len(words[order[b]]) <= max(8, width + width // 4) and b - a < 65_536:
-            b += 1
+        width = max(1, int(lengths[order[a]]))
+        b = min(int(np.searchsorted(lengths[order], max(8, width + width // 4), "right")), a + 65_536)
         part = order[a:b]
-        for i, ids in zip(part, _side_by_side([words[i] for i in part], keys[part], v, rate) if width <= WIDE else [_alone(words[i], keys[i], v, rate) for i in part], strict=True):
-            out[i] = ids
+        own = [words[i] for i in part]
+        if width <= WIDE:
+            ids, counts = _side_by_side(own, lengths[part], keys[part], v, rate)
+        else:
+            each = [_alone(w, k, v, rate) for w, k in zip(own, keys[part], strict=True)]
+            ids, counts = np.concatenate([np.array(x, np.int64) for x in each]), np.array([len(x) for x in each])
+        size[part], begin[part] = counts, total + np.cumsum(counts) - counts
+        flat.append(ids)
+        total += len(ids)
         a = b
-    return out
+    return np.concatenate(flat) if flat else np.zeros(0, np.int64), begin, size
 
 
 def _start(word: str, v: Vocabulary) -> list[int]:
     return [v.ids.get(c, -ord(c) - 2) for c in word]
 
 
-def _side_by_side(words: list[str], keys: np.ndarray, v: Vocabulary, rate: float) -> list[list[int]]:
-    n, w = len(words), max(map(len, words))
-    chars = np.zeros((n, w), np.uint32)
-    for i, x in enumerate(words):
-        chars[i, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(x) for x in words])
-    kinds, inverse = np.unique(chars, return_inverse=True)
-    table_ = np.array([v.ids.get(chr(c), -int(c) - 2) for c in kinds], np.int64)
-    sym = table_[inverse].reshape(n, w)
+def _symbols(chars: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """The piece of each character, looked up once for each different one."""
+    seen = np.zeros(0x110000, bool)
+    seen[chars] = True
+    kinds = np.flatnonzero(seen)
+    to = np.zeros(int(kinds[-1]) + 1 if len(kinds) else 1, np.int64)
+    to[kinds] = [v.ids.get(chr(c), -int(c) - 2) for c in kinds]
+    return to[chars]
+
+
+def _side_by_side(words: list[str], lengths: np.ndarray, keys: np.ndarray, v: Vocabulary, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    n, w = len(words), int(lengths.max())
+    padded = "".join([x.ljust(w, "\0") for x in words]).encode("utf-32-le", "surrogatepass")
+    sym = _symbols(np.frombuffer(padded, np.uint32), v).reshape(n, w)
     end = np.tile(np.arange(1, w + 1), (n, 1))  # where the symbol that starts here ends; symbols live at their first place
     alive = np.arange(w)[None, :] < lengths[:, None]
     sym[~alive] = -1
@@ -164,10 +177,7 @@ def _side_by_side(words: list[str], keys: np.ndarray, v: Vocabulary, rate: float
         before = back[live, at]
         has = before >= 0
         look(live[has], before[has])
-    flat, counts = sym[alive], alive.sum(1)
-    ends = np.cumsum(counts)
-    flat = flat.tolist()
-    return [flat[e - c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+    return sym[alive], alive.sum(1)
 
 
 def _alone(word: str, key: np.uint64, v: Vocabulary, rate: float) -> list[int]:
@@ -209,29 +219,38 @@ def split(text: str) -> list[str]:
     return _words.findall(SPACE + text.replace(SPACE, OWN).replace(" ", SPACE)) if text else []
 
 
+def _bytes(pool: np.ndarray, start: np.ndarray, count: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte fallback: characters that are no piece become the pieces of their UTF-8 bytes."""
+    odd = np.flatnonzero(pool < 0)
+    if not len(odd):
+        return pool, start, count
+    raw = {i: [v.bytes_at + b for b in chr(-i - 2).replace(OWN, SPACE).encode()] for i in np.unique(pool[odd]).tolist()}
+    width = np.ones(len(pool), np.int64)
+    width[odd] = [len(raw[i]) for i in pool[odd].tolist()]
+    ends = np.cumsum(width)
+    out = np.repeat(pool, width)
+    spots = np.repeat(ends[odd] - width[odd], width[odd]) + np.concatenate([np.arange(n) for n in width[odd]])
+    out[spots] = np.concatenate([raw[i] for i in pool[odd].tolist()])
+    before = np.concatenate(([0], ends))
+    return out, before[start], before[start + count] - before[start]
+
+
 def encode(texts: list[str | None], streams: list[int], v: Vocabulary, rate: float, seed: int) -> list[np.ndarray]:
     """Ids of whole texts.  The same word gets the same pieces within a stream and seed, others elsewhere."""
     cut = [split(t or "") for t in texts]
     number: dict[tuple[int, str], int] = {}
     of = [[number.setdefault((s, w), len(number)) for w in ws] for s, ws in zip(streams, cut, strict=True)]
     words = [w for _, w in number]
-    base = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) | zlib.adler32(w.encode("utf-8", "surrogatepass")) << 32 for w in words), np.uint64, len(words))
+    base = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
     stream = np.fromiter((s for s, _ in number), np.uint64, len(words))
     keys = mix(base ^ mix(stream * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)))
-    done = agendas(words, keys, v, rate) if words else []
-    flat, ends = [], [0]
-    for ids in done:
-        for i in ids:
-            if i < 0:  # byte fallback
-                flat += [v.bytes_at + b for b in chr(-i - 2).replace(OWN, SPACE).encode()]
-            else:
-                flat.append(i)
-        ends.append(len(flat))
-    pool, start = np.array(flat, "<u4"), np.array(ends)
+    pool, start, count = agendas(words, keys, v, rate)
+    pool, start, count = _bytes(pool, start, count, v)
+    pool = pool.astype("<u4")
     out = []
     for ws in of:
         at = np.array(ws, np.int64)
-        size = start[at + 1] - start[at]
+        size = count[at]
         total = np.cumsum(size)
         out.append(pool[np.repeat(start[at] - total + size, size) + np.arange(total[-1] if len(total) else 0)])
     return out
@@ -259,7 +278,7 @@ def segment(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, strea
         return pa.table([t["id"], col, pa.array([decode(x, v) for x in ids], pa.string())], names=["doc_id", "ids", "text_back"])
 
     stream = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(streams)).alias("stream")
-    return scan(docs, [F.col(id_col).cast("long").alias("id"), stream, F.col(text_col).alias("text")], run, "doc_id long, ids array<int>, text_back string")
+    return scan(docs, [F.col(id_col).cast("long").alias("id"), stream, F.col(text_col).alias("text")], run, "doc_id long, ids array<int>, text_back string", SLICE)
 
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +297,7 @@ def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     stream = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(streams)).alias("stream")
-    return scan(docs, [F.col("doc_id").alias("id"), stream, "text"], run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    return scan(docs, [F.col("doc_id").alias("id"), stream, "text"], run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean", SLICE)
 
 
 QUERIES = {"op4_merge_dropout": op4_merge_dropout}

@@ -81,8 +81,7 @@ def weights(trained: DataFrame) -> DataFrame:
             .withColumn(f"{c}_y", F.sum(c).over(Window.partitionBy("y")))
         )
     ends = counts.groupBy("z").agg(F.sum("a").alias("a_z"), F.sum("r").alias("r_z"))
-    totals = ends.agg(F.sum("a_z").alias("a_n"), F.sum("r_z").alias("r_n"))
-    counts = counts.join(F.broadcast(ends), "z").join(F.broadcast(totals), F.lit(True))
+    counts = counts.join(F.broadcast(ends), "z").withColumns({f"{c}_n": ends.agg(F.sum(f"{c}_z")).scalar() for c in "ar"})
 
     def log_p(c: str) -> Column:
         zero = (F.col(f"{c}_z") + 1.0) / (F.col(f"{c}_n") + float(BASE))

@@ -39,7 +39,7 @@ def math_text(nodes: DataFrame) -> DataFrame:
     return found.groupBy(*KEY, F.col("m").alias("pre")).agg(F.concat(F.lit("<latex>"), text, F.lit("</latex>")).alias("value"))
 
 
-def fragments(nodes: DataFrame, runs: DataFrame, links: DataFrame, rels: DataFrame, styles: DataFrame | None, html: bool) -> DataFrame:
+def fragments(nodes: DataFrame, runs: DataFrame, rels: DataFrame, styles: DataFrame | None, html: bool) -> DataFrame:
     """doc_id, path, in_link, owner, seq, sub, brk, text, html_style: what each node adds to its paragraph, or to its child of a hyperlink.
 
     brk counts the runs begun by the row.  A row that stands on its own (T18) is followed by one (sub 1) that reopens the style it broke into.

@@ -1,15 +1,14 @@
 """From packages to paragraphs, runs, text and comments: the extraction plan.
 
-Two crossings into Python (unzip, shred) and then DataFrame work only.  `nodes` is the one table all views share; it is dealt by
-doc_id once, so that every window and join keyed by (doc_id, path, ...) needs no further exchange, and persisted on disk and
-in memory until close().
+Two crossings into Python (unzip, shred) and then DataFrame work only.  What several views share (relationships, nodes, links,
+fragments, paragraphs) is written once to the shared folder: later plans start at Parquet, read only the columns and part types
+they need, stay small for the optimiser, and survive lost executors.  close() deletes these tables.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +18,7 @@ from ..operators import address, cells, fragments, merge, numbering
 from ..sources import parts as P
 from ..sources.packages import unzip
 from ..sources.shred import shred
+from ..sources.store import drop, written
 
 KEY = ["doc_id", "path"]
 #: Markup parts; everything else in a package is left deflated.
@@ -26,22 +26,21 @@ XML_MEMBERS = r"(.*\.rels)|(.*\.xml)"
 
 
 class Extraction:
-    """The content of a table of packages (doc_id, content); every attribute is a lazy DataFrame.  S1."""
+    """The content of a table of packages (doc_id, content); attributes are DataFrames, planned on first use.  S1."""
 
-    def __init__(self, packages: DataFrame, html: bool = False, duplicate_merged_cells: bool = True, styles: dict | None = None, types: tuple[str, ...] = P.SECTIONS, persist: bool = True):
-        self.packages, self.html, self.duplicate, self.style_dim, self.types, self._persist = packages, html, duplicate_merged_cells, styles, types, persist
-        self._held: list[DataFrame] = []
+    def __init__(self, packages: DataFrame, html: bool = False, duplicate_merged_cells: bool = True, styles: dict | None = None, types: tuple[str, ...] = P.SECTIONS):
+        self.packages, self.html, self.duplicate, self.style_dim, self.types = packages, html, duplicate_merged_cells, styles, types
+        self._held: list[str] = []
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        if self._persist:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._held.append(df)
+        df, path = written(df)
+        self._held.append(path)
         return df
 
     def close(self) -> None:
-        """S3: release what is persisted."""
+        """S3: delete the tables written so far; results that are still lazy need them."""
         while self._held:
-            self._held.pop().unpersist()
+            drop(self._held.pop())
 
     def __enter__(self) -> Extraction:
         return self
@@ -66,14 +65,14 @@ class Extraction:
     @cached_property
     def part_rels(self) -> DataFrame:
         """S10."""
-        return P.rels_of_parts(P.files_of_type(self.parts, *self.types, "comments"), self.rels)
+        return self._keep(P.rels_of_parts(P.files_of_type(self.parts, *self.types, "comments"), self.rels))
 
     @cached_property
     def nodes(self) -> DataFrame:
         """Nodes of the parts wanted, with doc_id, path and type; parts that are no XML show up in errors."""
         wanted = P.files_of_type(self.parts, *self.types, "comments").select("doc_id", "path", "type").distinct()
         raw = wanted.join(self.members.filter("member is not null").withColumnRenamed("member", "path").drop("error"), KEY)
-        return self._keep(shred(raw.repartition("doc_id"), ["doc_id", "path", "type"]))
+        return self._keep(shred(raw, ["doc_id", "path", "type"]))
 
     @cached_property
     def errors(self) -> DataFrame:
@@ -85,7 +84,7 @@ class Extraction:
     def numbering(self) -> DataFrame:
         """Always word/numbering.xml."""
         raw = self.members.filter("member = 'word/numbering.xml'").withColumnRenamed("member", "path").drop("error")
-        return numbering.numbering(shred(raw, ["doc_id", "path"]).filter("error is null"))
+        return numbering.numbering(self._keep(shred(raw, ["doc_id", "path"]).filter("error is null")))
 
     # paragraphs
     @cached_property
@@ -103,7 +102,7 @@ class Extraction:
 
     @cached_property
     def _links(self) -> DataFrame:
-        return merge.merge_links(self._live, self.part_rels)
+        return self._keep(merge.merge_links(self._live, self.part_rels))
 
     @cached_property
     def _par_properties(self) -> DataFrame:
@@ -126,15 +125,15 @@ class Extraction:
         """T1-T18, A, W: one row for each paragraph before cells are merged; runs carry the place of their first text."""
         nodes = self._live
         run_map = merge.merge_runs(nodes, self._links, self._run_styles)
-        rows = fragments.fragments(nodes, run_map, self._links, self.part_rels, self._run_styles, self.html)
-        pars = numbering.bullets(self._par_properties, self.numbering, KEY)
+        rows = self._keep(fragments.fragments(nodes, run_map, self.part_rels, self._run_styles, self.html))
+        pars = self._keep(numbering.bullets(self._par_properties, self.numbering, KEY))
         rows_all = rows.filter("not in_link").unionByName(fragments.link_rows(nodes, rows, self._links)).unionByName(fragments.opening_rows(pars, nodes))
         runs = fragments.gather(rows_all).withColumnRenamed("owner", "pre")
         heading = html_style(F.map_from_arrays(F.array("style"), F.array(F.lit(None).cast("string"))), self.style_dim) if self.html else F.expr(fragments.NO_STYLE)
         out = pars.join(address.addresses(nodes), [*KEY, "pre"]).join(runs, [*KEY, "pre"], "left")
         out = out.withColumn("html_style", heading)
         none = F.expr("cast(array() as array<struct<html_style:array<string>,text:string,seq:int>>)")
-        return out.withColumn("runs", F.coalesce("runs", none))
+        return self._keep(out.withColumn("runs", F.coalesce("runs", none)))
 
     @cached_property
     def pars(self) -> DataFrame:

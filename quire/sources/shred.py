@@ -114,32 +114,31 @@ def shred(parts: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def serialise(nodes: DataFrame, keep: list[str]) -> DataFrame:
-    """Keep and bytes, each part's XML from its node rows (pre, post, name, attrs, text, tail), which may have been edited.
+    """Keep and bytes, each part's XML from its node rows, which may have been edited.
 
-    New rows may have been put between others: rows nest by their (pre, post) intervals and stand in order of pre; equal
-    positions are ordered by the column `sub`.
+    A row stands below the row whose pre is its parent, in order of (pre, sub) among its siblings; rows without a way up to the root are
+    left out.  Columns read: pre, parent, sub (array of int, optional), name, attrs, text, tail.
     """
     fields = {f.name: f.dataType.simpleString() for f in nodes.schema}
 
     def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.select(["pre", "sub", "post", "name", "attrs", "text", "tail"]).to_pylist(), key=lambda r: (r["pre"], r["sub"]))
-        out, open_ = ['<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'], []
-
-        def close() -> None:
-            r = open_.pop()
-            out.append(f"</{r['name']}>{escape(r['tail'] or '')}")
-
-        for r in rows:
-            while open_ and (open_[-1]["post"] < r["pre"] or open_[-1]["post"] == r["post"]):
-                close()
+        below: dict = {}
+        for r in sorted(t.select(["pre", "sub", "parent", "name", "attrs", "text", "tail"]).to_pylist(), key=lambda r: (r["pre"], r["sub"])):
+            below.setdefault(r["parent"], []).append(r)
+        out = ['<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n']
+        stack: list = list(reversed(below.get(None, [])[:1]))
+        while stack:
+            r = stack.pop()
+            if isinstance(r, str):
+                out.append(r)
+                continue
             attrs = "".join(f" {k}={quoteattr(v)}" for k, v in (r["attrs"] or []))
             out.append(f"<{r['name']}{attrs}>{escape(r['text'] or '')}")
-            open_.append(r)
-        while open_:
-            close()
-        first = {c: t[c].slice(0, 1) for c in keep}
-        return pa.table([*first.values(), pa.array(["".join(out).encode("utf-8", "surrogatepass")], pa.binary())], names=[*keep, "bytes"])
+            stack.append(f"</{r['name']}>{escape(r['tail'] or '')}")
+            stack += reversed(below.pop(r["pre"], []))
+        first = [t[c].slice(0, 1) for c in keep]
+        return pa.table([*first, pa.array(["".join(out).encode("utf-8", "surrogatepass")], pa.binary())], names=[*keep, "bytes"])
 
-    rows = nodes if "sub" in nodes.columns else nodes.withColumn("sub", F.lit(0))
+    rows = nodes if "sub" in nodes.columns else nodes.withColumn("sub", F.array(F.lit(0)))
     schema = ", ".join(f"{c} {fields[c]}" for c in keep) + ", bytes binary"
-    return rows.select(*keep, "pre", "sub", "post", "name", "attrs", "text", "tail").groupBy(*keep).applyInArrow(run, schema)
+    return rows.select(*keep, "pre", "sub", "parent", "name", "attrs", "text", "tail").groupBy(*keep).applyInArrow(run, schema)

@@ -36,5 +36,5 @@ def markdown(pars: DataFrame) -> DataFrame:
     rule = F.concat(F.lit("\n|"), F.array_join(F.array_repeat(F.lit("---"), F.col("n").cast("int")), "|"), F.lit("|"))
     rows = rows.withColumn("row", F.when(F.col("j") == 0, F.concat("row", rule)).otherwise(F.col("row")))
     tables = rows.groupBy("doc_id", "i").agg(_ordered("j", F.col("row"), "\n").alias("tbl"), _ordered("j", F.col("plain"), "\n\n").alias("txt"))
-    each = tables.join(is_tbl(pars), ["doc_id", "i"]).withColumn("v", F.when("is_tbl", F.col("tbl")).otherwise(F.col("txt")))
+    each = tables.join(is_tbl(pars), ["doc_id", "i"]).withColumn("v", F.when(F.col("is_tbl"), F.col("tbl")).otherwise(F.col("txt")))
     return each.groupBy("doc_id").agg(_ordered("i", F.col("v"), "\n\n").alias("markdown"))

@@ -117,10 +117,10 @@ def m1_merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(Extraction(_docs(d, "l_orderkey", B.p(F.array_join("items", ""))), html=True).runs.select("doc_id", "m", "run"))
 
 
-@query("SELECT CAST((p_partkey - 1) // 100 AS BIGINT) AS doc_id, 0 AS i, CAST(((p_partkey - 1) % 100) // 10 AS INTEGER) AS j, CAST((p_partkey - 1) % 10 AS INTEGER) AS k, 0 AS l, p_name AS text, 'document,tbl,tr,tc,p' AS lineage FROM part")
+@query("SELECT CAST(p_partkey // 100 AS BIGINT) AS doc_id, 0 AS i, CAST((p_partkey % 100) // 10 AS INTEGER) AS j, CAST(p_partkey % 10 AS INTEGER) AS k, 0 AS l, p_name AS text, 'document,tbl,tr,tc,p' AS lineage FROM part")
 def a_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in grids of ten columns."""
-    p = _table(spark, sf_dir, "part").withColumn("n", F.col("p_partkey") - 1).withColumn("doc", F.expr("n div 100")).withColumn("row", F.expr("(n % 100) div 10"))
+    p = _table(spark, sf_dir, "part").withColumn("n", F.col("p_partkey")).withColumn("doc", F.expr("n div 100")).withColumn("row", F.expr("(n % 100) div 10"))
     rows = _ordered(p, ["doc", "row"], ["n"], B.tc(B.p(B.r(B.t(F.col("p_name")))))).withColumn("tr", B.tr(F.array_join("items", "")))
     d = _ordered(rows, "doc", ["row"], F.col("tr"))
     return _long(Extraction(_docs(d, "doc", B.tbl(F.array_join("items", "")))).document.select("doc_id", "i", "j", "k", "l", "text", F.array_join("lineage", ",").alias("lineage")))
@@ -184,7 +184,7 @@ def c1_nodup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT CAST(s_nationkey AS BIGINT) AS doc_id, 0 AS j, CAST(k AS INTEGER) AS k, 'nation ' || s_nationkey AS text FROM (SELECT DISTINCT s_nationkey FROM supplier), LATERAL (SELECT unnest(range(0, 3)) AS k)
-UNION ALL SELECT CAST(s_nationkey AS BIGINT), CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER), CAST(u.k AS INTEGER), CASE u.k WHEN 0 THEN s_name WHEN 1 THEN '' || s_suppkey ELSE 'x' END FROM supplier, LATERAL (SELECT unnest(range(0, 3)) AS k) u
+UNION ALL SELECT CAST(s_nationkey AS BIGINT), CAST(n AS INTEGER), CAST(u.k AS INTEGER), CASE u.k WHEN 0 THEN s_name WHEN 1 THEN '' || s_suppkey ELSE 'x' END FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier), LATERAL (SELECT unnest(range(0, 3)) AS k) u
 """)
 def c2_gridspan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A heading over three columns."""
@@ -206,8 +206,8 @@ def _order_lists(spark: SparkSession, sf_dir: str) -> Extraction:
 
 _LISTS = """
 WITH r AS (SELECT o_custkey, o_orderkey, 0 AS line, 0 AS part FROM orders UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, line, part) - 1 AS l, sum(CASE WHEN line = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, line, part ROWS UNBOUNDED PRECEDING) AS a,
-  row_number() OVER (PARTITION BY o_custkey, o_orderkey ORDER BY line, part) - 1 AS b FROM r)
+x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, line, part) - 1 AS l FROM r),
+n AS (SELECT *, sum(CASE WHEN line = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY l) AS a, l - min(l) OVER (PARTITION BY o_custkey, o_orderkey) AS b FROM x)
 """
 
 
@@ -222,22 +222,22 @@ def w3_list_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE f AS (SELECT p_partkey AS n, p_partkey AS k, '' AS s FROM part UNION ALL SELECT n, (k - 1) // 26, chr(CAST(97 + (k - 1) % 26 AS INTEGER)) || s FROM f WHERE k > 0)
+WITH RECURSIVE f AS (SELECT p_partkey + 1 AS n, p_partkey + 1 AS k, '' AS s FROM part UNION ALL SELECT n, (k - 1) // 26, chr(CAST(97 + (k - 1) % 26 AS INTEGER)) || s FROM f WHERE k > 0)
 SELECT n, s AS lower_letter, upper(s) AS upper_letter FROM f WHERE k = 0
 """)
 def n1_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"))
+    p = _table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("n"))
     return p.select("n", formats.lower_letter(F.col("n")).alias("lower_letter"), formats.upper_letter(F.col("n")).alias("upper_letter"))
 
 
 @query("""
-WITH d AS (SELECT p_partkey AS n FROM part), s AS (SELECT n, repeat('m', n // 1000)
+WITH d AS (SELECT p_partkey + 1 AS n FROM part), s AS (SELECT n, repeat('m', n // 1000)
   || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][(n // 100) % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][(n // 10) % 10 + 1]
   || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1] AS r FROM d)
 SELECT n, r AS lower_roman, upper(r) AS upper_roman, '' || n AS decimal_number, '--' AS bullet FROM s
 """)
 def n3_roman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"))
+    p = _table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("n"))
     return p.select("n", formats.lower_roman(F.col("n")).alias("lower_roman"), formats.upper_roman(F.col("n")).alias("upper_roman"), formats.decimal(F.col("n")).alias("decimal_number"), formats.bullet().alias("bullet"))
 
 
@@ -378,7 +378,7 @@ def x2_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(Extraction(saved).text)
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), x -> x <> ''), '|') AS text FROM documents")
+@query("SELECT doc_id, array_to_string([x FOR x IN string_split(text, chr(10)) IF x <> ''], '|') AS text FROM documents")
 def i11_drop_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").select("doc_id", F.array(F.array(F.array(_lines()))).alias("tables"))
     kept = d.select("doc_id", iterate.remove_empty_paragraphs(F.col("tables")).alias("tables"))

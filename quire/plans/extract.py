@@ -21,8 +21,8 @@ from ..sources.shred import shred
 from ..sources.store import drop, written
 
 KEY = ["doc_id", "path"]
-#: Markup parts; everything else in a package is left deflated.
-XML_MEMBERS = r"(.*\.rels)|(.*\.xml)"
+#: Relationship members, and markup parts; what is not asked for is left deflated.
+RELS, XML = r".*\.rels", r".*\.xml"
 
 
 class Extraction:
@@ -49,13 +49,13 @@ class Extraction:
         self.close()
 
     # sources
-    @cached_property
-    def members(self) -> DataFrame:
-        return unzip(self.packages, XML_MEMBERS)
+    def members(self, keep: str) -> DataFrame:
+        """The members whose names match."""
+        return unzip(self.packages, keep).filter("member is not null").drop("error")
 
     @cached_property
     def rels(self) -> DataFrame:
-        return self._keep(P.relationships(self.members))
+        return self._keep(P.relationships(self.members(RELS)))
 
     @cached_property
     def parts(self) -> DataFrame:
@@ -71,19 +71,19 @@ class Extraction:
     def nodes(self) -> DataFrame:
         """Nodes of the parts wanted, with doc_id, path and type; parts that are no XML show up in errors."""
         wanted = P.files_of_type(self.parts, *self.types, "comments").select("doc_id", "path", "type").distinct()
-        raw = wanted.join(self.members.filter("member is not null").withColumnRenamed("member", "path").drop("error"), KEY)
+        raw = wanted.join(self.members(XML).withColumnRenamed("member", "path"), KEY)
         return self._keep(shred(raw, ["doc_id", "path", "type"]))
 
     @cached_property
     def errors(self) -> DataFrame:
         """doc_id, stage, message: packages and parts that could not be read; the rest of the corpus goes on."""
-        zips = self.members.filter("error is not null").select("doc_id", F.lit("unzip").alias("stage"), F.col("error").alias("message"))
+        zips = unzip(self.packages, RELS).filter("error is not null").select("doc_id", F.lit("unzip").alias("stage"), F.col("error").alias("message"))
         return zips.unionByName(self.nodes.filter("error is not null").select("doc_id", F.concat(F.lit("parse "), F.col("path")).alias("stage"), F.col("error").alias("message")))
 
     @cached_property
     def numbering(self) -> DataFrame:
         """Always word/numbering.xml."""
-        raw = self.members.filter("member = 'word/numbering.xml'").withColumnRenamed("member", "path").drop("error")
+        raw = self.members("word/numbering[.]xml").withColumnRenamed("member", "path")
         return numbering.numbering(self._keep(shred(raw, ["doc_id", "path"]).filter("error is null")))
 
     # paragraphs
@@ -208,7 +208,7 @@ class Extraction:
     @cached_property
     def core_properties(self) -> DataFrame:
         """S12."""
-        return P.core_properties(self.packages, self.parts, self.members.filter("member is not null").drop("error"))
+        return P.core_properties(self.packages, self.parts, self.members(XML))
 
     @cached_property
     def headings(self) -> DataFrame:

@@ -82,25 +82,26 @@ def chunks(rows: DataFrame, places: bool) -> DataFrame:
     return scan(rows, ["id", "hash", "text"], run, "id long, d long, e long" + ", hash long, k int, a int, b int" * places)
 
 
-def runs(found: list[dict], doc: int | None, span: int) -> list[tuple[int, int, int | None]]:
+def runs(found: dict[str, np.ndarray], doc: int | None, span: int) -> list[tuple[int, int, int | None]]:
     """(first byte, byte after the last, holder of the first chunk) of runs of neighbouring repeated chunks of span bytes or more.
 
-    found: the repeated chunks of one document.  Those it holds itself count as repeated from their second place on.
+    found: number, bounds, digest and holder of the repeated chunks of one document, null holders as None.  Those it holds itself count as
+    repeated from their second place on.  Rows that repeat a chunk's number (from copies of the document's row) count once.
     """
-    first: set[tuple[int, int]] = set()
-    out: list[list] = []
-    last = None
-    for c in sorted({(c["k"], c["a"], c["b"], c["d"], c["e"], c["holder"]) for c in found}, key=lambda c: c[0]):
-        k, a, b, d, e, holder = c
-        if holder == doc and (d, e) not in first:
-            first.add((d, e))
-            continue
-        if out and last == k - 1:
-            out[-1][1] = b
-        else:
-            out.append([a, b, holder])
-        last = k
-    return [tuple(x) for x in out if x[1] - x[0] >= span]
+    k, pick = np.unique(found["k"], return_index=True)
+    a, b, d, e, holder = (found[c][pick] for c in ("a", "b", "d", "e", "holder"))
+    lost = np.ones(len(k), bool)
+    seen: set[tuple[int, int]] = set()
+    for i in np.flatnonzero(holder == doc).tolist():
+        key = (int(d[i]), int(e[i]))
+        lost[i] = key in seen
+        seen.add(key)
+    k, a, b, holder = k[lost], a[lost], b[lost], holder[lost]
+    if not len(k):
+        return []
+    first = np.flatnonzero(np.diff(k, prepend=k[0] - 2) != 1)
+    last = np.append(first[1:], len(k)) - 1
+    return [(int(a[i]), int(b[j]), holder[i]) for i, j in zip(first, last, strict=True) if b[j] - a[i] >= span]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
@@ -116,7 +117,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     listed = found.groupBy("id", "hash").agg(F.collect_list(F.struct("k", "a", "b", "d", "e", "holder")).alias("found"))
 
     def run(t: pa.Table) -> pa.Table:
-        spans = [[{"a": a, "b": b, "holder": h} for a, b, h in runs(f, i, span)] for f, i in zip(t["found"].to_pylist(), t["id"].to_pylist(), strict=True)]
+        col = t["found"].combine_chunks()
+        at, ids = col.offsets.to_numpy(), t["id"].to_pylist()
+        flat = {c: col.values.field(c).to_numpy(zero_copy_only=False) for c in ("k", "a", "b", "d", "e")}
+        flat["holder"] = np.array(col.values.field("holder").to_pylist(), object)
+        spans = [[{"a": a, "b": b, "holder": h} for a, b, h in runs({c: v[at[i] : at[i + 1]] for c, v in flat.items()}, ids[i], span)] for i in range(len(ids))]
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("holder", pa.int64())]))
         out = pa.table([t["id"], t["hash"], pa.array(spans, kind)], names=["id", "hash", "spans"])
         return out.filter(pa.array([bool(s) for s in spans]))

@@ -57,8 +57,10 @@ def removed_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not clash.isEmpty():  # different texts under one digest: decide them by text
         exact = texts.join(F.broadcast(clash), "digest")
         held = exact.groupBy("digest", "bytes").agg(F.min("_id").alias("holder"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        found = found.join(clash, "digest", "left_anti").unionByName(exact.join(held, ["digest", "bytes"]).drop("bytes"))
-    by_chunk = found.groupBy("_id", "_hash", "digest").agg(F.array_sort(F.collect_set("k")).alias("ks"), F.first("holder").alias("holder"))
+        found = found.join(clash, "digest", "left_anti").unionByName(exact.join(held, ["digest", "bytes"]), allowMissingColumns=True)
+    else:
+        found = found.withColumn("bytes", F.lit(None).cast("string"))
+    by_chunk = found.groupBy("_id", "_hash", "digest", "bytes").agg(F.array_sort(F.collect_set("k")).alias("ks"), F.first("holder").alias("holder"))
     lost = F.when(F.col("_id").eqNullSafe(F.col("holder")), F.slice("ks", 2, F.size("ks"))).otherwise(F.col("ks"))
     return by_chunk.select("_id", "_hash", lost.alias("ks")).filter("size(ks) > 0").groupBy("_id", "_hash").agg(F.flatten(F.collect_list("ks")).alias("_lost"))
 

@@ -21,6 +21,8 @@ from ..sources.shred import shred
 from ..sources.store import drop, written
 
 KEY = ["doc_id", "path"]
+#: The list formats that have numbers.
+FORMATS = ("decimal", "lowerLetter", "upperLetter", "lowerRoman", "upperRoman")
 #: Relationship members, and markup parts; what is not asked for is left deflated.
 RELS, XML = r".*\.rels", r".*\.xml"
 
@@ -86,6 +88,32 @@ class Extraction:
         raw = self.members("word/numbering[.]xml").withColumnRenamed("member", "path")
         return numbering.numbering(self._keep(shred(raw, ["doc_id", "path"]).filter("error is null")))
 
+    @cached_property
+    def warnings(self) -> DataFrame:
+        """doc_id, stage, message: documents without core properties, with unequal numbers of comments and ranges, or with list formats that are not known."""
+        parts = self.parts.groupBy("doc_id").agg(F.bool_or(F.col("type") == "core-properties").alias("core"), F.bool_or(F.col("type") == "officeDocument").alias("main"))
+        none = parts.filter("main and not core").select("doc_id", F.lit("core properties").alias("stage"), F.lit("the package has none").alias("message"))
+        odd = self.numbering.filter(~F.coalesce("fmt", F.lit("bullet")).isin("bullet", *FORMATS)).select("doc_id", F.lit("numbering").alias("stage"), F.concat(F.lit("format taken for a bullet: "), F.col("fmt")).alias("message")).distinct()
+        n = self._live.groupBy("doc_id").agg(F.count_if((F.col("name") == "w:commentRangeStart") & (F.col("type") == "officeDocument")).alias("a"), F.count_if((F.col("name") == "w:comment") & (F.col("type") == "comments")).alias("b"))
+        uneven = n.filter("a <> b and b > 0").select("doc_id", F.lit("comments").alias("stage"), F.concat(F.col("b").cast("string"), F.lit(" comments, "), F.col("a").cast("string"), F.lit(" ranges")).alias("message"))
+        return none.unionByName(odd).unionByName(uneven)
+
+    def partial(self, roots: DataFrame) -> Extraction:
+        """The extraction of subtrees alone, as if each were a part: roots has doc_id, path, pre of nodes (paragraphs or what holds some).
+
+        Addresses, list counters and runs start anew in each; its path is that of the part, '#' and pre.  Paragraphs above a root do not exist for it.
+        """
+        top = self._live.join(roots.select(*KEY, "pre").distinct(), [*KEY, "pre"]).select(*KEY, F.col("pre").alias("_root"), F.col("post").alias("_end"))
+        named = F.concat("path", F.lit("#"), F.col("_root").cast("string"))
+        inside = lambda c: F.when(F.col(c) >= F.col("_root"), F.col(c)).alias(c)
+        below = self.nodes.join(top, KEY).filter("pre >= _root and post <= _end")
+        out = Extraction(self.packages, self.html, self.duplicate, self.style_dim, self.types)
+        facts = ("par", "run", "cell", "link", "link_child", "top")
+        out.nodes = out._keep(below.select(*[named.alias(c) if c == "path" else inside(c) if c in facts else F.col(c) for c in self.nodes.columns]))
+        out.part_rels = out._keep(self.part_rels.join(top.select(*KEY, "_root"), KEY).select("doc_id", named.alias("path"), "rel_id", "target"))
+        out.rels, out.numbering = self.rels, self.numbering
+        return out
+
     # paragraphs
     @cached_property
     def _live(self) -> DataFrame:

@@ -144,6 +144,20 @@ def test_bad_packages(spark, package):
         assert {r["doc_id"] for r in e.text.collect()} == {"d1"}
 
 
+def test_warnings_and_partial(spark, package, plain):
+    assert plain.warnings.count() == 0
+    with Extraction(B.build(spark.range(1), F.lit("x"), {"document.xml": B.document(F.lit("<w:p/>")), "comments.xml": B.root("comments", F.lit(COMMENTS)), "numbering.xml": B.numbering_xml([("ordinal", None)])})) as e:
+        assert {r["stage"] for r in e.warnings.collect()} == {"core properties", "comments", "numbering"}
+        assert e.comments.count() == 0
+    rows = plain.nodes.filter("name = 'w:tr'")
+    with plain.partial(rows) as part:
+        got = [r["text"] for r in part.document.orderBy("path", "i", "j", "k").collect()]
+        assert sorted(got) == ["", "A", "B", "C", "wide", "wide"]
+    subs = plain.nodes.filter("name = 'w:p' and type = 'officeDocument'").join(plain.paragraphs.filter("list_pos = array(1, 1)").select("doc_id", "path", "pre"), ["doc_id", "path", "pre"])
+    with plain.partial(subs) as part:
+        assert [r["text"] for r in part.document.collect()] == ["\ta)\tsub"]
+
+
 def test_stream(spark, package, tmp_path):
     from quire.streaming.ingest import ingest, stream_packages
 

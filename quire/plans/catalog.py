@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import formats
 from ..operators import edit, iterate, views
 from ..sources import build as B
+from ..sources.store import written
 from .extract import Extraction
 
 QUERIES: dict = {}
@@ -40,8 +41,10 @@ def _pars(items: Column) -> Column:
 
 
 def _docs(df: DataFrame, doc_id: str, body: Column, **more) -> DataFrame:
+    """The packages of df's rows, built once: each is then read several times, as files would be."""
     parts = {"document.xml": B.document(body)} | more.pop("parts", {})
-    return B.build(df, F.col(doc_id), parts, **more)
+    used = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return written(B.build(used, F.col(doc_id), parts, **more))[0]
 
 
 def _long(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions.formats import html_style, run_strings
 from ..operators import address, cells, fragments, merge, numbering
 from ..sources import parts as P
 from ..sources.packages import unzip
-from ..sources.shred import shred
+from ..sources.shred import shred, shred_packages
 from ..sources.store import drop, written
 
 KEY = ["doc_id", "path"]
@@ -72,9 +72,9 @@ class Extraction:
     @cached_property
     def nodes(self) -> DataFrame:
         """Nodes of the parts wanted, with doc_id, path and type; parts that are no XML show up in errors."""
-        wanted = P.files_of_type(self.parts, *self.types, "comments").select("doc_id", "path", "type").distinct()
-        raw = wanted.join(self.members(XML).withColumnRenamed("member", "path"), KEY)
-        return self._keep(shred(raw, ["doc_id", "path", "type"]))
+        wanted = P.files_of_type(self.parts, *self.types, "comments").groupBy("doc_id").agg(F.collect_set(F.struct("path", "type")).alias("wanted"))
+        packages = self.packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+        return self._keep(shred_packages(packages.join(wanted, "doc_id")))
 
     @cached_property
     def errors(self) -> DataFrame:

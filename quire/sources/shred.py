@@ -17,6 +17,7 @@ from __future__ import annotations
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,54 +37,79 @@ _KINDS = [pa.int32() if k == "int" else pa.bool_() if k == "boolean" else pa.map
 
 
 class _Builder:
-    """Collects the nodes of one part, in document order."""
+    """Collects the nodes of parts as columns, in document order; open nodes are kept by their row numbers."""
 
     def __init__(self) -> None:
-        self.rows: list[dict] = []
-        self.open: list[dict] = []
-        self.clock = 0
-        self.last: dict | None = None  # whose text or tail is being read
-        self.tailing = False
+        self.cols: dict[str, list] = {f: [] for f in _FIELDS}
+        self.begin_part()
+
+    def begin_part(self) -> None:
+        self.clock, self.open, self.kids, self.last, self.tailing = 0, [], [], -1, False
 
     def start(self, name: str, attrs: dict) -> None:
-        up = self.open[-1] if self.open else None
-        row = {"pre": self.clock, "post": -1, "parent": up and up["pre"], "level": len(self.open), "ord": 0, "name": name, "attrs": list(attrs.items()), "text": "", "tail": "", "p_dist": 0 if name == "w:p" else None}
-        row |= {"content": name in CONTENT_TAGS, "kids": 0, "up": up and up["name"], "upup": up and up["up"], "upper": up and up["parent"], "math": bool(up and (up["math"] or up["name"] == "m:oMath"))}
-        for key, tag in (("par", "w:p"), ("run", "w:r"), ("cell", "w:tc")):
-            row[key] = self.clock if name == tag else up and up[key]
-        row["link"] = up and (up["pre"] if up["name"] == "w:hyperlink" else up["link"])
-        row["link_child"] = None if up is None else self.clock if up["name"] == "w:hyperlink" else up["link_child"]
-        row["top"] = self.clock if len(self.open) == 1 else up and up["top"]
-        if up is not None:
-            row["ord"], up["kids"] = up["kids"], up["kids"] + 1
-        self.clock += 1
-        self.rows.append(row)
+        c, pre = self.cols, self.clock
+        row = len(c["pre"])
+        own_p, own_r, own_c = name == "w:p", name == "w:r", name == "w:tc"
+        if self.open:
+            up = self.open[-1]
+            u_name, u_pre = c["name"][up], c["pre"][up]
+            in_link = u_name == "w:hyperlink"
+            values = (
+                u_pre, len(self.open), self.kids[-1], pre if own_p else c["par"][up], pre if own_r else c["run"][up], pre if own_c else c["cell"][up],
+                u_pre if in_link else c["link"][up], pre if in_link else c["link_child"][up], pre if len(self.open) == 1 else c["top"][up],
+                c["math"][up] or u_name == "m:oMath", u_name, c["up"][up], c["parent"][up],
+            )
+            self.kids[-1] += 1
+        else:
+            values = (None, 0, 0, pre if own_p else None, pre if own_r else None, pre if own_c else None, None, None, None, False, None, None, None)
+        for f, v in zip(("parent", "level", "ord", "par", "run", "cell", "link", "link_child", "top", "math", "up", "upup", "upper"), values, strict=True):
+            c[f].append(v)
+        c["pre"].append(pre)
+        c["post"].append(-1)
+        c["name"].append(name)
+        c["attrs"].append(list(attrs.items()))
+        c["text"].append("")
+        c["tail"].append("")
+        c["p_dist"].append(0 if own_p else None)
+        c["content"].append(name in CONTENT_TAGS)
+        self.clock = pre + 1
         self.open.append(row)
+        self.kids.append(0)
         self.last, self.tailing = row, False
 
     def end(self, name: str) -> None:
-        row = self.open.pop()
-        row["post"] = self.clock
+        c, row = self.cols, self.open.pop()
+        self.kids.pop()
+        c["post"][row] = self.clock
         self.clock += 1
         if self.open:
             up = self.open[-1]
-            up["content"] |= row["content"]
-            if row["p_dist"] is not None and (up["p_dist"] is None or up["p_dist"] > row["p_dist"] + 1):
-                up["p_dist"] = row["p_dist"] + 1
+            if c["content"][row]:
+                c["content"][up] = True
+            near = c["p_dist"][row]
+            if near is not None and (c["p_dist"][up] is None or c["p_dist"][up] > near + 1):
+                c["p_dist"][up] = near + 1
         self.last, self.tailing = row, True
 
     def data(self, text: str) -> None:
-        if self.last is not None:
-            self.last["tail" if self.tailing else "text"] += text
-
-
-def nodes_of(raw: bytes) -> list[dict]:
-    b = _Builder()
-    parser = expat.ParserCreate()
-    parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = b.start, b.end, b.data
-    parser.Parse(raw, True)
-    return b.rows
+        if self.last >= 0:
+            self.cols["tail" if self.tailing else "text"][self.last] += text
+
+    def add(self, raw: bytes) -> tuple[int, str | None]:
+        """Appends the nodes of a part: how many rows, and the error; a broken part leaves one empty row."""
+        before = len(self.cols["pre"])
+        self.begin_part()
+        parser = expat.ParserCreate()
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self.start, self.end, self.data
+        try:
+            parser.Parse(raw, True)
+            return len(self.cols["pre"]) - before, None
+        except expat.ExpatError as e:
+            for v in self.cols.values():
+                del v[before:]
+                v.append(None)
+            return 1, str(e)
 
 
 #: Node rows of one Arrow batch, about.
@@ -92,26 +118,23 @@ MANY = 20_000
 
 def _emit(parts, keep: list[str], kinds: list[pa.DataType]):
     """Arrow batches of (keep, NODES, error) from (values of keep, raw bytes) pairs."""
-    at, rows, errors, keys = [], [], [], []
+    nodes, sizes, errors, keys = _Builder(), [], [], []
 
     def batch() -> pa.RecordBatch:
-        cols = [pa.array([k[n] for k in keys], kind).take(pa.array(at, pa.int64())) for n, kind in enumerate(kinds)]
-        cols += [pa.array([r.get(f) for r in rows], k) for f, k in zip(_FIELDS, _KINDS, strict=True)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(errors, pa.string())], [*keep, *_FIELDS, "error"])
+        at = pa.array(np.repeat(np.arange(len(keys)), sizes))
+        cols = [pa.array([k[n] for k in keys], kind).take(at) for n, kind in enumerate(kinds)]
+        cols += [pa.array(nodes.cols[f], k) for f, k in zip(_FIELDS, _KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(errors, pa.string()).take(at)], [*keep, *_FIELDS, "error"])
 
     for key, raw in parts:
-        try:
-            found, error = nodes_of(raw or b""), None
-        except expat.ExpatError as e:
-            found, error = [{}], str(e)
-        at += [len(keys)] * len(found)
+        n, error = nodes.add(raw or b"")
         keys.append(key)
-        rows += found
-        errors += [error] * len(found)
-        if len(rows) > MANY:
+        sizes.append(n)
+        errors.append(error)
+        if len(nodes.cols["pre"]) > MANY:
             yield batch()
-            at, rows, errors, keys = [], [], [], []
-    if rows:
+            nodes, sizes, errors, keys = _Builder(), [], [], []
+    if keys:
         yield batch()
 
 

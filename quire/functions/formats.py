@@ -71,7 +71,7 @@ def format_bullet(ilvl: Column, token: Column) -> Column:
     return F.concat(F.repeat(F.lit("\t"), ilvl.cast("int")), token, F.when(token == "--", "").otherwise(")"), F.lit("\t"))
 
 
-#: F1: style name -> (pattern, container, property).  {tag}, {val}, {val3} and {last} stand for the name, the value, its first three
+#: F1. Style name -> (pattern, container, property).  {tag}, {val}, {val3} and {last} stand for the name, the value, its first three
 #: characters and the name's last one.  Pass a changed copy to extend it.
 STYLES: dict[str, tuple[str, str | None, str | None]] = {
     "b": ("{tag}", None, None),

@@ -2,8 +2,9 @@
 
 A word (a run of spaces with what follows, the unit no piece crosses) starts as characters.  Its agenda holds all neighbouring pairs
 that form a piece; the best piece (ties: the leftmost) merges, its neighbours join the agenda, and so on until it is empty.  A
-candidate is known by the word, its bounds and its middle; the keyed hash of these skips it for good, so that the outcome does
-not depend on order, machine or batch.  The agendas of many words are run side by side in arrays.
+candidate is known by the document, the word and its place there, and by its bounds and its middle; the keyed hash of these skips
+it for good, so that the outcome does not depend on order, machine or batch.  The agendas of many words are run side by side in
+arrays, and occurrences of a word share a run where they skip the same candidates of all that it looks at.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ SPACE = "▁"
 OWN = "\ud800"
 #: Words of more characters than this run their agenda alone, in a heap: their number of rounds would hold up the others.
 WIDE = 40
-#: Bytes of text in one call: the more, the more occurrences share a word's agenda.
+#: Bytes of text in one call: the more, the more occurrences that skip alike share a run.
 SLICE = 12 << 20
+#: Fewer occurrences than this run their agendas themselves instead of looking for one to share.
+FEW = 3
 
 
 @dataclass
@@ -89,16 +92,23 @@ def join_of(a: np.ndarray, b: np.ndarray, v: Vocabulary) -> np.ndarray:
     return out
 
 
-def skipped(key: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.ndarray, rate: float) -> np.ndarray:
+def spots(left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of each candidate's bounds and middle."""
+    return mix(((left.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ right.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def skipped(key: np.ndarray, spot: np.ndarray, rate: float) -> np.ndarray:
     """The keyed hash of each candidate against the rate."""
     if rate <= 0:
         return np.zeros(len(key), bool)
-    spot = (left.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ right.astype(np.uint64)
-    return mix(key ^ mix(spot + np.uint64(0x9E3779B97F4A7C15))) < np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
+    return mix(key ^ spot) < np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
 
 
-def agendas(words: list[str], keys: np.ndarray, v: Vocabulary, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece ids of all words one after another, and where each word's begin and how many they are; -c-2 stands for a character c that is no piece."""
+def agendas(words: list[str], keys: np.ndarray, v: Vocabulary, rate: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece ids of all words one after another, and where each word's begin and how many they are; -c-2 stands for a character c that is no piece.
+
+    trace gets (words' numbers, spots, whether skipped) of the candidates looked at, but for words that run alone.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     begin, size, flat, total, a = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0, 0
@@ -108,7 +118,10 @@ def agendas(words: list[str], keys: np.ndarray, v: Vocabulary, rate: float) -> t
         part = order[a:b]
         own = [words[i] for i in part]
         if width <= WIDE:
-            ids, counts = _side_by_side(own, lengths[part], keys[part], v, rate)
+            looked: list | None = None if trace is None else []
+            ids, counts = _side_by_side(own, lengths[part], keys[part], v, rate, looked)
+            if trace is not None:
+                trace += [(part[rows], spot, drop) for rows, spot, drop in looked]
         else:
             each = [_alone(w, k, v, rate) for w, k in zip(own, keys[part], strict=True)]
             ids, counts = np.concatenate([np.array(x, np.int64) for x in each]), np.array([len(x) for x in each])
@@ -133,7 +146,7 @@ def _symbols(chars: np.ndarray, v: Vocabulary) -> np.ndarray:
     return to[chars]
 
 
-def _side_by_side(words: list[str], lengths: np.ndarray, keys: np.ndarray, v: Vocabulary, rate: float) -> tuple[np.ndarray, np.ndarray]:
+def _side_by_side(words: list[str], lengths: np.ndarray, keys: np.ndarray, v: Vocabulary, rate: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     n, w = len(words), int(lengths.max())
     padded = "".join([x.ljust(w, "\0") for x in words]).encode("utf-32-le", "surrogatepass")
     sym = _symbols(np.frombuffer(padded, np.uint32), v).reshape(n, w)
@@ -154,7 +167,11 @@ def _side_by_side(words: list[str], lengths: np.ndarray, keys: np.ndarray, v: Vo
         to = join_of(sym[rows, at], sym[rows, middle], v)
         ok = to >= 0
         rows, at, middle, to = rows[ok], at[ok], middle[ok], to[ok]
-        ok = ~skipped(keys[rows], at, middle, end[rows, middle], rate)
+        spot = spots(at, middle, end[rows, middle])
+        drop = skipped(keys[rows], spot, rate)
+        if trace is not None:
+            trace.append((rows, spot, drop))
+        ok = ~drop
         best[rows[ok], at[ok]], made[rows[ok], at[ok]] = v.rank[to[ok]], to[ok]
 
     rows, at = np.nonzero(alive)
@@ -194,7 +211,7 @@ def _alone(word: str, key: np.uint64, v: Vocabulary, rate: float) -> list[int]:
             middle = np.array([end[a] for a in at])
             right = np.array([end[m] for m in middle])
             to = join_of(np.array([sym[a] for a in at]), np.array([sym[m] for m in middle]), v)
-            drop = skipped(np.full(len(at), key, np.uint64), at, middle, right, rate)
+            drop = skipped(np.full(len(at), key, np.uint64), spots(at, middle, right), rate)
             for a, m, r, t, d in zip(at.tolist(), middle.tolist(), right.tolist(), to.tolist(), drop.tolist(), strict=True):
                 if t >= 0 and not d:
                     heapq.heappush(heap, (int(v.rank[t]), a, m, r, t))
@@ -235,21 +252,82 @@ def _bytes(pool: np.ndarray, start: np.ndarray, count: np.ndarray, v: Vocabulary
     return out, before[start], before[start + count] - before[start]
 
 
+def _compared(of: np.ndarray, keys: np.ndarray, trace: list, n: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key skips the same candidates as run `of` did, of those that it looked at, and a hash of the run and of what the key skips."""
+    rows, spot, drop = (np.concatenate(x) for x in zip(*trace, strict=True)) if trace else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+    order = np.argsort(rows, kind="stable")
+    spot, drop, size = spot[order], drop[order], np.bincount(rows, minlength=n)
+    first = np.cumsum(size) - size
+    same, sign = np.ones(len(of), bool), mix(of.astype(np.uint64))
+    for a in range(0, len(of), 65_536):
+        live = a + np.flatnonzero(size[of[a : a + 65_536]])
+        if not len(live):
+            continue
+        many = size[of[live]]
+        ends = np.cumsum(many)
+        at = np.repeat(first[of[live]] - ends + many, many) + np.arange(ends[-1])
+        own = skipped(np.repeat(keys[live], many), spot[at], rate)
+        same[live] = ~np.logical_or.reduceat(own != drop[at], ends - many)
+        sign[live] += np.add.reduceat(np.where(own, spot[at], np.uint64(0)), ends - many)
+    return same, sign
+
+
+def occurrences(words: list[str], of: np.ndarray, keys: np.ndarray, v: Vocabulary, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every occurrence (word `of`, key) as if its agenda ran by itself: piece ids of the runs, their begins and sizes, and each occurrence's run.
+
+    An agenda depends on its key by the candidates it looks at only.  So the undropped agenda of a word runs once and serves all
+    occurrences that skip nothing of it; the others are grouped by what they skip, one of each group runs and serves those that agree
+    on all it looked at, and so on.
+    """
+    if rate <= 0:
+        return *agendas(words, np.zeros(len(words), np.uint64), v, rate), of
+    wide = np.fromiter(map(len, words), np.int64, len(words)) > WIDE
+    run, done, total, alone = np.full(len(of), -1, np.int64), [], 0, []
+    left, group, kinds, whole = np.arange(len(of)), of, len(words), True
+    while len(left):
+        lone = (np.bincount(group, minlength=kinds)[group] < FEW) | wide[of[left]]
+        alone.append(left[lone])
+        left = left[~lone]
+        if not len(left):
+            break
+        _, pick, group = np.unique(group[~lone], return_index=True, return_inverse=True)
+        lead, trace = left[pick], []
+        done.append(agendas([words[i] for i in of[lead]], keys[lead], v, 0.0 if whole else rate, trace))
+        same, sign = _compared(group, keys[left], trace, len(lead), rate)
+        run[left[same]] = total + group[same]
+        total += len(lead)
+        left, whole = left[~same], False
+        kept, group = np.unique(sign[~same], return_inverse=True)
+        kinds = len(kept)
+    rest = np.concatenate([*alone, np.zeros(0, np.int64)])
+    done.append(agendas([words[i] for i in of[rest]], keys[rest], v, rate))
+    run[rest] = total + np.arange(len(rest))
+    before = np.cumsum([0] + [len(pool) for pool, _, _ in done])
+    return np.concatenate([d[0] for d in done]), np.concatenate([d[1] + x for d, x in zip(done, before, strict=False)]), np.concatenate([d[2] for d in done]), run
+
+
+def places(cut: list[list[str]], streams: list[int], seed: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words, and the word and the key of every occurrence, by text and place."""
+    number: dict[str, int] = {}
+    of = np.array([number.setdefault(w, len(number)) for ws in cut for w in ws], np.int64)
+    words, size = list(number), np.fromiter(map(len, cut), np.int64, len(cut))
+    place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    base = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    text = mix(np.array(streams, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return words, of, mix(base[of] ^ mix(np.repeat(text, size) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+
+
 def encode(texts: list[str | None], streams: list[int], v: Vocabulary, rate: float, seed: int) -> list[np.ndarray]:
-    """Ids of whole texts.  The same word gets the same pieces within a stream and seed, others elsewhere."""
+    """Ids of whole texts.  Every occurrence of a word is cut by itself, keyed by its text's stream, its place there and the seed."""
     cut = [split(t or "") for t in texts]
-    number: dict[tuple[int, str], int] = {}
-    of = [[number.setdefault((s, w), len(number)) for w in ws] for s, ws in zip(streams, cut, strict=True)]
-    words = [w for _, w in number]
-    base = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-    stream = np.fromiter((s for s, _ in number), np.uint64, len(words))
-    keys = mix(base ^ mix(stream * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)))
-    pool, start, count = agendas(words, keys, v, rate)
+    words, of, keys = places(cut, streams, seed)
+    pool, start, count, run = occurrences(words, of, keys, v, rate)
     pool, start, count = _bytes(pool, start, count, v)
     pool = pool.astype("<u4")
-    out = []
-    for ws in of:
-        at = np.array(ws, np.int64)
+    out, a = [], 0
+    for ws in cut:
+        at = run[a : a + len(ws)]
+        a += len(ws)
         size = count[at]
         total = np.cumsum(size)
         out.append(pool[np.repeat(start[at] - total + size, size) + np.arange(total[-1] if len(total) else 0)])
@@ -262,12 +340,13 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return raw[1:].decode("utf-8", "surrogatepass") if len(ids) else ""
 
 
-def segment(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, streams: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def segment(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array of int) and text_back of every row of docs.
 
-    rate: the share of candidate merges skipped; 0 gives the model's own segmentation.  A document's stream is the hash of its id
-    mod streams, so that one word is cut in up to `streams` ways per seed; another seed gives another epoch.  Null and empty texts
-    have no ids and come back empty.  Long and empty words, any characters: bytes stand for what is no piece.
+    rate: the share of candidate merges skipped; 0 gives the model's own segmentation.  A document's stream is the hash of its id and
+    text, and each of its words is cut by itself: candidates are skipped independently for every occurrence.  Another seed gives
+    another epoch.  Null and empty texts have no ids and come back empty.  Long and empty words, any characters: bytes stand for what
+    is no piece.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -277,7 +356,7 @@ def segment(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, strea
         col = pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(ids).astype(np.int32)))
         return pa.table([t["id"], col, pa.array([decode(x, v) for x in ids], pa.string())], names=["doc_id", "ids", "text_back"])
 
-    stream = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(streams)).alias("stream")
+    stream = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("stream")
     return scan(docs, [F.col(id_col).cast("long").alias("id"), stream, F.col(text_col).alias("text")], run, "doc_id long, ids array<int>, text_back string", SLICE)
 
 
@@ -285,7 +364,7 @@ def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pieces under dropout, without dropout, a digest of the ids, and whether they decode to the text."""
     import public_tokenizers
 
-    path, rate, seed, streams = public_tokenizers.path("piece_bpe_32k.model"), 0.1, 1, 8
+    path, rate, seed = public_tokenizers.path("piece_bpe_32k.model"), 0.1, 1
 
     def run(t: pa.Table) -> pa.Table:
         v = vocabulary(path)
@@ -296,7 +375,7 @@ def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.table([t["id"], *(pa.array(c, pa.int64()) for c in cols), pa.array(same)], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
     docs = table(spark, sf_dir, "documents")
-    stream = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(streams)).alias("stream")
+    stream = F.xxhash64("doc_id", "text", F.lit(seed)).alias("stream")
     return scan(docs, [F.col("doc_id").alias("id"), stream, "text"], run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean", SLICE)
 
 

@@ -191,6 +191,33 @@ def test_merge_dropout():
     assert [pool[a : a + n].tolist() for a, n in zip(start, count, strict=True)] == [merge_dropout._alone(w, k, v, 0.3) for w, k in zip(words, keys, strict=True)]
 
 
+def test_merge_dropout_cuts_every_occurrence_by_itself(spark):
+    v = merge_dropout.vocabulary(PIECES)
+    word = "international"
+    ids = [x.tolist() for x in merge_dropout.encode([f"{word} " * 500] * 2, [3, 4], v, 0.2, 1)]
+    assert ids[0] != ids[1] and len(set(_cuts(ids[0], v))) > 30
+    # each occurrence as if it ran alone, whatever it shares a run with
+    texts = [" ".join(random.Random(n).choices(["the", "a", word, "été", "x" * 60, "running"], k=300)) for n in range(12)]
+    for rate in (0.1, 0.5):
+        words, of, keys = merge_dropout.places([merge_dropout.split(t) for t in texts], list(range(12)), 5)
+        assert len(np.unique(keys)) == len(of)
+        pool, start, count, run = merge_dropout.occurrences(words, of, keys, v, rate)
+        assert len(start) < len(of)
+        assert [pool[start[r] : start[r] + count[r]].tolist() for r in run] == [merge_dropout._alone(words[w], k, v, rate) for w, k in zip(of, keys, strict=True)]
+    docs = spark.createDataFrame([(n, word) for n in range(400)], "doc_id long, text string")
+    assert len({tuple(r["ids"]) for r in merge_dropout.segment(docs, PIECES, rate=0.2).collect()}) > 30
+
+
+def _cuts(ids, v):
+    """The pieces of each word of a text that is one word over and over."""
+    out = []
+    for i in ids:
+        if v.pieces[i].startswith("▁"):
+            out.append(())
+        out[-1] += (i,)
+    return out
+
+
 def test_merge_dropout_query(spark, odd_docs, no_docs):
     rows = merge_dropout.op4_merge_dropout(spark, SMALL).collect()
     assert len(rows) == 200 and all(r["lossless"] for r in rows)

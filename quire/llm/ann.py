@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scan, table
+from .common import scan, table, written
 
 
 @dataclass
@@ -80,21 +80,23 @@ def rows_of(t: pa.Table, name: str = "v") -> np.ndarray:
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scanned: float = 0.12, least: int = 4000, part_rows: int = 4096, centroids: int | None = None, sample_rows: int = 20_000, seed: int = 17) -> DataFrame:
     """The k nearest rows found for each query row: query_id, rank, vec_id, score (Euclidean, double precision).
 
-    is_query: condition for rows that are queries.  A query's own id is no candidate; repeated ids count once.  Centroids are fitted on at
-    most about 2 * sample_rows rows drawn by hash; every row is indexed.  Cells are walked until they hold
-    max(least, scanned * rows) rows, so fewer rows than that are searched exactly.  Cells lie in parts of about part_rows
+    is_query: condition for rows that are queries.  A query's own id is no candidate; repeated ids count once,
+    from the start: of rows that share an id a query is kept before others, then the smallest vector.  Centroids are fitted on at
+    most about 2 * sample_rows of the rows kept, drawn by hash; every one is indexed.  Cells are walked until they hold
+    max(least, scanned * rows, k) rows beside the query, so fewer rows than that are searched exactly.  Cells lie in parts of about part_rows
     rows: near cells share a part and a large cell is dealt over several by hash of the id, so no part grows with a cell.
     Rows found are ranked by exact distances on the original vectors, ties to the smaller id.  Rows that are not `usable`
     or whose length differs from the most common one take no part.  No usable row: no result.
     """
     spark = vectors.sparkSession
-    rows = vectors.filter(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).filter("id is not null")
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    rows = vectors.filter(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter("id is not null")
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count_distinct("id").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     out = "query_id long, rank int, vec_id long, score double"
     if not lengths:
         return spark.createDataFrame([], out)
     d, n = lengths[0]["d"], lengths[0]["n"]
-    rows = rows.filter(F.size("v") == d)
+    first_row = F.min(F.struct((~F.col("q")).alias("other"), "v"))
+    rows = written(rows.filter(F.size("v") == d).groupBy("id").agg(first_row.alias("r")).select("id", F.col("r.v").alias("v"), (~F.col("r.other")).alias("q")))
     share = int(min(1.0, 1.5 * sample_rows / n) * (1 << 30))
     drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) <= share).select("v").limit(2 * sample_rows).toArrow()
     x = rows_of(drawn)
@@ -119,7 +121,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     base = int(first.max()) + 1
     first[large] = base + np.cumsum(spread[large]) - spread[large]
     index = spark.sparkContext.broadcast(Index(left, right, sizes, first, spread, base + int(spread[large].sum())))
-    enough = max(least, int(scanned * n)) + 1
+    enough = max(least, int(scanned * n), k) + 1
 
     def place(t: pa.Table) -> pa.Table:
         ix, cell, ids = index.value, t["cell"].to_numpy(), t["id"].to_numpy()
@@ -139,8 +141,8 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     def near(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         found: list[list] = [[], [], []]
         if queries.num_rows and candidates.num_rows:
-            ids, pick = np.unique(candidates["id"].to_numpy(), return_index=True)
-            v, q, qids = rows_of(candidates)[pick], rows_of(queries), queries["id"].to_numpy()
+            ids, qids = candidates["id"].to_numpy(), queries["id"].to_numpy()
+            v, q = rows_of(candidates), rows_of(queries)
             for a in range(0, len(q), 512):
                 rough = squared(q[a : a + 512], v)
                 rough[qids[a : a + 512, None] == ids[None, :]] = np.inf
@@ -157,7 +159,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     schema = "part long, id long, v array<double>"
-    asked = scan(indexed.filter("q").dropDuplicates(["id"]), ["id", "v"], visit, schema)
+    asked = scan(indexed.filter("q"), ["id", "v"], visit, schema)
     held = scan(indexed, ["id", "v", "cell"], place, schema)
     pairs = asked.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(near, "query_id long, vec_id long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))

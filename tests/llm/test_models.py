@@ -85,6 +85,27 @@ def test_neighbours_approximate_with_hot_cells(spark):
     assert hit >= 0.9 * 600
 
 
+def test_neighbours_with_a_hot_id(spark):
+    """Copies of one id fill no cell and end no walk, and an id of several vectors is found once."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 8))
+    x[:300] = x[0] + rng.normal(size=(300, 8)) * 0.3
+    rows = [(n, v) for n, v in enumerate(x.tolist())] + [(0, x[0].tolist())] * 1500
+    rows += [(n, [*x[n, :-1].tolist(), 99.0]) for n in range(1, 2000, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(4)
+    got = ann.search(df, F.col("vec_id") % 20 == 0, vector_col="v", least=300, part_rows=64, sample_rows=1000).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = []
+    for q in range(0, 2000, 20):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert len(set(by[q])) == 10 == len(by[q]) and q not in by[q]
+        hits.append(len(set(np.argsort(d)[:10].tolist()) & set(by[q])))
+    assert hits[0] >= 9 and sum(hits) >= 0.9 * 1000 and min(hits[:15]) >= 8
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, v array<double>, part string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import growing, scan, table, written
 
 #: A chunk ends where the top BITS bits of the hash of the last 32 bytes are 0, LEAST bytes or more after the last end.
-BITS, LEAST = 5, 16
+BITS, LEAST = 4, 16
 #: Runs of repeated chunks shorter than this many bytes stay.
 SPAN = 80
 SEED = 2024

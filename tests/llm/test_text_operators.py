@@ -286,3 +286,13 @@ def test_substring_dedup_finds_shifted_passages(spark):
     docs = [(n, f"{prose(rng.randint(50, 90))} {passages[n % 40]} {prose(70)}") for n in range(80)] + [(n, prose(150)) for n in range(80, 160)]
     got = {r["id"] for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert len(got) >= 39 and got <= set(range(40, 80))
+
+
+def test_substring_dedup_finds_passages_just_over_fifty_words(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(51) for _ in range(600)]
+    docs = [(n, f"{prose(rng.randint(20, 60))} {passages[n % 600]} {prose(40)}") for n in range(1200)]
+    got = {r["id"] for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == set(range(600, 1200))

@@ -102,7 +102,8 @@ def score_all(docs: DataFrame, marks: DataFrame, learn_from, label: str = "quali
     """doc_id and score (0 to 1) of every row of docs.
 
     marks: id_col and a 0/1 label; learn_from: condition on rows of marks that may be learnt from; at most per_label
-    rows of each label are collected.  Empty and null texts get the prior, the share of label 1; so do all texts if one label has
+    rows of each label are collected, and half of them fit a dictionary of 256 KB a label, each by one slice of its share (see
+    dictionary).  Empty and null texts get the prior, the share of label 1; so do all texts if one label has
     fewer than two rows (0.5 without labels).
     """
     known = marks.filter(learn_from & F.col(label).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label).alias("y"))

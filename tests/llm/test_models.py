@@ -73,7 +73,7 @@ def test_neighbours_approximate_with_hot_cells(spark):
     x = rng.normal(size=(6000, 8))
     x[:2500] = x[0] + rng.normal(size=(2500, 8)) * 1e-3
     df = spark.createDataFrame([(n, v) for n, v in enumerate(x.tolist())], "vec_id long, v array<double>")
-    rows = ann.search(df, F.col("vec_id") % 100 == 0, vector_col="v", least=300, scanned=0.1, part_rows=256, sample_rows=2000).collect()
+    rows = ann.search(df, F.col("vec_id") % 100 == 0, vector_col="v", part_rows=256, batch=16, sample_rows=2000).collect()
     by = {}
     for r in rows:
         by.setdefault(r["query_id"], set()).add(r["vec_id"])
@@ -93,7 +93,7 @@ def test_neighbours_with_a_hot_id(spark):
     rows = [(n, v) for n, v in enumerate(x.tolist())] + [(0, x[0].tolist())] * 1500
     rows += [(n, [*x[n, :-1].tolist(), 99.0]) for n in range(1, 2000, 7)]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(4)
-    got = ann.search(df, F.col("vec_id") % 20 == 0, vector_col="v", least=300, part_rows=64, sample_rows=1000).collect()
+    got = ann.search(df, F.col("vec_id") % 20 == 0, vector_col="v", part_rows=64, sample_rows=1000).collect()
     by = {}
     for r in got:
         by.setdefault(r["query_id"], []).append(r["vec_id"])
@@ -106,6 +106,61 @@ def test_neighbours_with_a_hot_id(spark):
     assert hits[0] >= 9 and sum(hits) >= 0.9 * 1000 and min(hits[:15]) >= 8
 
 
+def _clustered(n, spread, seed):
+    """Unit vectors of 64 dimensions around n / 40 centres."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 40, 64))
+    x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 64)) * spread
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_neighbours_read_few_rows(spark, monkeypatch):
+    """At 24,000 rows, with the query's own parameters: recall, and the rows that a query is compared with, which are those of its walk."""
+    x = _clustered(24_000, 0.35, 4)
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(n, v) for n, v in enumerate(x.tolist())], 8), "vec_id long, embedding array<float>").persist()
+    x = ann.rows_of(df.toArrow().sort_by("vec_id"), "embedding")
+    is_query = F.col("vec_id") % 100 == 0
+    by = {}
+    fit, fitted = ann.fit, []
+    monkeypatch.setattr(ann, "fit", lambda *a: fitted.append(fit(*a)) or fitted[0])
+    for r in ann.search(df, is_query).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    index, celled = fitted[0]
+    t = celled.select("id", "cell").toArrow().sort_by("id")
+    cell, hits, read = t["cell"].to_numpy(), [], []
+    dl, dr = index.halves(x[::100])
+    for n, q in enumerate(range(0, len(x), 100)):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        best = np.argsort(d)[:10]
+        hits.append(len(set(best.tolist()) & by[q]))
+        walked = ann.walk(dl[n], dr[n], index.sizes, index.enough)
+        read.append(index.sizes[walked].sum())
+        assert hits[-1] == np.isin(cell[best], walked).sum()
+    df.unpersist()
+    assert sum(hits) >= 0.9 * 10 * len(hits) and max(read) < 0.1 * len(x), (sum(hits), max(read))
+
+
+def test_neighbours_with_a_hot_vector(spark):
+    """A vector that a third of the rows share: all of its holders ask, its smallest ids are found, and others still find their own."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 6))
+    x[::3] = x[0]
+    got = ann.search(spark.createDataFrame([(n, v) for n, v in enumerate(x.tolist())], "vec_id long, v array<double>"), F.col("vec_id") % 50 == 0, vector_col="v", part_rows=64, batch=7).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hits = 0
+    for q in range(0, 3000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(3000), d))[:10].tolist()
+        if q % 3 == 0:
+            assert [v for _, v in sorted(by[q])] == best
+        hits += len({v for _, v in by[q]} & set(best))
+    assert hits >= 0.9 * 600
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, v array<double>, part string")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -15,41 +17,112 @@ from pyspark.sql import functions as F
 from .common import scan, table
 
 END_ID = 1
-#: Below this code point tokenizers and tiktoken give equal ids for the same vocabulary (tests/llm/test_packing.py compares them); the rest goes to tokenizers.
-SAME_BELOW = 0x250
-SPECIAL = "<|endoftext|>"
+#: Words are split here below this code point, where Unicode's letters, numbers and spaces are settled; texts beyond go to tokenizers whole.
+PLAIN_BELOW = 0x250
+#: Different words kept with their ids, about.
+KEPT = 1 << 20
+#: Words of a text handled at once.
+MANY = 1 << 17
 
 
 @lru_cache(2)
-def encoders(path: str):
-    """(tokenizers' encoder, tiktoken's encoder of the same vocabulary)."""
-    import base64
-
-    import public_tokenizers
-    import tiktoken
+def encoder(path: str):
     from tokenizers import Tokenizer
 
-    with open(re.sub(r"\.json$", ".tiktoken", path), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(path), fast
+    return Tokenizer.from_file(path)
+
+
+def _class(kinds: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(PLAIN_BELOW) if unicodedata.category(chr(c))[0] in kinds)
+
+
+_SPACES = r"\t-\r \x85\xa0"
+#: The words that byte-level BPE never merges across: contractions, letters, numbers, marks, white space.
+_word = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_class('L')}]+| ?[{_class('N')}]+| ?[^{_SPACES}{_class('LN')}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+_far = re.compile(f"[^\\x00-{chr(PLAIN_BELOW - 1)}]")
+
+
+class Words:
+    """Ids of words as tokenizers gives them, each different word encoded once; the ids of kept words lie one after another in a pool."""
 
+    def __init__(self, path: str):
+        self.encoder = encoder(path)
+        self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
+        self.forget()
 
-_high = re.compile(f"[^\\x00-{chr(SAME_BELOW - 1)}]")
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pool, self.start, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        ids = [e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        for w in words:
+            self.number[w] = len(self.number)
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size))
+        self.count = np.concatenate((self.count, size))
+        self.pool = np.concatenate((self.pool, np.concatenate([np.array(x, "<u4") for x in ids])))
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has."""
+        if len(self.number) > KEPT or len(self.pool) > 8 * KEPT:
+            self.forget()
+        if new := list(set(words).difference(self.number)):
+            self._learn(new)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        size = self.count[at]
+        total = np.cumsum(size)
+        return self.pool[np.repeat(self.start[at] - total + size, size) + np.arange(total[-1] if len(total) else 0)], size
+
+
+@lru_cache(2)
+def words_of(path: str) -> Words:
+    return Words(path)
 
 
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of whole texts as tokenizers gives them without special tokens, then END_ID.  Null: END_ID only."""
-    slow, fast = encoders(path)
-    out = []
-    for t in texts:
-        t = t or ""
-        if SPECIAL in t or (not t.isascii() and _high.search(t)):
-            ids = slow.encode(t, add_special_tokens=False).ids
+    """Ids of whole texts as tokenizers gives them without special tokens, then END_ID.  Null: END_ID only.
+
+    Byte-level BPE works word by word, so each different word goes through tokenizers once.  Texts with characters from PLAIN_BELOW on, or with the
+    name of a special token, go through it whole.  Runs of any length are single words; long texts are taken MANY words at a time.
+    """
+    known = words_of(path)
+    out = [np.zeros(0, "<u4")] * len(texts)
+    end = np.array([END_ID], "<u4")
+    some: list[tuple[int, list[str]]] = []
+    whole, held = [], 0
+
+    def flush() -> None:
+        nonlocal held
+        if some:
+            ids, size = known.ids([w for _, ws in some for w in ws])
+            ends = np.cumsum(size)
+            a = 0
+            for i, ws in some:
+                a += len(ws)
+                stop = int(ends[a - 1]) if a else 0
+                start = int(ends[a - len(ws) - 1]) if a > len(ws) else 0
+                out[i] = ids[start:stop]
+            some.clear()
+            held = 0
+
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        if (not t.isascii() and _far.search(t)) or any(x in t for x in known.special):
+            whole.append(i)
+        elif len(t) > MANY:
+            words = (m.group() for m in _word.finditer(t))
+            out[i] = np.concatenate([known.ids(list(part))[0] for part in batched(words, MANY)])
         else:
-            ids = fast.encode_ordinary(t)
-        out.append(np.array([*ids, END_ID], "<u4"))
-    return out
+            some.append((i, _word.findall(t)))
+            held += len(some[-1][1])
+            if held > MANY:
+                flush()
+    flush()
+    for i in whole:
+        out[i] = np.array(known.encoder.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, "<u4")
+    return [np.append(x, end) for x in out]
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:

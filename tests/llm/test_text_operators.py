@@ -16,15 +16,31 @@ BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_encoders_agree_below_limit():
+def _whole(texts):
+    """Ids by tokenizers of whole texts."""
+    return [e.ids for e in packing.encoder(BPE).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_ids_are_those_of_tokenizers(monkeypatch):
     rng = random.Random(1)
-    slow, fast = packing.encoders(BPE)
-    chars = [chr(c) for c in range(packing.SAME_BELOW)]
+    chars = [chr(c) for c in range(packing.PLAIN_BELOW)]
     texts = ["".join(chars[i : i + 3]) for i in range(len(chars))] + ["".join(rng.choice(chars) for _ in range(60)) for _ in range(600)]
-    texts += ["".join(rng.choice(" \n\t'sdmre\x85\xa0aZ9!é") for _ in range(40)) for _ in range(600)]
-    assert [slow.encode(t, add_special_tokens=False).ids for t in texts] == [fast.encode_ordinary(t) for t in texts]
-    odd = ["a<|endoftext|>b", "日本 ⅷ", None, ""]
-    assert [x.tolist()[:-1] for x in packing.encode(odd, BPE)] == [slow.encode(t or "", add_special_tokens=False).ids for t in odd]
+    texts += ["".join(rng.choice(" \n\t'sdmrevl\x85\xa0\x1caZ9!é") for _ in range(40)) for _ in range(600)]
+    texts += ["a<|endoftext|>b", "日本 ⅷ", None, "", "don't  stop\n\n", "\u2028x \u3000"]
+    assert [x.tolist() for x in packing.encode(texts, BPE)] == [[*x, packing.END_ID] for x in _whole(texts)]
+    monkeypatch.setattr(packing, "MANY", 7)  # long texts word group by word group
+    monkeypatch.setattr(packing, "KEPT", 50)  # and words forgotten on the way
+    assert [x.tolist() for x in packing.encode(texts[-800:], BPE)] == [[*x, packing.END_ID] for x in _whole(texts[-800:])]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x" + "\t" * 1_000_000 + "y", "9é " * 300_000])
+def test_ids_of_long_runs(text):
+    assert packing.encode([text], BPE)[0].tolist() == [*_whole([text])[0], packing.END_ID]
+
+
+def test_ids_of_whole_documents(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert [x.tolist() for x in packing.encode(texts, BPE)] == [[*x, packing.END_ID] for x in _whole(texts)]
 
 
 def test_first_fit_decreasing():
@@ -45,7 +61,7 @@ def test_first_fit_decreasing():
 
 
 def _check_packing(rows, docs):
-    want = Counter((i, len(x), tuple(x.tolist())) for i, x in zip([d["doc_id"] for d in docs], packing.encode([d["text"] for d in docs], BPE), strict=True))
+    want = Counter((d["doc_id"], len(x) + 1, (*x, packing.END_ID)) for d, x in zip(docs, _whole([d["text"] for d in docs]), strict=True))
     by_seq, pieces = defaultdict(list), defaultdict(Counter)
     for r in rows:
         by_seq[r["sequence_id"]].append((r["offset"], r["length"]))

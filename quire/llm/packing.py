@@ -7,7 +7,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from functools import lru_cache
-from itertools import batched
+from itertools import batched, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,17 @@ END_ID = 1
 PLAIN_BELOW = 0x250
 #: Different words kept with their ids, about.
 KEPT = 1 << 20
+#: Words that are encoded in one line.
+LINE = 500
 #: Words of a text handled at once.
 MANY = 1 << 17
 
 
 @lru_cache(2)
 def encoder(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -48,28 +53,50 @@ class Words:
     def __init__(self, path: str):
         self.encoder = encoder(path)
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
+        self.spells = np.array([len(self.encoder.id_to_token(i) or "") for i in range(self.encoder.get_vocab_size())])  # a character of a byte-level piece is a byte
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.pool, self.start, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has, from tokenizers.
+
+        A blank and letters begin a word after anything but white space, so such words are encoded in lines of LINE words; where the ids
+        of each end is told by the bytes that they spell.
+        """
+        plain = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool, len(words))
+        spaced = [w for w, ok in zip(words, plain.tolist(), strict=True) if ok]
+        others = [w for w, ok in zip(words, plain.tolist(), strict=True) if not ok]
+        lines = ["".join(spaced[a : a + LINE]) for a in range(0, len(spaced), LINE)]
+        ids = [e.ids for e in self.encoder.encode_batch_fast(lines + others, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids[: len(lines)]), "<u4", sum(map(len, ids[: len(lines)])))
+        rest = np.fromiter(chain.from_iterable(ids[len(lines) :]), "<u4", sum(map(len, ids[len(lines) :])))
+        spelled = np.cumsum(self.spells[flat])
+        ends = np.searchsorted(spelled, np.cumsum(np.fromiter((len(w.encode()) for w in spaced), np.int64, len(spaced)))) + 1
+        size = np.zeros(len(words), np.int64)
+        size[plain], size[~plain] = np.diff(ends, prepend=0), np.fromiter(map(len, ids[len(lines) :]), np.int64, len(others))
+        out, at = np.zeros(int(size.sum()), "<u4"), np.repeat(plain, size)
+        out[at], out[~at] = flat, rest
+        return out, size
+
     def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        for w in words:
-            self.number[w] = len(self.number)
+        ids, size = self._encoded(words)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size))
         self.count = np.concatenate((self.count, size))
-        self.pool = np.concatenate((self.pool, np.concatenate([np.array(x, "<u4") for x in ids])))
+        self.pool = np.concatenate((self.pool, ids))
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each has."""
         if len(self.number) > KEPT or len(self.pool) > 8 * KEPT:
             self.forget()
-        if new := list(set(words).difference(self.number)):
-            self._learn(new)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            missed = [words[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(missed)))
+            at[new] = [self.number[w] for w in missed]
         size = self.count[at]
         total = np.cumsum(size)
         return self.pool[np.repeat(self.start[at] - total + size, size) + np.arange(total[-1] if len(total) else 0)], size

@@ -4,11 +4,17 @@ Tokens (word shingles) are hashed into GROUPS groups; a document is the point of
 most the sum of the coordinate minima, and a node's box bounds all points below it, so whole pairs of nodes are pruned; the
 surviving pairs are verified on the sets.
 
-In many dimensions boxes of unrelated documents overlap, so one tree over a corpus would meet nearly all pairs of like size.  The
-trees therefore stand in blocks: documents that share a band of minhashes (ROWS of BANDS * ROWS).  A pair of similarity 0.8
-shares none with probability (1 - 0.8^4)^32 = 5e-8.  First the trees of the blocks yield families by their bounds, then trees
-over the leaves of each family yield the links, exactly.  No block or leaf pair is a large task: large families are dealt into leaves of
-at most about LEAF documents and each pair of leaves of like size is a task of its own.
+In many dimensions boxes of unrelated documents overlap, so one tree over a corpus would meet nearly all pairs of like size.  Trees therefore
+stand in blocks that lose no pair: put the tokens of all documents in one order; a set of n tokens shares fewer than n - p of them with anything that misses its first
+p = n // 5 + 1, which is less than similarity 0.8 needs.  So two linked documents share a token among their first ones, and
+documents that share such a token are a block.  The order puts frequent tokens last (see hot_tokens), so that blocks are small where documents have
+anything of their own, whatever passages they share.
+
+1. Each document is tried against the smallest id of each of its blocks (bound, then sets).  This contracts families of near
+   copies, which have many blocks of many pairs, to few parts, and blocks within one part need no more work.
+2. In each block that still has several parts a tree finds pairs across parts that the bound leaves.  They join documents to families.
+3. The leaves of the families' trees lie in tables; pairs of leaves are pruned by their boxes, pairs within one part are
+   skipped, and the others are dealt as tasks, in which trees over the points of both leaves choose the pairs that are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -23,16 +29,21 @@ from .common import growing, mix, scan, table, written
 from .components import components
 
 WORDS = 5
-BANDS, ROWS = 32, 4
 GROUPS = 64
-LEAF = 128
+#: Documents and bytes of sets of a leaf of a family, about.
+LEAF, LEAF_BYTES = 128, 8 << 20
 FANOUT = 16
+#: Documents of a block that one task takes; a larger one is split over the leaves of its family.
+BLOCK_ROWS = 1024
+#: Frequent tokens sent to all tasks, at most, and documents that a token must be in to count as frequent, at least.
+HOT, HOT_LEAST = 1 << 20, 64
+#: Bytes of one call of a grouped function, about.
+CALL = 16 << 20
 SEED = 99
 
 _rng = np.random.default_rng(SEED)
 LETTERS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 PLACES = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
-FACTORS = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: A-Z to a-z, and every white-space byte to a blank.
@@ -90,20 +101,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix(s))
 
 
-def minhashes(s: np.ndarray) -> np.ndarray:
-    x = (s >> np.uint64(32)).astype(np.uint32)
-    best = np.full(len(FACTORS), np.iinfo(np.uint32).max, np.uint32)
-    for a in range(0, len(x), 2048):
-        np.minimum(best, (FACTORS[:, None] * x[None, a : a + 2048]).min(1), out=best)
-    return best
-
-
-def band_keys(s: np.ndarray) -> np.ndarray:
-    m = minhashes(s).astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = mix(key * BASE + m[:, k])
-    return key.view(np.int64)
+def first_tokens(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first tokens of a set (sorted hashes) in the common order, frequent ones last: a linked set shares one of them."""
+    p = len(s) // 5 + 1
+    if len(hot) and len(s):
+        late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+        if late.any():
+            s = np.concatenate((s[~late], s[late]))
+    return s[:p]
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -135,8 +140,8 @@ class CountTree:
             level = [(list(range(a, min(a + FANOUT, len(level)))), np.max([x[1] for x in level[a : a + FANOUT]], axis=0), min(x[2] for x in level[a : a + FANOUT]), max(x[3] for x in level[a : a + FANOUT])) for a in range(0, len(level), FANOUT)]
             self.levels.append(level)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs whose bound reaches what they need."""
+    def pairs(self, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs whose bound reaches what they need; with part only those of different parts."""
         left, right = [], []
         top = len(self.levels) - 1
         stack = [(top, 0, 0)] if self.levels[0] else []
@@ -151,6 +156,8 @@ class CountTree:
             p, q = x[0], y[0]
             bound = np.minimum(self.points[p][:, None, :], self.points[q][None, :, :]).sum(2)
             fit = bound >= needed(self.sizes[p][:, None], self.sizes[q][None, :])
+            if part is not None:
+                fit &= part[p][:, None] != part[q][None, :]
             if i == j:
                 fit &= np.triu(np.ones(fit.shape, bool), 1)
             a, b = np.nonzero(fit)
@@ -162,10 +169,10 @@ class CountTree:
 
 
 class Forest:
-    """Union-find that keeps the edges that joined something."""
+    """Union-find."""
 
     def __init__(self, n: int):
-        self.up, self.edges = list(range(n)), []
+        self.up = list(range(n))
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -173,11 +180,11 @@ class Forest:
             i = self.up[i]
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
         a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[a] = b
-            self.edges.append((i, j))
+        self.up[a] = b
+        return a != b
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -210,74 +217,121 @@ def _groups(t: pa.Table, key: str):
     return np.split(order, at[1:]) if len(k) else []
 
 
+def _edges(a: list, b: list) -> pa.Table:
+    cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+
+def _points(col: pa.ChunkedArray) -> np.ndarray:
+    return col.combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+
+
 def near_in_block(t: pa.Table) -> pa.Table:
-    """Spanning edges of the pairs of each block that the bound leaves."""
-    ids, sizes = t["id"].to_numpy(), t["n"].to_numpy()
-    points = np.frombuffer(b"".join(t["point"].to_pylist()), "<i4").reshape(-1, GROUPS)
+    """Parts joined by pairs of each block that the bound leaves: spanning edges."""
+    sizes, part, points = t["n"].to_numpy(), t["part"].to_numpy(), _points(t["point"])
     a, b = [], []
-    two = [g for g in _groups(t, "block")]
-    pairs = np.array([g for g in two if len(g) == 2]).reshape(-1, 2)
-    if len(pairs):  # most blocks: all bounds at once
-        p, q = pairs.T
-        fit = np.minimum(points[p], points[q]).sum(1) >= needed(sizes[p], sizes[q])
-        a.append(ids[p[fit]])
-        b.append(ids[q[fit]])
-    for g in two:
+    groups = _groups(t, "block")
+    two = np.array([g for g in groups if len(g) == 2], np.int64).reshape(-1, 2)
+    if len(two):  # trees of one leaf with two points, side by side
+        p, q = two.T
+        fit = (part[p] != part[q]) & (np.minimum(points[p], points[q]).sum(1) >= needed(sizes[p], sizes[q]))
+        a.append(part[p[fit]])
+        b.append(part[q[fit]])
+    for g in groups:
         if len(g) > 2:
-            forest = Forest(len(g))
-            for i, j in zip(*map(np.ndarray.tolist, CountTree(points[g], sizes[g]).pairs()), strict=True):
-                forest.join(i, j)
-            if forest.edges:
-                i, j = np.array(forest.edges).T
-                a.append(ids[g[i]])
-                b.append(ids[g[j]])
-    cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
-    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+            own, at = np.unique(part[g], return_inverse=True)
+            i, j = CountTree(points[g], sizes[g]).pairs(at)
+            keep = _spanning(at[i], at[j], len(own))
+            a.append(own[at[i[keep]]])
+            b.append(own[at[j[keep]]])
+    return _edges(a, b)
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
+    """The places of edges that join something."""
+    forest = Forest(n)
+    return [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if forest.join(x, y)]
 
 
 def links_in_unit(t: pa.Table) -> pa.Table:
-    """Spanning edges of the links among the documents of each unit; in a unit of two leaves only links across count."""
-    ids, leaf, sets = t["id"].to_numpy(), t["leaf"].to_numpy(), [np.frombuffer(x, "<u8") for x in t["tokens"].to_pylist()]
+    """Parts joined by links among the documents of each unit: spanning edges; in a unit of two leaves only links across leaves count."""
+    leaf, part, sets = t["leaf"].to_numpy(), t["part"].to_numpy(), [np.frombuffer(x, "<u8") for x in t["tokens"].to_pylist()]
     a, b = [], []
     for g in _groups(t, "unit"):
-        g = g[np.unique(ids[g], return_index=True)[1]]
         own = [sets[i] for i in g]
         sizes = np.array([len(s) for s in own])
-        i, j = CountTree(np.array([point(s) for s in own]), sizes).pairs()
+        kinds, at = np.unique(part[g], return_inverse=True)
+        i, j = CountTree(np.array([point(s) for s in own]), sizes).pairs(at)
         if len(np.unique(leaf[g])) > 1:
             cross = leaf[g[i]] != leaf[g[j]]
             i, j = i[cross], j[cross]
         if len(i):
             real = overlaps(own, i, j) >= needed(sizes[i], sizes[j])
-            forest = Forest(len(g))
-            for x, y in zip(i[real].tolist(), j[real].tolist(), strict=True):
-                forest.join(x, y)
-            a += [int(ids[g[x]]) for x, _ in forest.edges]
-            b += [int(ids[g[y]]) for _, y in forest.edges]
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            i, j = i[real], j[real]
+            keep = _spanning(at[i], at[j], len(kinds))
+            a.append(kinds[at[i[keep]]])
+            b.append(kinds[at[j[keep]]])
+    return _edges(a, b)
+
+
+def links_to_hub(t: pa.Table) -> pa.Table:
+    """Parts joined by links between the hub (leaf 0) of each unit and the others."""
+    leaf, part, sets = t["leaf"].to_numpy(), t["part"].to_numpy(), [np.frombuffer(x, "<u8") for x in t["tokens"].to_pylist()]
+    a: list[int] = []
+    b: list[int] = []
+    for g in _groups(t, "unit"):
+        for h in g[leaf[g] == 0]:
+            for i in g[leaf[g] != 0]:
+                if len(np.intersect1d(sets[h], sets[i], assume_unique=True)) >= needed(len(sets[h]), len(sets[i])):
+                    a.append(part[h])
+                    b.append(part[i])
+    return _edges([np.array(a, np.int64)], [np.array(b, np.int64)])
 
 
-def _bucketed(df: DataFrame, key: str, f, schema: str) -> DataFrame:
-    """f over many values of key at once: enough buckets for even tasks, few enough calls."""
-    n = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("bucket").applyInArrow(f, schema)
+def _called(df: DataFrame, key: str, total: int, f, schema: str) -> DataFrame:
+    """f over the whole groups of many values of key at once, of about CALL bytes each; total: the bytes of df."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(1 + int(total // CALL)))).groupBy("bucket").applyInArrow(f, schema)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n, a digest of the set (d, e), the point and the band keys of every row."""
+def _arrays(sets: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def sketch(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray | None = None) -> DataFrame:
+    """id, n, a digest of the set (d, e) and the first tokens of every row; with the frequent tokens known also the point."""
+    given = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
 
     def run(t: pa.Table) -> pa.Table:
-        n, digest, points, bands = [], bytearray(), [], []
+        late = given.value if given is not None else np.zeros(0, np.uint64)
+        n, digest, points, first = [], bytearray(), [], []
         for x in t["text"].to_pylist():
             s = shingles(x)
             n.append(len(s))
             digest += xxhash.xxh3_128_digest(s.tobytes())
-            points.append(point(s).astype("<i4").tobytes())
-            bands.append(band_keys(s) if len(s) > 3 else None)  # smaller sets link with equal ones only
+            first.append(first_tokens(s, late) if len(s) else s)
+            if given is not None:
+                points.append(point(s))
         d = np.frombuffer(bytes(digest), np.int64).reshape(-1, 2)
-        return pa.table([t["id"], pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(points, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "d", "e", "point", "bands"])
+        cols = [t["id"], pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), _arrays(first)]
+        if given is not None:
+            at = pa.array(np.arange(len(points) + 1) * GROUPS, pa.int32())
+            cols.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(points))))
+        return pa.table(cols, names=["id", "n", "d", "e", "first", "point"][: len(cols)])
+
+    schema = "id long, n long, d long, e long, first array<long>" + ", point array<int>" * (hot is not None)
+    return scan(docs, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], run, schema)
 
-    return scan(docs, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], run, "id long, n long, d long, e long, point binary, bands array<long>")
+
+def hot_tokens(rows: DataFrame) -> np.ndarray:
+    """Sorted tokens that are among the first of more than h rows, of all rows; h is HOT_LEAST, or what bounds them by HOT.
+
+    Any order loses no pair; this one keeps blocks small.  There are at most (number of first tokens) / h of them.
+    """
+    total = rows.agg(F.sum(F.size("first"))).collect()[0][0] or 0
+    h = max(HOT_LEAST, -(-total // HOT))
+    counts = rows.select(F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("m"))
+    return np.sort(counts.filter(F.col("m") > h).select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,58 +339,95 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows of equal sets are one class and appear by their smallest id.  Null, empty and blank texts have no shingle and are linked
     with nothing; so are rows with a null id, whose component is null.  Rows of one id with different texts count as linked.
+    An empty table gives no rows.  Texts are read whole, whatever their length.  Similarities of 0.8 exactly are links; ties cannot arise.
     """
     rows = written(sketch(docs, id_col, text_col))
     real = rows.filter("n > 0 and id is not null")
     classes = written(real.groupBy("n", "d", "e").agg(F.min("id").alias("rep")))
+    hot = hot_tokens(real.select("first"))
     # one row for each class: its sketch is that of any member
-    reps = real.join(classes.select("n", "d", "e", F.col("rep").alias("id")), ["n", "d", "e", "id"]).dropDuplicates(["n", "d", "e"])
-    reps = written(reps.select("id", "n", "d", "e", "point", "bands"))
-
-    keys = reps.filter("bands is not null").select(F.explode("bands").alias("key"), "id", "n")
-    shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("id", F.lit(SEED))).alias("x")).filter("m > 1"))
-    # equal blocks of several bands are one block
+    keyed = sketch(docs, id_col, text_col, hot).filter("n > 0 and id is not null")
+    reps = written(keyed.join(growing(classes.select("n", "d", "e", F.col("rep").alias("id"))), ["n", "d", "e", "id"]).dropDuplicates(["n", "d", "e"]).select("id", "n", "point", "first"))
+    points = reps.select("id", "n", "point")
+
+    keys = reps.select(F.explode("first").alias("key"), "id", "n")
+    low = F.min(F.struct("id", "n")).alias("low")
+    shared = written(keys.groupBy("key").agg(low, F.max("id").alias("high"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("id", F.lit(SEED))).alias("x")).filter("m > 1"))
+    # equal blocks of several tokens are one block
     blocks = written(shared.groupBy("low", "high", "m", "x").agg(F.min("key").alias("key")))
-    pairs = blocks.filter("m = 2").select(F.col("key").alias("block"), F.explode(F.array("low", "high")).alias("id"))
-    several = written(keys.join(growing(blocks.filter("m > 2").select("key", "m")), "key"))
-    grouped = several.filter(F.col("m") <= LEAF).select(F.col("key").alias("block"), "id")
-    in_blocks = written(pairs.unionByName(grouped)).join(growing(reps.select("id", "n", "point")), "id")
-    near = _bucketed(in_blocks, "block", near_in_block, "a long, b long")
-    # large blocks: linked sizes differ by a quarter at most, so stars within neighbouring classes of size lose no link
-    size_class = F.floor(F.log("n") / np.log(1.25)).cast("int")
-    windows = written(several.filter(F.col("m") > LEAF).select("key", "id", F.explode(F.array(size_class, size_class + 1)).alias("w")))
-    hubs = written(windows.groupBy("key", "w").agg(F.min("id").alias("hub")))
-    stars = windows.join(growing(hubs), ["key", "w"]).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    families = written(components(near.unionByName(stars)))
-
-    linked = _links(docs, families, id_col, text_col, reps)
-    found = written(components(linked))
-    named = classes.join(found, classes["rep"] == found["id"], "left").select("n", "d", "e", F.coalesce("component", "rep").alias("component"))
-    own = rows.select("id", "n", "d", "e").join(growing(written(named)), ["n", "d", "e"], "left")
-    return own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-
-
-def _links(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, reps: DataFrame) -> DataFrame:
-    """Verified spanning links of every family, from the whole sets of its members."""
-    members = families.join(growing(reps.select("id", "n")), "id").withColumn("class", F.floor(F.log("n") / np.log(1.25)).cast("long"))
-    members = written(members.select("id", "component", "class"))
-    per_class = members.groupBy("component", "class").agg(F.ceil(F.count("*") / LEAF).cast("long").alias("leaves"))
-    plan = written(per_class.groupBy("component").agg(F.collect_list(F.struct("class", "leaves")).alias("plan")))
+    pairs = blocks.filter("m = 2").select(F.col("key").alias("block"), "m", F.col("low.id").alias("hub"), F.col("low.n").alias("hub_n"), F.explode(F.array("low.id", "high")).alias("id"))
+    several = keys.join(growing(blocks.filter("m > 2").select("key", "m", F.col("low.id").alias("hub"), F.col("low.n").alias("hub_n"))), "key")
+    members = written(several.select(F.col("key").alias("block"), "m", "hub", "hub_n", "id").unionByName(pairs))
+
+    # 1. stars
+    own = members.filter("id <> hub").select("id", "hub", "hub_n").distinct()
+    near = own.join(growing(points), "id").filter("5 * n >= 4 * hub_n and 5 * hub_n >= 4 * n")
+    near = near.join(growing(points.select(F.col("id").alias("hub"), F.col("point").alias("hub_point"))), "hub")
+    bound = F.aggregate(F.zip_with("point", "hub_point", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    stars = written(near.filter(9 * bound >= 4 * (F.col("n") + F.col("hub_n"))).select("id", "hub", "n"))
+    load = stars.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / LEAF, 8 * F.sum("n") / LEAF_BYTES)).cast("long").alias("spread"))
+    unit = F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("spread")))
+    dealt = stars.join(growing(load), "hub").select("id", "hub", unit.alias("unit"))
+    rays = dealt.select("unit", "id", F.lit(1).cast("long").alias("leaf")).unionByName(dealt.select("unit", F.col("hub").alias("id"), F.lit(0).cast("long").alias("leaf")).distinct())
+    part_of = written(components(_verified(docs, rays.withColumn("part", F.col("id")), links_to_hub, id_col, text_col)))
+
+    # 2. trees in blocks of several parts
+    parted = members.join(growing(part_of), "id", "left").select("block", "m", "id", F.coalesce("component", "id").alias("part"))
+    mixed = parted.groupBy("block").agg(F.min("part").alias("one"), F.max("part").alias("other")).filter("one <> other")
+    parted = written(parted.join(growing(mixed.select("block", "one")), "block"))
+    small = parted.filter(F.col("m") <= BLOCK_ROWS)
+    tried = _called(small.select("block", "id", "part").join(growing(points), "id"), "block", small.count() * (4 * GROUPS + 64), near_in_block, "a long, b long")
+    whole = parted.filter(F.col("m") > BLOCK_ROWS).select(F.col("part").alias("a"), F.col("one").alias("b")).filter("a <> b").distinct()
+    joined = tried.unionByName(whole)
+    families = written(components(joined).select(F.col("id").alias("part"), F.col("component").alias("family")))
+
+    # 3. leaves of families, links between their parts
+    everyone = points.join(growing(part_of), "id", "left").select("id", "n", "point", F.coalesce("component", "id").alias("part")).join(growing(families), "part")
+    last = written(components(_links(docs, everyone, id_col, text_col)))
+
+    final = classes.join(growing(part_of.select(F.col("id").alias("rep"), F.col("component").alias("part"))), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    final = final.join(growing(last.select(F.col("id").alias("part"), "component")), "part", "left").select("n", "d", "e", F.coalesce("component", "part").alias("component"))
+    out = rows.select("id", "n", "d", "e").join(growing(written(final)), ["n", "d", "e"], "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def _verified(docs: DataFrame, units: DataFrame, links, id_col: str, text_col: str) -> DataFrame:
+    """What links finds in units (unit, id, leaf, part), from the whole sets of their documents."""
+    units = written(units)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def tokens(t: pa.Table) -> pa.Table:
-        return pa.table([t["id"], pa.array([shingles(x).astype("<u8").tobytes() for x in t["text"].to_pylist()], pa.binary())], names=["id", "tokens"])
-
-    sets = scan(texts.join(growing(members.select("id").distinct()), "id", "left_semi"), ["id", "text"], tokens, "id long, tokens binary")
-    placed = members.join(plan, "component")
-    near = F.filter("plan", lambda p: F.abs(p["class"] - F.col("class")) <= 1)
-    count = F.element_at(F.filter("plan", lambda p: p["class"] == F.col("class")), 1)["leaves"]
-    code = lambda c, x: c * (1 << 40) + x
-    placed = placed.select("id", "component", near.alias("near"), code(F.col("class"), F.pmod(F.xxhash64("id"), count)).alias("leaf"))
-    others = F.flatten(F.transform("near", lambda p: F.transform(F.sequence(F.lit(0).cast("long"), p["leaves"] - 1), lambda x: code(p["class"], x))))
-    units = placed.select("id", "component", "leaf", F.explode(others).alias("other"))
-    units = units.select("id", "leaf", F.xxhash64("component", F.least("leaf", "other"), F.greatest("leaf", "other")).alias("unit"))
-    return _bucketed(units.join(growing(sets), "id"), "unit", links_in_unit, "a long, b long")
+        found = [shingles(x) for x in t["text"].to_pylist()]
+        return pa.table([t["id"], pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], names=["id", "tokens"])
+
+    once = texts.join(growing(units.select("id").distinct()), "id", "left_semi").dropDuplicates(["id", "text"])
+    sets = written(scan(once, ["id", "text"], tokens, "id long, tokens binary").withColumn("size", F.octet_length("tokens") + 32))
+    total = units.join(growing(sets.select("id", "size")), "id").agg(F.sum("size")).collect()[0][0] or 0
+    return written(_called(units.join(growing(sets.drop("size")), "id"), "unit", total, links, "a long, b long"))
+
+
+def _links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links across the parts of every family: members has id, n, point, part, family.
+
+    A leaf holds about LEAF documents of one class of size, of one large part or of several small ones.
+    """
+    members = written(members.withColumn("class", F.floor(F.log("n") / np.log(1.25)).cast("long")))
+    own = F.when(F.col("of_part") >= LEAF, F.col("part").cast("string")).otherwise("")
+    per_part = written(members.groupBy("family", "class", "part").agg(F.count("*").alias("of_part"), F.sum("n").alias("n_part")).withColumn("own", own))
+    size = per_part.groupBy("family", "class", "own").agg(F.ceil(F.greatest(F.sum("of_part") / LEAF, 8 * F.sum("n_part") / LEAF_BYTES)).cast("long").alias("leaves"))
+    place = per_part.join(growing(size), ["family", "class", "own"]).select("family", "class", "part", "own", "leaves")
+    placed = members.join(growing(written(place)), ["family", "class", "part"])
+    placed = written(placed.withColumn("leaf", F.xxhash64("family", "class", "own", F.pmod(F.xxhash64("id"), F.col("leaves")))))
+    corner = [F.max(F.get("point", k)).alias(f"c{k}") for k in range(GROUPS)]
+    leaves = placed.groupBy("family", "class", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("part").alias("p"), F.max("part").alias("q"), *corner)
+    leaves = written(leaves.select("family", "class", "leaf", "least", "most", "p", "q", F.array(*[f"c{k}" for k in range(GROUPS)]).alias("box")))
+    other = leaves.select("family", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("class2"), F.col("leaf").alias("leaf2"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("box").alias("box2"))
+    met = leaves.join(growing(other), ["family", "class"]).filter("(class <> class2 or leaf <= leaf2) and not (p = q and p2 = q2 and p = p2)")
+    bound = F.aggregate(F.zip_with("box", "box2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    met = met.filter(F.expr("5 * most >= 4 * least2 and 5 * most2 >= 4 * least") & (9 * bound >= 4 * (F.col("least") + F.col("least2"))))
+    met = written(met.select("leaf", "leaf2", F.xxhash64("leaf", "leaf2").alias("unit")))
+    ends = met.select("unit", F.explode(F.array_distinct(F.array("leaf", "leaf2"))).alias("leaf"))
+    return _verified(docs, ends.join(growing(placed.select("leaf", "id", "part")), "leaf").select("unit", "id", "leaf", "part"), links_in_unit, id_col, text_col)
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,6 +60,8 @@ def test_planted(spark, monkeypatch):
     rows += [(400, "a b c d e f g h"), (401, "A B C D E F G H"), (402, "a b c d e f g h i"), (403, "a b c"), (404, "a  b\tc"), (405, ""), (406, None), (407, "a b c d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     monkeypatch.setattr(J, "LEAF", 16)
+    monkeypatch.setattr(J, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(J, "HOT_LEAST", 10)
     assert _got(J.join_components(docs)) == brute(rows)
 
 

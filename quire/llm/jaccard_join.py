@@ -111,8 +111,19 @@ def first_tokens(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return s[:p]
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def groups_of(n: int) -> int:
+    """How many groups the tokens of a set of n are hashed into: a power of two, an eighth of n at least, so that the bound tells unrelated sets of any size apart."""
+    return max(GROUPS, 1 << max(0, (n - 1) // 8).bit_length())
+
+
+def point(s: np.ndarray, groups: int | None = None) -> np.ndarray:
+    g = groups or groups_of(len(s))
+    return np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.int32)
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """A point of more groups as one of fewer: groups are low bits of hashes."""
+    return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.int32)
 
 
 def needed(a, b):
@@ -168,6 +179,22 @@ class CountTree:
         return np.concatenate(left), np.concatenate(right)
 
 
+def survivors(points: list[np.ndarray], sizes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different parts that the bound leaves, by a tree for each number of groups.
+
+    A pair is met in the tree of the smaller one's number; as linked sizes differ by a quarter at most, only points of twice as many groups join it.
+    """
+    groups = np.array([len(p) for p in points])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for g in np.unique(groups).tolist():
+        own = np.flatnonzero((groups == g) | ((groups == 2 * g) & (sizes <= 10 * g)))
+        if len(np.unique(part[own])) > 1:
+            i, j = CountTree(np.array([folded(points[k], g) for k in own]), sizes[own]).pairs(part[own])
+            left.append(own[i])
+            right.append(own[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 class Forest:
     """Union-find."""
 
@@ -222,28 +249,21 @@ def _edges(a: list, b: list) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def _points(col: pa.ChunkedArray) -> np.ndarray:
-    return col.combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+def _points(col: pa.ChunkedArray) -> list[np.ndarray]:
+    col = col.combine_chunks()
+    return np.split(col.flatten().to_numpy(), (col.offsets.to_numpy() - col.offsets[0].as_py())[1:-1]) if len(col) else []
 
 
 def near_in_block(t: pa.Table) -> pa.Table:
     """Parts joined by pairs of each block that the bound leaves: spanning edges."""
     sizes, part, points = t["n"].to_numpy(), t["part"].to_numpy(), _points(t["point"])
     a, b = [], []
-    groups = _groups(t, "block")
-    two = np.array([g for g in groups if len(g) == 2], np.int64).reshape(-1, 2)
-    if len(two):  # trees of one leaf with two points, side by side
-        p, q = two.T
-        fit = (part[p] != part[q]) & (np.minimum(points[p], points[q]).sum(1) >= needed(sizes[p], sizes[q]))
-        a.append(part[p[fit]])
-        b.append(part[q[fit]])
-    for g in groups:
-        if len(g) > 2:
-            own, at = np.unique(part[g], return_inverse=True)
-            i, j = CountTree(points[g], sizes[g]).pairs(at)
-            keep = _spanning(at[i], at[j], len(own))
-            a.append(own[at[i[keep]]])
-            b.append(own[at[j[keep]]])
+    for g in _groups(t, "block"):
+        own, at = np.unique(part[g], return_inverse=True)
+        i, j = survivors([points[k] for k in g], sizes[g], at)
+        keep = _spanning(at[i], at[j], len(own))
+        a.append(own[at[i[keep]]])
+        b.append(own[at[j[keep]]])
     return _edges(a, b)
 
 
@@ -261,7 +281,7 @@ def links_in_unit(t: pa.Table) -> pa.Table:
         own = [sets[i] for i in g]
         sizes = np.array([len(s) for s in own])
         kinds, at = np.unique(part[g], return_inverse=True)
-        i, j = CountTree(np.array([point(s) for s in own]), sizes).pairs(at)
+        i, j = survivors([point(s) for s in own], sizes, at)
         if len(np.unique(leaf[g])) > 1:
             cross = leaf[g[i]] != leaf[g[j]]
             i, j = i[cross], j[cross]
@@ -274,6 +294,13 @@ def links_in_unit(t: pa.Table) -> pa.Table:
     return _edges(a, b)
 
 
+def bounded(t: pa.Table) -> pa.Table:
+    """The rows whose points (point, hub_point) have a bound that reaches what their sizes need."""
+    both = zip(_points(t["point"]), _points(t["hub_point"]), strict=True)
+    total = np.array([np.minimum(folded(p, g), folded(q, g)).sum() for p, q in both for g in (min(len(p), len(q)),)])
+    return t.select(["id", "hub", "n"]).filter(pa.array(total >= needed(t["n"].to_numpy(), t["hub_n"].to_numpy())))
+
+
 def links_to_hub(t: pa.Table) -> pa.Table:
     """Parts joined by links between the hub (leaf 0) of each unit and the others."""
     leaf, part, sets = t["leaf"].to_numpy(), t["part"].to_numpy(), [np.frombuffer(x, "<u8") for x in t["tokens"].to_pylist()]
@@ -315,7 +342,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray | None =
         d = np.frombuffer(bytes(digest), np.int64).reshape(-1, 2)
         cols = [t["id"], pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), _arrays(first)]
         if given is not None:
-            at = pa.array(np.arange(len(points) + 1) * GROUPS, pa.int32())
+            at = pa.array(np.cumsum([0, *map(len, points)]), pa.int32())
             cols.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(points))))
         return pa.table(cols, names=["id", "n", "d", "e", "first", "point"][: len(cols)])
 
@@ -363,8 +390,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = members.filter("id <> hub").select("id", "hub", "hub_n").distinct()
     near = own.join(growing(points), "id").filter("5 * n >= 4 * hub_n and 5 * hub_n >= 4 * n")
     near = near.join(growing(points.select(F.col("id").alias("hub"), F.col("point").alias("hub_point"))), "hub")
-    bound = F.aggregate(F.zip_with("point", "hub_point", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    stars = written(near.filter(9 * bound >= 4 * (F.col("n") + F.col("hub_n"))).select("id", "hub", "n"))
+    stars = written(scan(near, ["id", "hub", "n", "hub_n", "point", "hub_point"], bounded, "id long, hub long, n long"))
     load = stars.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / LEAF, 8 * F.sum("n") / LEAF_BYTES)).cast("long").alias("spread"))
     unit = F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("spread")))
     dealt = stars.join(growing(load), "hub").select("id", "hub", unit.alias("unit"))
@@ -376,7 +402,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = parted.groupBy("block").agg(F.min("part").alias("one"), F.max("part").alias("other")).filter("one <> other")
     parted = written(parted.join(growing(mixed.select("block", "one")), "block"))
     small = parted.filter(F.col("m") <= BLOCK_ROWS)
-    tried = _called(small.select("block", "id", "part").join(growing(points), "id"), "block", small.count() * (4 * GROUPS + 64), near_in_block, "a long, b long")
+    heavy = small.join(growing(points.select("id", F.size("point").alias("g"))), "id").agg(F.sum(4 * F.col("g") + 64)).collect()[0][0] or 0
+    tried = _called(small.select("block", "id", "part").join(growing(points), "id"), "block", heavy, near_in_block, "a long, b long")
     whole = parted.filter(F.col("m") > BLOCK_ROWS).select(F.col("part").alias("a"), F.col("one").alias("b")).filter("a <> b").distinct()
     joined = tried.unionByName(whole)
     families = written(components(joined).select(F.col("id").alias("part"), F.col("component").alias("family")))
@@ -418,7 +445,8 @@ def _links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> D
     place = per_part.join(growing(size), ["family", "class", "own"]).select("family", "class", "part", "own", "leaves")
     placed = members.join(growing(written(place)), ["family", "class", "part"])
     placed = written(placed.withColumn("leaf", F.xxhash64("family", "class", "own", F.pmod(F.xxhash64("id"), F.col("leaves")))))
-    corner = [F.max(F.get("point", k)).alias(f"c{k}") for k in range(GROUPS)]
+    fold = lambda k: F.aggregate(F.sequence(F.lit(k), F.size("point") - 1, F.lit(GROUPS)), F.lit(0), lambda x, i: x + F.get("point", i))
+    corner = [F.max(F.when(F.size("point") == GROUPS, F.get("point", F.lit(k))).otherwise(fold(k))).alias(f"c{k}") for k in range(GROUPS)]
     leaves = placed.groupBy("family", "class", "leaf").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("part").alias("p"), F.max("part").alias("q"), *corner)
     leaves = written(leaves.select("family", "class", "leaf", "least", "most", "p", "q", F.array(*[f"c{k}" for k in range(GROUPS)]).alias("box")))
     other = leaves.select("family", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("class2"), F.col("leaf").alias("leaf2"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("box").alias("box2"))

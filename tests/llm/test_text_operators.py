@@ -1,5 +1,6 @@
 """Packing, line dedup, quality rules, merge dropout, substring dedup."""
 
+import math
 import random
 import re
 import zlib
@@ -166,6 +167,69 @@ def test_quality_bound():
     assert quality_rules.bounded(0, 1000, 0.01, 0.01) and not quality_rules.bounded(0, 100, 0.01, 0.01) and not quality_rules.bounded(0, 0, 0.5, 0.5)
 
 
+def test_quality_guarantee():
+    """Over many draws of labels the chosen cutoffs reject more than the rate of good texts in a share of at most delta of the draws."""
+    rng = np.random.default_rng(3)
+    rate, level, wide, bad = 0.05, 0.1, 400, 0
+    truth = rng.normal(0.1, 0.05, (200_000, len(quality_rules.RULES))).clip(0)
+    truth[:, 2] *= 60  # long_words has a scale of its own
+    learned = 0
+    for _ in range(wide):
+        v = rng.normal(0.1, 0.05, (600, truth.shape[1])).clip(0)
+        v[:, 2] *= 60
+        good = rng.random(600) < 0.8
+        v[~good] *= rng.choice([1, 2], (int((~good).sum()), 1))  # some bad texts look like good ones
+        tuned = np.arange(600) % quality_rules.TUNED == 0
+        sets = quality_rules.path(v[tuned], good[tuned], 8)
+        hold, ok = v[~tuned], good[~tuned]
+        lost = [(hold > np.array(c)).any(1) for c in sets]
+        take = quality_rules.chosen([(int((x & ok).sum()), int((x & ~ok).sum())) for x in lost], int(ok.sum()), rate, level)
+        if take:
+            learned += 1
+            bad += (truth > np.array(sets[take - 1])).any(1).mean() > rate
+    assert learned > wide / 2 and bad <= level * wide
+
+
+def test_quality_kept_is_brute_force(spark):
+    """kept of the query, from labels and texts by plain Python."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    hashed = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("h")).withColumn("tuned", F.pmod(F.xxhash64("h", F.lit(13)), F.lit(quality_rules.TUNED)) == 0).withColumn("place", F.pmod(F.xxhash64("h", F.lit(14)), F.lit(1 << 30)))
+    marks = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        marks[r["doc_id"]] = marks.get(r["doc_id"], False) or r["quality"] == 1
+    rules = {
+        "symbols": lambda m: m[2] / max(m[1], 1), "dup_lines": lambda m: m[3] / max(m[5], 1), "long_words": lambda m: m[1] / max(m[0], 1),
+        "capitals": lambda m: m[6] / max(m[1], 1), "marks": lambda m: m[7] / max(m[0], 1),
+    }
+    assert list(rules) == list(quality_rules.RULES)
+    seen, once = {}, {}
+    for r in hashed.collect():
+        m = quality_rules.measure(r["text"])
+        seen[r["doc_id"]] = (r["lang"] or "", m, [f(m) for f in rules.values()], m[0] < 10 or 100 * m[4] > 20 * m[0])
+        if r["doc_id"] in marks and not seen[r["doc_id"]][3]:
+            old = once.get((r["lang"] or "", r["h"]))
+            once[r["lang"] or "", r["h"]] = (r["place"], r["tuned"], seen[r["doc_id"]][2], marks[r["doc_id"]] or bool(old and old[3]))
+    strata, cut = {k for k, _ in once}, {}
+    for lang in strata:
+        rows = sorted(x for (k, _), x in once.items() if k == lang)
+        part = [x for x in rows if x[1]]
+        hold = [x for x in rows if not x[1]]
+        sets = quality_rules.path(np.array([x[2] for x in part]), np.array([x[3] for x in part]))
+        best, n = 0, sum(x[3] for x in hold)
+        for c in sets:
+            lost = [x for x in hold if any(v > y for v, y in zip(x[2], c, strict=True))]
+            g = sum(x[3] for x in lost)
+            if sum(math.comb(n, i) * 0.03**i * 0.97 ** (n - i) for i in range(g + 1)) > 0.05 / len(strata):
+                break
+            if len(lost) - 2 * g > best:
+                best, cut[lang] = len(lost) - 2 * g, c
+    assert set(cut) == strata  # every language learns to reject
+    for r in quality_rules.op3_quality_rules(spark, sf).collect():
+        lang, _, v, failed = seen[r["doc_id"]]
+        assert r["kept"] == (not failed and not any(x > y for x, y in zip(v, cut[lang], strict=True)))
+
+
 def test_quality_learns_and_filters(spark, odd_docs, no_docs):
     rng = random.Random(5)
     good = [(n, " ".join(rng.choice("abcdefghij") * rng.randint(2, 7) for _ in range(40)), "en") for n in range(3000)]

@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, scan, table
+from .common import bucket, scan, table, written
 
 UNKNOWN = "und"
-BITS = 7
-#: Space for grams of one to three characters, each of BITS bits.
-SPACE = 1 << (3 * BITS)
+#: Grams of one to three characters are hashed into 2^BITS places.
+BITS = 21
+SPACE = 1 << BITS
 STEP = 256
+#: Odd factors of the characters of a gram, by its length and their place.
+FACTORS = np.random.default_rng(71).integers(1, 1 << 63, (3, 3), dtype=np.uint64) | np.uint64(1)
 
 
 @dataclass
 class Model:
     langs: list[str]
-    alphabet: dict[int, int]
     column: np.ndarray  # gram -> column of landmarks, -1 for grams of no landmark
     landmarks: np.ndarray  # presence, columns by landmarks
     sizes: np.ndarray  # grams of each landmark
@@ -33,44 +35,40 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def grams(text: str, alphabet: dict[int, int], fold: np.ndarray) -> np.ndarray:
-    """Distinct grams of one to three characters of a whole text; characters outside the alphabet share one symbol, digits and marks too."""
-    c = codes(text)
-    x = fold[np.minimum(c, len(fold) - 1)].astype(np.int64)
-    high = c >= len(fold) - 1
-    if high.any():
-        x[high] = [alphabet.get(int(v), 1) for v in c[high]]
-    x = np.concatenate(([2], x, [2]))
-    two = (x[:-1] << BITS) | x[1:]
-    three = (two[:-1] << BITS) | x[2:]
-    seen = np.zeros(SPACE, bool) if len(x) > 200_000 else None
-    if seen is not None:
-        seen[x], seen[two], seen[three] = True, True, True
-        return np.flatnonzero(seen)
-    return np.unique(np.concatenate((x, two, three)))
+@lru_cache(1)
+def _fold() -> np.ndarray:
+    """Letters of any script stand for themselves, white space for 2 and all else for 1."""
+    out = np.ones(0x110000, np.uint64)
+    for c in range(0x110000):
+        if chr(c).isalpha():
+            out[c] = c
+        elif chr(c).isspace():
+            out[c] = 2
+    return out
 
 
-def _fold(alphabet: dict[int, int]) -> np.ndarray:
-    """Character -> symbol below 0x250; 1 is any other character, 2 white space."""
-    out = np.ones(0x251, np.int64)
-    for c in range(0x250):
-        out[c] = alphabet.get(c, 2 if chr(c).isspace() else 1)
-    return out
+def grams(text: str) -> np.ndarray:
+    """Distinct places of the grams of one to three characters of a whole text, with white space before and after it."""
+    x = np.concatenate(([np.uint64(2)], _fold()[codes(text)], [np.uint64(2)]))
+    places = []
+    for k in (1, 2, 3):
+        h = x[: len(x) - k + 1] * FACTORS[k - 1, 0]
+        for j in range(1, k):
+            h = (h ^ (h >> np.uint64(29))) * FACTORS[k - 1, j] + x[j : len(x) - k + 1 + j] * FACTORS[0, j]
+        places.append(((h ^ (h >> np.uint64(31))) * FACTORS[0, 0] >> np.uint64(64 - BITS)).astype(np.int64))
+    if len(x) > 200_000:
+        seen = np.zeros(SPACE, bool)
+        for p in places:
+            seen[p] = True
+        return np.flatnonzero(seen)
+    return np.unique(np.concatenate(places))
 
 
 def train(texts: list[str], langs: list[str], landmarks: int = 160, ridge: float = 1e-2, seed: int = 5) -> Model:
     """Landmarks are drawn evenly from the languages; all texts fit the ridge regression."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    counts: dict[int, int] = {}
-    for t in texts:
-        for v, n in zip(*np.unique(codes(t), return_counts=True), strict=True):
-            if chr(v).isalpha():
-                counts[int(v)] = counts.get(int(v), 0) + int(n)
-    letters = sorted(counts, key=lambda v: (-counts[v], v))[: (1 << BITS) - 4]
-    alphabet = {v: k + 3 for k, v in enumerate(sorted(letters))}
-    fold = _fold(alphabet)
-    sets = [grams(t, alphabet, fold) for t in texts]
+    sets = [grams(t) for t in texts]
     chosen: list[int] = []
     for name in names:
         own = [i for i, x in enumerate(langs) if x == name]
@@ -81,7 +79,7 @@ def train(texts: list[str], langs: list[str], landmarks: int = 160, ridge: float
     marks = np.zeros((len(used), len(chosen)), np.float32)
     for k, i in enumerate(chosen):
         marks[column[sets[i]], k] = 1
-    model = Model(names, alphabet, column, marks, np.array([len(sets[i]) for i in chosen], float), np.zeros((len(chosen), len(names))), np.zeros(len(names)))
+    model = Model(names, column, marks, np.array([len(sets[i]) for i in chosen], float), np.zeros((len(chosen), len(names))), np.zeros(len(names)))
     inner = kernel([sets[i] for i in chosen], model)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
@@ -115,11 +113,10 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], li
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if model is None:
         return langs, scores
-    fold = _fold(model.alphabet)
     live = [i for i, t in enumerate(texts) if t and has_letter(t)]
     for a in range(0, len(live), STEP):
         part = live[a : a + STEP]
-        out = kernel([grams(texts[i], model.alphabet, fold) for i in part], model) @ model.weights + model.bias
+        out = kernel([grams(texts[i]) for i in part], model) @ model.weights + model.bias
         p = np.exp(3 * (out - out.max(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         for i, k, q in zip(part, out.argmax(1), p, strict=True):
@@ -127,30 +124,31 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], li
     return langs, scores
 
 
-def sample(labels: DataFrame, docs: DataFrame, per_label: int, seed: int) -> list[tuple[str, str]]:
+def sample(labels: DataFrame, docs: DataFrame, per_label: int, seed: int, longest: int = 1 << 20) -> list[tuple[str, str]]:
     """At most per_label distinct texts of each label, as (text, label): the bounded sample on which a model is fitted.
 
-    labels: columns i (id) and y (label); docs: i and t (text).  Counts by label give each label a share; ids are kept by a seeded
-    hash under that share, with twice the margin, and the smallest hashes win.  Texts are then fetched by a broadcast of those
-    ids, at most 2 * per_label for each label.  Rows with null text or label are left out.
+    labels: columns i (id) and y (label); docs: i and t (text).  Each id counts once, with its smallest label; counts by label give each
+    label a share; ids are kept by a seeded hash under that share, with twice the margin, and the smallest hashes win.  Texts are then
+    fetched by a broadcast of those ids, at most 2 * per_label for each label, one text an id (the smallest); texts of more than `longest`
+    characters are not drawn.  Rows with null text or label are left out.
     """
-    rows = labels.filter(F.col("y").isNotNull() & F.col("i").isNotNull()).select("i", F.col("y").cast("string").alias("y"))
+    rows = labels.filter(F.col("y").isNotNull() & F.col("i").isNotNull()).groupBy("i").agg(F.min(F.col("y").cast("string")).alias("y"))
+    rows = written(rows.withColumn("d", F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30))))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0)
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(int(min(1.0, 3 * per_label / n) * (1 << 30)))).otherwise(share)
-    ids = rows.withColumn("d", F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30))).filter(F.col("d") < share).collect()
+    ids = rows.filter(F.col("d") < share).collect()
     label, taken = {}, dict.fromkeys(counts, 0)
     for r in sorted(ids, key=lambda r: (r["d"], r["i"])):
-        if r["i"] not in label and taken[r["y"]] < 2 * per_label:
+        if taken[r["y"]] < 2 * per_label:
             label[r["i"]] = r["y"]
             taken[r["y"]] += 1
     if not label:
         return []
     wanted = docs.sparkSession.createDataFrame([(i,) for i in label], rows.select("i").schema)
-    text: dict = {}
-    for r in docs.select("i", "t").filter("t is not null").join(F.broadcast(wanted), "i").collect():
-        text[r["i"]] = min(text.get(r["i"], r["t"]), r["t"])
+    fetched = docs.select("i", "t").filter(F.length("t") <= longest).join(F.broadcast(wanted), "i").groupBy("i").agg(F.min("t").alias("t"))
+    text = {r["i"]: r["t"] for r in fetched.collect()}
     out, seen, taken = [], set(), dict.fromkeys(counts, 0)
     for i, y in label.items():
         if i in text and text[i] not in seen and taken[y] < per_label:
@@ -165,6 +163,7 @@ def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str
 
     learn_from: a condition for rows whose lang_col may be learnt from; at most per_language of each language are
     collected.  Null text, text without a letter, or nothing to learn from: UNKNOWN with score 0.  Ties go to the language first in order.
+    Texts are read whole, whatever their length; repeated rows get a row each, null ids too; an empty table gives no rows.
     """
     known = docs.filter(learn_from).select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"))
     rows = sample(known, docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), per_language, seed)

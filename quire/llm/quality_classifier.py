@@ -28,11 +28,13 @@ class Model:
 
 
 def dictionary(texts: list[bytes], size: int) -> bytes:
-    """A raw content dictionary: equal slices of the texts, as many as fit."""
-    if not texts:
-        return b""
-    each = max(64, size // len(texts))
-    return b"\n".join(t[:each] if len(t) <= 2 * each else t[len(t) // 2 - each // 2 :][:each] for t in texts)[:size]
+    """A raw content dictionary of whole texts in the order given, as many as fit; texts of more than a 256th of it only if nothing else is there."""
+    out, held = [], 0
+    for t in [t for t in texts if 256 * len(t) <= size] or sorted(texts, key=len)[:1]:
+        if held + len(t) + 1 <= size or not out:
+            out.append(t)
+            held += len(t) + 1
+    return b"\n".join(out)
 
 
 class Sizer:
@@ -73,7 +75,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
     return [b[2] for b in blocks], [b[0] for b in blocks]
 
 
-def train(rows: list[tuple[str, str]], prior: float, size: int = 256 << 10) -> Model | None:
+def train(rows: list[tuple[str, str]], prior: float, size: int = 1 << 20) -> Model | None:
     """Half of the rows of each label make the dictionaries, the other half the calibration, weighted to the prior."""
     by = {y: [t.encode("utf-8", "surrogatepass") for t, z in rows if z == y] for y in ("0", "1")}
     if min(map(len, by.values())) < 2:
@@ -102,9 +104,10 @@ def score_all(docs: DataFrame, marks: DataFrame, learn_from, label: str = "quali
     """doc_id and score (0 to 1) of every row of docs.
 
     marks: id_col and a 0/1 label; learn_from: condition on rows of marks that may be learnt from; at most per_label
-    rows of each label are collected, and half of them fit a dictionary of 256 KB a label, each by one slice of its share (see
-    dictionary).  Empty and null texts get the prior, the share of label 1; so do all texts if one label has
-    fewer than two rows (0.5 without labels).
+    rows of each label are collected, and half of them fill a dictionary of at most 1 MB a label with whole texts (see
+    dictionary).  Empty, blank and null texts get the prior, the share of label 1; so do all texts if one label has
+    fewer than two rows (0.5 without labels).  Equal texts have equal scores; texts are scored whole, whatever their length.  Repeated rows
+    get a row each, null ids too; an empty table gives no rows.
     """
     known = marks.filter(learn_from & F.col(label).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label).alias("y"))
     got = known.agg(F.avg("y").alias("p")).collect()[0]["p"]

@@ -46,9 +46,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def spelled(host: Column, path: Column) -> Column:
-    """What the models read of a URL."""
-    return F.concat(host, F.translate(path, UPPER, LOWER))
+def spelled(url: Column) -> Column:
+    """What the models read of a URL: all that follows the first '://' (host, path, query string, fragment), or the whole text without one, A-Z lowered."""
+    at = F.instr(url, "://")
+    return F.translate(F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(url), F.lit("")), UPPER, LOWER)
 
 
 def grams(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -97,15 +98,15 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     The rules' own verdicts are the labels: URLs outside HELD train the models, the others set the threshold, the highest
     whole hundredth of a nat per character under which at most MISSED of the accepted held-out URLs lie.  What no rule fits is
     allowed if its log-likelihood difference per character (the end counts as one) reaches the threshold; weight_sum is that
-    difference before the division, in 1/UNIT nats, null where a rule decides.  Null URLs and such without '://' are judged as the
-    empty text.  The models are defined without labels too (all weights 0); without held-out accepted URLs the
+    difference before the division, in 1/UNIT nats, null where a rule decides.  Null URLs are judged as the empty text,
+    such without '://' by their whole text.  The models are defined without labels too (all weights 0); without held-out accepted URLs the
     threshold is 0.  Repeated rows get a row each; an empty table gives no rows.
     """
     host, path = parts(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    labelled = base.filter("rule is not null").select((F.col("ruled") == "allow").alias("accepted"), F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD).alias("held"), spelled(F.col("host"), F.col("path")).alias("spelled"))
+    labelled = base.filter("rule is not null").select((F.col("ruled") == "allow").alias("accepted"), F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD).alias("held"), spelled(F.col("url")).alias("spelled"))
     table_ = F.broadcast(weights(grams(labelled.filter("not held"), ["accepted"])))
 
     def scored(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -117,7 +118,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     bins = held.groupBy("bin").agg(F.count("*").alias("n"))
     below = bins.withColumn("below", F.sum("n").over(Window.orderBy("bin")) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
     cut = below.filter(F.col("below") <= MISSED * F.col("total")).agg(F.coalesce(F.max("bin") * 10_000, F.lit(0)).alias("threshold"))
-    rows = base.withColumn("spelled", F.when(F.col("rule").isNull(), spelled(F.col("host"), F.col("path"))))
+    rows = base.withColumn("spelled", F.when(F.col("rule").isNull(), spelled(F.col("url"))))
     out = scored(rows, ["page_id", "url", "host", "path", "rule", "ruled"])
     out = out.withColumn("threshold", cut.scalar())
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")).alias("verdict"), "weight_sum")
@@ -133,7 +134,7 @@ SQL = f"""
 WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
 b AS (SELECT *, regexp_extract(after, '^[^/?#]*') AS raw FROM a),
 c AS (SELECT page_id, url, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(after, length(raw) + 1), '^[^?#]*') AS path FROM b),
-d AS (SELECT *, CASE {_FITS} END AS rule, row_number() OVER () AS uid, host || translate(path, '{UPPER}', '{LOWER}') AS t FROM c),
+d AS (SELECT *, CASE {_FITS} END AS rule, row_number() OVER () AS uid, translate(coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE url END, ''), '{UPPER}', '{LOWER}') AS t FROM c),
 e AS (SELECT *, CASE rule {_KIND} END AS ruled, substr(md5(url), 1, 1) IN ('{"', '".join(HELD)}') AS held FROM d),
 pos AS (SELECT uid, ruled, held, t, unnest(range(1, length(t) + 2)) AS i FROM e),
 sym AS (SELECT uid, ruled, held, CASE WHEN i <= length(t) THEN strpos('{SYMBOLS}', substr(t, i, 1)) ELSE 42 END AS z,

@@ -15,14 +15,42 @@ SMALL = "/root/testdata/sf0.01"
 def test_kernel_is_the_brute_force_kernel():
     texts = ["the cat sat", "le chat noir", "die Katze 12", "the dog"]
     m = language_id.train(texts, ["en", "fr", "de", "en"], landmarks=3)
-    fold = language_id._fold(m.alphabet)
-    sets = [language_id.grams(t, m.alphabet, fold) for t in texts]
+    sets = [language_id.grams(t) for t in texts]
+    # distinct grams have distinct places here, and the counts are those of strings
+    text = " " + "".join(c if c.isalpha() else " " if c.isspace() else "1" for c in texts[2].lower()) + " "
+    assert len(sets[2]) == len({text[k : k + n] for n in (1, 2, 3) for k in range(len(text) - n + 1)})
     got = language_id.kernel(sets, m)
     marks = [set(np.flatnonzero(m.column >= 0)[m.landmarks[:, k] > 0].tolist()) for k in range(m.landmarks.shape[1])]
     want = [[len(set(s.tolist()) & z) / np.sqrt(len(s) * len(z)) for z in marks] for s in sets]
     assert np.allclose(got, want, atol=1e-6)
     long = "abc " * 80_000
-    assert (language_id.grams(long, m.alphabet, fold) == language_id.grams("abc " * 10, m.alphabet, fold)).all()
+    assert (language_id.grams(long) == language_id.grams("abc " * 10)).all()
+
+
+def test_ridge_solution():
+    """The regression through Nystroem features solves the weighted normal equations, and with all texts as landmarks it is kernel ridge regression."""
+    texts = [f"{a} {b} {c}" for a in ("the", "le", "der") for b in ("cat", "chat", "kater") for c in ("sat", "dort", "sitzt", "x")]
+    langs = [t.split()[0] for t in texts]
+    m = language_id.train(texts, langs, landmarks=36, ridge=0.05)
+    k = language_id.kernel([language_id.grams(t) for t in texts], m)  # columns in the order of the landmarks
+    order = [int(np.argmax(k[:, j])) for j in range(k.shape[1])]
+    assert sorted(order) == list(range(36)) and np.allclose(k.max(0), 1, atol=1e-6)
+    gram = k[order]
+    y = np.array([[1.0 if t == n else -1.0 for n in m.langs] for t in langs])
+    want = gram[:, :] @ np.linalg.solve(gram + 0.05 * len(texts) / 36 * np.eye(36), (y - m.bias)[order]) + m.bias
+    assert np.allclose(k[order] @ m.weights + m.bias, want, atol=1e-4)
+
+
+def test_many_scripts(spark):
+    """Letters of any script count, however many there are."""
+    rng = random.Random(12)
+    start = {"zh": 0x4E00, "ko": 0xAC00, "hi": 0x905, "ru": 0x430, "ar": 0x627, "el": 0x3B1, "th": 0xE01, "he": 0x5D0}
+    width = {"zh": 3000, "ko": 3000}
+    rows = [(n, " ".join("".join(chr(c + rng.randrange(width.get(lang, 20))) for _ in range(4)) for _ in range(40)), lang) for lang, c in start.items() for n in range(40)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, F.col("doc_id") % 4 != 2).collect()}
+    held = [(got[k], lang) for k, (_, _, lang) in enumerate(rows) if k % 4 == 2]
+    assert sum(a == b for a, b in held) > 0.95 * len(held)
 
 
 def test_language_id(spark, odd_docs, no_docs):
@@ -182,6 +210,37 @@ def test_quality_classifier(spark, odd_docs, no_docs):
     assert quality_classifier.score_all(no_docs, marks, F.lit(True)).count() == 0
 
 
+def test_scores_are_those_of_plain_compression(spark, monkeypatch):
+    """Every score from the dictionaries and knots of the model by zstandard alone; the fit is that of whole texts."""
+    import zstandard
+
+    train, models = quality_classifier.train, []
+    monkeypatch.setattr(quality_classifier, "train", lambda rows, prior: models.append((rows, train(rows, prior))) or models[0][1])
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.op9_quality_classifier(spark, SMALL).collect()}
+    rows, m = models[0]
+    texts = {t.encode() for t, _ in rows}
+    assert any(m.good.startswith(t) for t in texts) and any(m.bad.startswith(t) for t in texts)
+    assert m.values == sorted(m.values) and m.knots == sorted(m.knots)
+    packer = lambda d: zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+    good, bad = packer(m.good), packer(m.bad)
+    close = 0
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    for r in docs:
+        raw = r["text"].encode()
+        cut = [raw[k : k + quality_classifier.SEGMENT] for k in range(0, len(raw), quality_classifier.SEGMENT)]
+        d = (sum(len(bad.compress(x)) for x in cut) - sum(len(good.compress(x)) for x in cut)) / max(1, len(raw))
+        if not raw.strip():
+            want = m.prior
+        elif d <= m.knots[0] or d >= m.knots[-1]:
+            want = m.values[0] if d <= m.knots[0] else m.values[-1]
+        else:
+            k = next(k for k in range(len(m.knots)) if m.knots[k] > d)
+            share = (d - m.knots[k - 1]) / (m.knots[k] - m.knots[k - 1])
+            want = m.values[k - 1] + share * (m.values[k] - m.values[k - 1])
+        close += abs(want - got[r["doc_id"]]) < 1e-9
+    assert close == len(docs)
+
+
 def test_isotonic():
     rng = random.Random(9)
     x, y = [rng.random() for _ in range(300)], []

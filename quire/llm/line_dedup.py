@@ -55,7 +55,7 @@ def removed_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = own.select("_id", "_hash", F.inline(F.transform("_list", lambda c: F.struct(c["k"].alias("k"), c["digest"].alias("digest"), chunk_text(F.element_at("_chunks", c["k"] + 1)["a"], F.element_at("_chunks", c["k"] + 1)["b"]).alias("bytes")))))
     clash = written(texts.select("digest", "bytes").distinct().groupBy("digest").count().filter("count > 1").select("digest"))
     if not clash.isEmpty():  # different texts under one digest: decide them by text
-        exact = texts.join(F.broadcast(clash), "digest")
+        exact = texts.join(growing(clash), "digest")
         held = exact.groupBy("digest", "bytes").agg(F.min("_id").alias("holder"), F.count("*").alias("n")).filter("n > 1").drop("n")
         found = found.join(clash, "digest", "left_anti").unionByName(exact.join(held, ["digest", "bytes"]), allowMissingColumns=True)
     else:

@@ -361,7 +361,7 @@ def segment(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, id_co
 
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: pieces under dropout, without dropout, a digest of the ids, and whether they decode to the text."""
+    """Per document: the number of pieces under dropout, a digest of their ids, and whether they decode to the text."""
     import public_tokenizers
 
     path, rate, seed = public_tokenizers.path("piece_bpe_32k.model"), 0.1, 1

@@ -32,11 +32,9 @@ def form_values(nodes: DataFrame) -> DataFrame:
 
 def math_text(nodes: DataFrame) -> DataFrame:
     """T4: doc_id, path, pre, value: all text below each m:oMath that stands in no other."""
-    tops = nodes.filter("name = 'm:oMath' and not math").select(*KEY, F.col("pre").alias("m"), F.col("post").alias("m_post"))
-    below = nodes.filter("math or name = 'm:oMath'").select(*KEY, "pre", "text")
-    found = tops.join(below, KEY).filter("pre >= m and pre < m_post")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "")
-    return found.groupBy(*KEY, F.col("m").alias("pre")).agg(F.concat(F.lit("<latex>"), text, F.lit("</latex>")).alias("value"))
+    found = nodes.filter("formula is not null").select(*KEY, F.col("pre").alias("at"), "formula", "text")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
+    return found.groupBy(*KEY, F.col("formula").alias("pre")).agg(F.concat(F.lit("<latex>"), text, F.lit("</latex>")).alias("value"))
 
 
 def fragments(nodes: DataFrame, runs: DataFrame, rels: DataFrame, styles: DataFrame | None, html: bool) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LETTERS = "ijklm"
 
@@ -110,7 +111,25 @@ def children(nodes: DataFrame, of: DataFrame, name: str | None = None) -> DataFr
 
 
 def nearest(nodes: DataFrame, name: str) -> DataFrame:
-    """doc_id, path, pre and found, the pre of the nearest node of that name at or above each node.  A part's intervals are joined within the part only."""
-    up = nodes.filter(F.col("name") == name).select("doc_id", "path", F.col("pre").alias("a"), F.col("post").alias("a_post"), F.col("level").alias("a_level"))
-    hit = nodes.select("doc_id", "path", "pre", "post").join(up, ["doc_id", "path"]).filter("a <= pre and post <= a_post")
-    return hit.groupBy("doc_id", "path", "pre").agg(F.max_by("a", "a_level").alias("found"))
+    """doc_id, path, pre and found, the pre of the nearest node of that name at or above each node that has one.
+
+    Two windows over the events of a part: how many such nodes are open, and the last one opened while as many were open.
+    """
+    key = ["doc_id", "path"]
+    mine = F.col("name") == name
+    event = lambda at, step, node: F.struct(at.alias("seq"), F.lit(step).alias("step"), node.alias("node"))
+    none = F.lit(None).cast("int")
+    of = F.when(mine, F.array(event(F.col("pre"), 1, F.col("pre")), event(F.col("post"), -1, none))).otherwise(F.array(event(F.col("pre"), 0, F.col("pre"))))
+    events = nodes.select(*key, F.inline(of)).withColumn("open", F.sum("step").over(Window.partitionBy(*key).orderBy("seq")))
+    same = Window.partitionBy(*key, "open").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    found = events.filter("node is not null and open > 0").withColumn("found", F.last(F.when(F.col("step") == 1, F.col("node")), ignorenulls=True).over(same))
+    return found.select(*key, F.col("node").alias("pre"), "found")
+
+
+def lookup(nodes: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """The nodes of a prefixed name below the nodes `of` (doc_id, path, pre) at any depth, with `within`, the pre of the innermost of these above."""
+    marked = nodes.join(of.select("doc_id", "path", "pre", F.lit("\0").alias("_of")).distinct(), ["doc_id", "path", "pre"], "left")
+    inner = nearest(marked.withColumn("name", F.coalesce("_of", "name")), "\0")
+    above = nodes.filter(F.col("name") == name)
+    up = inner.select("doc_id", "path", F.col("pre").alias("parent"), F.col("found").alias("within"))
+    return above.join(up, ["doc_id", "path", "parent"])

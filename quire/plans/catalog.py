@@ -256,7 +256,7 @@ def f2_run_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p12_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines are headings."""
     d = _table(spark, sf_dir, "documents")
-    body = B.cat(B.p(B.r(B.t(F.get(_lines(), F.lit(0)))), '<w:pStyle w:val="Heading1"/>'), _pars(F.slice(_lines(), 2, 1_000_000)))
+    body = B.cat(B.p(B.r(B.t(F.get(_lines(), F.lit(0)))), '<w:pStyle w:val="Heading1"/>'), _pars(F.slice(_lines(), 2, F.size(_lines()))))
     return _long(Extraction(_docs(d, "doc_id", body), html=True).headings.select("doc_id", "style", "text"))
 
 
@@ -364,11 +364,10 @@ def s12_core_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(e.core_properties.select("doc_id", F.explode("properties").alias("key", "val")))
 
 
-@query("SELECT vec_id AS doc_id, 'vec.bin' AS name, CAST(octet_length(encode('' || label || ':' || vec_id)) AS INTEGER) AS n_bytes, md5('' || label || ':' || vec_id) AS digest FROM embeddings")
+@query("SELECT doc_id, 'text.bin' AS name, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes, md5(text) AS digest FROM documents")
 def s13_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _table(spark, sf_dir, "embeddings")
-    raw = F.encode(F.concat_ws(":", F.col("label").cast("string"), F.col("vec_id").cast("string")), "utf-8")
-    e = Extraction(_docs(v, "vec_id", B.p(""), media={"vec.bin": raw}))
+    """Whole texts as media members, byte for byte."""
+    e = Extraction(_docs(_table(spark, sf_dir, "documents"), "doc_id", B.p(""), media={"text.bin": F.encode("text", "utf-8")}))
     return _long(e.images.select("doc_id", "name", F.length("bytes").alias("n_bytes"), F.md5("bytes").alias("digest")))
 
 
@@ -409,3 +408,153 @@ def s5_part_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "nation").withColumn("links", F.array(F.struct(F.lit("L0").alias("id"), F.concat(F.lit("http://x/"), F.col("n_name")).alias("target"))))
     e = Extraction(_docs(n, "n_nationkey", B.p(B.r(B.t(F.col("n_name")))), links=F.col("links"), parts={"header1.xml": B.root("hdr", B.p(""))}))
     return _long(e.parts.groupBy("doc_id", "type", "path").agg(F.count("*").alias("n")))
+
+
+def _word_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables for each document: its lines as rows with their words as cells, and its language."""
+    words = F.transform(_lines(), lambda x: F.transform(F.split(x, " ", -1), lambda w: F.array(w)))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array(words, F.array(F.array(F.array("lang")))).alias("tables"))
+
+
+@query("SELECT doc_id, CAST(t.i AS INTEGER) AS i, CAST(CASE t.i WHEN 0 THEN len(string_split(text, chr(10))) ELSE 1 END AS INTEGER) AS n_rows FROM documents, LATERAL (SELECT unnest([0, 1]) AS i) t")
+def i3_iter_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.iter_tables(_word_tables(spark, sf_dir)).select("doc_id", F.get("at", F.lit(0)).alias("i"), F.size("item").alias("n_rows"))
+
+
+_ROWS = "(SELECT doc_id, CAST(0 AS INTEGER) AS i, CAST(p.n - 1 AS INTEGER) AS j, string_split(string_split(text, chr(10))[p.n], ' ') AS w FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n) p UNION ALL SELECT doc_id, 1, 0, [lang] FROM documents)"
+
+
+@query(f"SELECT doc_id, i, j, CAST(len(w) AS INTEGER) AS n_cells FROM {_ROWS}")
+def i8_enum_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.enum_rows(_word_tables(spark, sf_dir)).select("doc_id", "i", "j", F.size("item").alias("n_cells"))
+
+
+@query(f"SELECT doc_id, i, j, CAST(c.n - 1 AS INTEGER) AS k, w[c.n] AS word FROM {_ROWS} r, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS n) c")
+def i5_iter_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda n: F.get("at", F.lit(n))
+    return iterate.iter_cells(_word_tables(spark, sf_dir)).select("doc_id", at(0).alias("i"), at(1).alias("j"), at(2).alias("k"), F.get("item", F.lit(0)).alias("word"))
+
+
+@query("SELECT p_partkey AS doc_id, 0 AS i, 0 AS j, 0 AS k, 0 AS l, '<b>' || p_name || '</b>' || p_brand || '<i>' || p_type || '</i>' AS text FROM part")
+def g1_join_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: three runs of different formats, joined."""
+    run = lambda c, style="": B.r(B.t(F.col(c)), style)
+    e = Extraction(_docs(_table(spark, sf_dir, "part"), "p_partkey", B.p(B.cat(run("p_name", "<w:b/>"), run("p_brand"), run("p_type", "<w:i/>")))), html=True)
+    return _long(views.join_runs(e.runs))
+
+
+_KINDS = "CASE role WHEN 'system' THEN 'header' WHEN 'user' THEN 'body' ELSE 'footer' END"
+
+
+@query(f"SELECT conv_id AS doc_id, {_KINDS} AS section, CAST(row_number() OVER (PARTITION BY conv_id, {_KINDS} ORDER BY turn, text) - 1 AS INTEGER) AS l, text FROM conversations")
+def p10_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: each section by itself."""
+    c = _table(spark, sf_dir, "conversations").withColumn("v", B.p(B.r(B.t(F.col("text")))))
+    of = lambda *roles: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role").isin(*roles), F.struct("turn", "text", "v")))), lambda x: x["v"]), "")
+    other = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("role").isin("system", "user"), F.struct("turn", "text", "v")))), lambda x: x["v"]), "")
+    d = c.groupBy("conv_id").agg(of("system").alias("h"), of("user").alias("b"), other.alias("f"))
+    some = lambda tag, x: F.when(F.col(x) != "", B.root(tag, F.col(x)))
+    e = Extraction(_docs(d, "conv_id", F.col("b"), parts={"header1.xml": some("hdr", "h"), "footer1.xml": some("ftr", "f")}))
+    out = None
+    for kind in ("header", "body", "footer"):
+        own = e.section(kind).select("doc_id", F.lit(kind).alias("section"), "l", "text")
+        out = own if out is None else out.unionByName(own)
+    return _long(out)
+
+
+@query("""
+SELECT CAST(c_custkey AS BIGINT) AS doc_id, s.section AS section, s.i AS i, s.p || c_name || s.q AS text FROM customer,
+  LATERAL (SELECT unnest([0, 0, 1, 2, 2, 2]) AS section, unnest([0, 1, 2, 3, 4, 5]) AS i, unnest(['first ', 'second ', '', 'x ', 'y ', 'z ']) AS p, unnest([' head', ' head', '', ' foot', ' foot', ' foot']) AS q) s
+""")
+def u2_many_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several headers and footers follow one another in order of their paths; i counts through."""
+    par = lambda a, b: B.p(B.r(B.t(F.concat(F.lit(a), F.col("c_name"), F.lit(b)))))
+    parts = {"header2.xml": B.root("hdr", par("second ", " head")), "header1.xml": B.root("hdr", par("first ", " head")), "footer3.xml": B.root("ftr", par("z ", " foot")), "footer1.xml": B.root("ftr", par("x ", " foot")), "footer2.xml": B.root("ftr", par("y ", " foot"))}
+    return _long(Extraction(_docs(_table(spark, sf_dir, "customer"), "c_custkey", par("", ""), parts=parts)).document.select("doc_id", "section", "i", "text"))
+
+
+@query("SELECT s_suppkey AS doc_id, 'logo ----media/a.png--------media/b.png---- of ' || s_name AS text FROM supplier")
+def j3_vml_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of the older kind; one without a relationship leaves nothing."""
+    shape = lambda i: f'<w:pict><v:shape><v:imagedata r:id="{i}"/></v:shape></w:pict>'
+    body = B.p(B.cat(B.r(B.t(F.lit("logo "))), B.r(B.cat(shape("m0") + shape("m1") + shape("none"))), B.r(B.t(F.concat(F.lit(" of "), F.col("s_name"))))))
+    return _long(Extraction(_docs(_table(spark, sf_dir, "supplier"), "s_suppkey", body, media={"a.png": F.lit(b"a"), "b.png": F.lit(b"b")})).text)
+
+
+@query("SELECT p_partkey AS doc_id, p_name || p_name || p_type AS text FROM part")
+def t17_other_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags without a meaning of their own are looked through, deleted text is not text, and both alternatives are read."""
+    text = B.t(F.col("p_name"))
+    either = B.cat('<mc:AlternateContent><mc:Choice Requires="wps">', text, "</mc:Choice><mc:Fallback>", text, "</mc:Fallback></mc:AlternateContent>")
+    gone = B.cat('<w:del w:id="1"><w:r><w:delText>', B.esc(F.col("p_brand")), "</w:delText></w:r></w:del>")
+    kept = B.cat('<w:ins w:id="2"><w:smartTag>', B.r(B.t(F.col("p_type"))), "</w:smartTag></w:ins>")
+    return _long(Extraction(_docs(_table(spark, sf_dir, "part"), "p_partkey", B.p(B.cat(B.r(either), gone, kept)))).text)
+
+
+@query("""
+SELECT s_suppkey AS doc_id, CAST(v.k AS INTEGER) AS k, CASE v.k WHEN 0 THEN s_name WHEN 3 THEN 'end' ELSE '' END AS text, CASE WHEN v.k IN (1, 2) THEN 'document,,,,' ELSE 'document,tbl,tr,tc,p' END AS lineage
+FROM supplier, LATERAL (SELECT unnest([0, 1, 2, 3]) AS k) v
+""")
+def p14_filler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The empty paragraphs that fill a span when nothing is duplicated."""
+    cell = lambda x, style="": B.tc(B.p(B.r(B.t(x))), style)
+    body = B.tbl(B.tr(B.cat(cell(F.col("s_name"), '<w:gridSpan w:val="3"/>'), cell(F.lit("end")))))
+    e = Extraction(_docs(_table(spark, sf_dir, "supplier"), "s_suppkey", body), duplicate_merged_cells=False)
+    return _long(e.document.select("doc_id", "k", "text", F.array_join("lineage", ",").alias("lineage")))
+
+
+def _part_grids(spark: SparkSession, sf_dir: str) -> Extraction:
+    """A package for every hundred parts: a table with a row for every ten."""
+    p = _table(spark, sf_dir, "part").withColumn("doc", F.expr("p_partkey div 100")).withColumn("row", F.expr("(p_partkey % 100) div 10"))
+    rows = _ordered(p, ["doc", "row"], ["p_partkey"], B.tc(B.p(B.r(B.t(F.col("p_name")))))).withColumn("tr", B.tr(F.array_join("items", "")))
+    return Extraction(_docs(_ordered(rows, "doc", ["row"], F.col("tr")), "doc", B.tbl(F.array_join("items", ""))))
+
+
+_GRID = "(SELECT CAST(p_partkey // 100 AS BIGINT) AS doc_id, (p_partkey % 100) // 10 AS j, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) - 1 AS k, p_name FROM part)"
+
+
+@query(f"SELECT doc_id, CAST(k AS INTEGER) AS k, p_name AS text FROM {_GRID}")
+def x3_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of a table extracted alone: addresses start anew."""
+    e = _part_grids(spark, sf_dir)
+    return _long(e.partial(e.nodes.filter("name = 'w:tr'")).document.select("doc_id", "k", "text"))
+
+
+@query(f"SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS INTEGER) AS tr, CAST(k AS INTEGER) AS tc, p_name AS text FROM {_GRID}")
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row and the cell around each text, by their places among their siblings (cells follow no properties here, rows neither)."""
+    nodes = _part_grids(spark, sf_dir).nodes
+    key = ["doc_id", "path"]
+    out = nodes.filter("name = 'w:t'").select(*key, "pre", "text")
+    for tag in ("w:tr", "w:tc"):
+        place = nodes.filter(F.col("name") == tag).select(*key, F.col("pre").alias("found"), F.col("ord").alias(tag[2:]))
+        out = out.join(iterate.nearest(nodes, tag), [*key, "pre"]).join(place, [*key, "found"]).drop("found")
+    return _long(out.select("doc_id", "tr", "tc", "text"))
+
+
+@query(f"SELECT doc_id, count(*) AS n_cells, count(*) AS n_texts, count(DISTINCT j) AS n_rows FROM {_GRID} GROUP BY doc_id")
+def p3_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children and descendants by qualified name."""
+    nodes = _part_grids(spark, sf_dir).nodes
+    tables = nodes.filter("name = 'w:tbl'")
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    rows = iterate.children(nodes, tables, "w:tr")
+    return _long(count(iterate.children(nodes, rows, "w:tc"), "n_cells").join(count(iterate.lookup(nodes, tables, "w:t"), "n_texts"), "doc_id").join(count(rows, "n_rows"), "doc_id"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name || '!' AS text, 'markup word/document.xml' AS stage, '2 comments or instructions without a tag skipped' AS message FROM nation")
+def p1_markup_without_a_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments and processing instructions have no name; they are skipped with a warning."""
+    body = B.cat("<!-- one -->", B.p(B.cat(B.r(B.t(F.col("n_name"))), "<?two?>", B.r(B.t(F.lit("!"))))))
+    e = Extraction(_docs(_table(spark, sf_dir, "nation"), "n_nationkey", body))
+    return _long(e.text.join(e.warnings.filter("stage like 'markup%'"), "doc_id").select("doc_id", "text", "stage", "message"))
+
+
+@query("SELECT count(*) AS n_texts, CAST(0 AS BIGINT) AS n_left FROM nation")
+def s3_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: what an extraction wrote is gone when it is closed."""
+    with Extraction(_docs(_table(spark, sf_dir, "nation"), "n_nationkey", B.p(B.r(B.t(F.col("n_name")))))) as e:
+        n, held = e.text.count(), list(e._held)
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    left = sum(path(x).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(x)) for x in held)
+    return spark.createDataFrame([(n, left if held else -1)], "n_texts long, n_left long")

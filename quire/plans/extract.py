@@ -53,7 +53,7 @@ class Extraction:
     # sources
     def members(self, keep: str) -> DataFrame:
         """The members whose names match."""
-        return unzip(self.packages, keep).filter("member is not null").drop("error")
+        return unzip(self.packages, keep).filter("error is null").drop("error")
 
     @cached_property
     def rels(self) -> DataFrame:
@@ -72,14 +72,12 @@ class Extraction:
     @cached_property
     def nodes(self) -> DataFrame:
         """Nodes of the parts wanted, with doc_id, path and type; parts that are no XML show up in errors."""
-        wanted = P.files_of_type(self.parts, *self.types, "comments").groupBy("doc_id").agg(F.collect_set(F.struct("path", "type")).alias("wanted"))
-        packages = self.packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
-        return self._keep(shred_packages(packages.join(wanted, "doc_id")))
+        return self._keep(shred_packages(self.packages, (*self.types, "comments")))
 
     @cached_property
     def errors(self) -> DataFrame:
         """doc_id, stage, message: packages and parts that could not be read; the rest of the corpus goes on."""
-        zips = unzip(self.packages, RELS).filter("error is not null").select("doc_id", F.lit("unzip").alias("stage"), F.col("error").alias("message"))
+        zips = unzip(self.packages, RELS).filter("error is not null").select("doc_id", F.concat_ws(" ", F.lit("unzip"), "member").alias("stage"), F.col("error").alias("message"))
         return zips.unionByName(self.nodes.filter("error is not null").select("doc_id", F.concat(F.lit("parse "), F.col("path")).alias("stage"), F.col("error").alias("message")))
 
     @cached_property
@@ -90,13 +88,14 @@ class Extraction:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        """doc_id, stage, message: documents without core properties, with unequal numbers of comments and ranges, or with list formats that are not known."""
+        """doc_id, stage, message: documents without core properties, with unequal numbers of comments and ranges, with list formats that are not known, or with markup that has no tag."""
         parts = self.parts.groupBy("doc_id").agg(F.bool_or(F.col("type") == "core-properties").alias("core"), F.bool_or(F.col("type") == "officeDocument").alias("main"))
         none = parts.filter("main and not core").select("doc_id", F.lit("core properties").alias("stage"), F.lit("the package has none").alias("message"))
         odd = self.numbering.filter(~F.coalesce("fmt", F.lit("bullet")).isin("bullet", *FORMATS)).select("doc_id", F.lit("numbering").alias("stage"), F.concat(F.lit("format taken for a bullet: "), F.col("fmt")).alias("message")).distinct()
         n = self._live.groupBy("doc_id").agg(F.count_if((F.col("name") == "w:commentRangeStart") & (F.col("type") == "officeDocument")).alias("a"), F.count_if((F.col("name") == "w:comment") & (F.col("type") == "comments")).alias("b"))
         uneven = n.filter("a <> b and b > 0").select("doc_id", F.lit("comments").alias("stage"), F.concat(F.col("b").cast("string"), F.lit(" comments, "), F.col("a").cast("string"), F.lit(" ranges")).alias("message"))
-        return none.unionByName(odd).unionByName(uneven)
+        no_tag = self._live.filter("skipped > 0").select("doc_id", F.concat_ws(" ", F.lit("markup"), "path").alias("stage"), F.concat(F.col("skipped").cast("string"), F.lit(" comments or instructions without a tag skipped")).alias("message"))
+        return none.unionByName(odd).unionByName(uneven).unionByName(no_tag)
 
     def partial(self, roots: DataFrame) -> Extraction:
         """The extraction of subtrees alone, as if each were a part: roots has doc_id, path, pre of nodes (paragraphs or what holds some).
@@ -108,7 +107,7 @@ class Extraction:
         inside = lambda c: F.when(F.col(c) >= F.col("_root"), F.col(c)).alias(c)
         below = self.nodes.join(top, KEY).filter("pre >= _root and post <= _end")
         out = Extraction(self.packages, self.html, self.duplicate, self.style_dim, self.types)
-        facts = ("par", "run", "cell", "link", "link_child", "top")
+        facts = ("par", "run", "cell", "link", "link_child", "top", "formula")
         out.nodes = out._keep(below.select(*[named.alias(c) if c == "path" else inside(c) if c in facts else F.col(c) for c in self.nodes.columns]))
         out.part_rels = out._keep(self.part_rels.join(top.select(*KEY, "_root"), KEY).select("doc_id", named.alias("path"), "rel_id", "target"))
         out.rels, out.numbering = self.rels, self.numbering
@@ -222,9 +221,15 @@ class Extraction:
         texts = flatten_text(texts.withColumn("run_strings", run_strings(F.col("html_style"), F.col("runs"))).withColumn("text", F.array_join("run_strings", "")), ["doc_id", "path", "top"])
         whole = rows.join(texts.withColumnRenamed("top", "pre"), ["doc_id", "path", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
         even = ranges.groupBy("doc_id").agg(F.count("*").alias("n")).join(rows.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id").filter("n = m").select("doc_id")
-        body = self.paragraphs.filter("type = 'officeDocument'").select("doc_id", F.inline(F.transform("runs", lambda r: F.struct(r["seq"].alias("seq"), fragments.run_string(r).alias("run")))))
-        hit = ranges.join(body, "doc_id").filter("seq > beg and seq < end")
-        reference = hit.groupBy("doc_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "run"))), lambda x: x["run"]), "").alias("reference"))
+        body = self.paragraphs.filter("type = 'officeDocument'").select("doc_id", "path", F.inline(F.transform("runs", lambda r: F.struct(r["seq"].alias("seq"), fragments.run_string(r).alias("run")))))
+        # the length of the text before each marker: a reference is a piece of the whole text between two of them
+        marker = ranges.select("doc_id", "path", "id", F.inline(F.array(F.struct(F.col("beg").alias("seq"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("seq"), F.lit(False).alias("opens"))))).filter("seq is not null")
+        so_far = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        events = body.select(*KEY, "seq", F.length("run").alias("n")).unionByName(marker, allowMissingColumns=True).withColumn("at", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+        spans = events.filter("id is not null").groupBy(*KEY, "id").agg(F.max(F.when(F.col("opens"), F.col("at"))).alias("a"), F.max(F.when(~F.col("opens"), F.col("at"))).alias("b"))
+        all_text = body.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "run"))), lambda x: x["run"]), "").alias("all_text"))
+        piece = F.substring("all_text", (F.col("a") + 1).cast("int"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).cast("int"))
+        reference = spans.filter("b is not null").join(all_text, KEY).groupBy("doc_id", "id").agg(F.max(piece).alias("reference"))
         out = whole.join(even, "doc_id", "left_semi").join(ranges.select("doc_id", "id"), ["doc_id", "id"], "left_semi").join(reference, ["doc_id", "id"], "left")
         return out.select("doc_id", "ord", "id", F.coalesce("reference", F.lit("")).alias("reference"), "author", "date", "text")
 

@@ -7,17 +7,34 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch of binary columns.
 FEW = 64
 
 
+def relative_id(root: str) -> Column:
+    """The path of a file (column path) below root, or its name if root is the file: no two files share one.  A file that lies elsewhere keeps its whole path.
+
+    Of a root with wildcards the folders before them count.
+    """
+    import os
+    import re
+
+    bare = lambda x: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?=/)", "", x).strip("/")
+    full = root if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:/", root) else os.path.abspath(root)
+    fixed = re.split(r"[*?\[{]", full, maxsplit=1)
+    base = bare(fixed[0] if len(fixed) == 1 else fixed[0].rpartition("/")[0])
+    whole = F.regexp_replace(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(?=/)", ""), "^/+", "")
+    below = F.substring(whole, F.lit(len(base) + 2), F.length(whole))
+    return F.when(whole == base, F.element_at(F.split(whole, "/"), -1)).when(whole.startswith(base + "/") if base else F.lit(False), below).otherwise(whole)
+
+
 def read_packages(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
-    """doc_id (the file's name) and content of every package below path; lazy, columns pruned by Spark."""
+    """doc_id (the file's path below `path`) and content of every package there; lazy, columns pruned by Spark."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "content")
+    return files.select(relative_id(path).alias("doc_id"), "content")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,7 +44,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unzip(packages: DataFrame, keep: str = ".*") -> DataFrame:
-    """doc_id, member, bytes of every member whose name matches `keep`; a broken package gives one row with member null and the error.
+    """doc_id, member, bytes of every member whose name matches `keep`; a broken package gives one row with member null and the error, a broken member one with its name and the error.
 
     The last of several members of one name wins, as in any zip reader.  The name filter runs before anything is inflated.
     """
@@ -42,7 +59,11 @@ def unzip(packages: DataFrame, keep: str = ".*") -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
                         names = {i.filename: i for i in z.infolist() if want.fullmatch(i.filename)}
-                        rows += [(doc, n, z.read(i), None) for n, i in names.items()]
+                        for n, i in names.items():
+                            try:
+                                rows.append((doc, n, z.read(i), None))
+                            except Exception as e:  # nor one bad member the package
+                                rows.append((doc, n, None, f"{type(e).__name__}: {e}"))
                 except Exception as e:  # one bad package must not stop the corpus
                     rows.append((doc, None, None, f"{type(e).__name__}: {e}"))
             if rows:

@@ -2,18 +2,21 @@
 
 pre and post come from one counter: a is an ancestor of d iff a.pre < d.pre and d.post < a.post, and pre (open) and post (close) order
 all events of a part.  Names stay prefixed as written (w:p), so transitional and strict packages look alike; comments and
-processing instructions are skipped.  Besides the tree the shredder emits plain facts about it; what they mean is left to the plans:
+processing instructions have no name, are skipped and counted at the root.  Besides the tree the shredder emits plain facts about it; what they mean is left to the plans:
 
 p_dist      levels down to the nearest w:p at or below the node, null if none
 par, run, cell, link, top   pre of the innermost w:p / w:r / w:tc at or above, of the innermost w:hyperlink above, and of the root's child at or above
 link_child  pre of the child of that hyperlink at or above the node
 math        whether a m:oMath stands above
+formula     pre of the outermost m:oMath at or above
 content     whether a content tag stands at or below
+skipped     at a root: comments and processing instructions in the part
 up, upup    names of parent and grandparent; upper: pre of the grandparent
 """
 
 from __future__ import annotations
 
+import re
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
@@ -23,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The tags that count as content.
-CONTENT_TAGS = frozenset(
-    "w:body w:br w:commentRangeEnd w:commentRangeStart w:document w:endnote w:endnoteReference w:footnote w:footnoteReference w:checkBox w:ddList w:hyperlink "
-    "a:blip v:imagedata wp:docPr m:oMath w:p w:r w:sdt w:sym w:tab w:tbl w:tc w:tr w:t m:t".split()
-)
+CONTENT_TAGS = {
+    "w:body", "w:br", "w:commentRangeEnd", "w:commentRangeStart", "w:document", "w:endnote", "w:endnoteReference", "w:footnote", "w:footnoteReference",
+    "w:checkBox", "w:ddList", "w:hyperlink", "a:blip", "v:imagedata", "wp:docPr", "m:oMath", "w:p", "w:r", "w:sdt", "w:sym", "w:tab", "w:tbl", "w:tc", "w:tr", "w:t", "m:t",
+}
 
 NODES = (
     "pre int, post int, parent int, level int, ord int, name string, attrs map<string,string>, text string, tail string, p_dist int, par int, run int, cell int, "
-    "link int, link_child int, top int, math boolean, content boolean, up string, upup string, upper int"
+    "link int, link_child int, top int, formula int, math boolean, content boolean, up string, upup string, upper int, skipped int"
 )
 _FIELDS = [f.strip().split(" ", 1)[0] for f in NODES.replace("map<string,string>", "map").split(", ")]
 _KINDS = [pa.int32() if k == "int" else pa.bool_() if k == "boolean" else pa.map_(pa.string(), pa.string()) if k == "map" else pa.string() for k in (f.strip().split(" ", 1)[1] for f in NODES.replace("map<string,string>", "map").split(", "))]
@@ -44,7 +47,7 @@ class _Builder:
         self.begin_part()
 
     def begin_part(self) -> None:
-        self.clock, self.open, self.kids, self.last, self.tailing = 0, [], [], -1, False
+        self.clock, self.open, self.kids, self.last, self.tailing, self.skipped = 0, [], [], -1, False, 0
 
     def start(self, name: str, attrs: dict) -> None:
         c, pre = self.cols, self.clock
@@ -57,12 +60,13 @@ class _Builder:
             values = (
                 u_pre, len(self.open), self.kids[-1], pre if own_p else c["par"][up], pre if own_r else c["run"][up], pre if own_c else c["cell"][up],
                 u_pre if in_link else c["link"][up], pre if in_link else c["link_child"][up], pre if len(self.open) == 1 else c["top"][up],
+                pre if name == "m:oMath" and c["formula"][up] is None else c["formula"][up],
                 c["math"][up] or u_name == "m:oMath", u_name, c["up"][up], c["parent"][up],
             )
             self.kids[-1] += 1
         else:
-            values = (None, 0, 0, pre if own_p else None, pre if own_r else None, pre if own_c else None, None, None, None, False, None, None, None)
-        for f, v in zip(("parent", "level", "ord", "par", "run", "cell", "link", "link_child", "top", "math", "up", "upup", "upper"), values, strict=True):
+            values = (None, 0, 0, pre if own_p else None, pre if own_r else None, pre if own_c else None, None, None, None, pre if name == "m:oMath" else None, False, None, None, None)
+        for f, v in zip(("parent", "level", "ord", "par", "run", "cell", "link", "link_child", "top", "formula", "math", "up", "upup", "upper"), values, strict=True):
             c[f].append(v)
         c["pre"].append(pre)
         c["post"].append(-1)
@@ -72,6 +76,7 @@ class _Builder:
         c["tail"].append("")
         c["p_dist"].append(0 if own_p else None)
         c["content"].append(name in CONTENT_TAGS)
+        c["skipped"].append(None)
         self.clock = pre + 1
         self.open.append(row)
         self.kids.append(0)
@@ -95,21 +100,31 @@ class _Builder:
         if self.last >= 0:
             self.cols["tail" if self.tailing else "text"][self.last] += text
 
-    def add(self, raw: bytes) -> tuple[int, str | None]:
-        """Appends the nodes of a part: how many rows, and the error; a broken part leaves one empty row."""
+    def skip(self, *_: str) -> None:
+        self.skipped += 1
+
+    def add(self, raw: bytes | Exception) -> tuple[int, str | None]:
+        """Appends the nodes of a part: how many rows, and the error; a part that is broken, or could not be read, leaves one empty row."""
         before = len(self.cols["pre"])
+        if isinstance(raw, Exception):
+            return self.fail(before, raw)
         self.begin_part()
         parser = expat.ParserCreate()
         parser.buffer_text = True
         parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self.start, self.end, self.data
+        parser.CommentHandler = parser.ProcessingInstructionHandler = self.skip
         try:
             parser.Parse(raw, True)
+            self.cols["skipped"][before] = self.skipped
             return len(self.cols["pre"]) - before, None
-        except expat.ExpatError as e:
-            for v in self.cols.values():
-                del v[before:]
-                v.append(None)
-            return 1, str(e)
+        except Exception as e:  # not only bad markup: an encoding that nobody knows, too
+            return self.fail(before, e)
+
+    def fail(self, before: int, e: Exception) -> tuple[int, str]:
+        for v in self.cols.values():
+            del v[before:]
+            v.append(None)
+        return 1, str(e) if isinstance(e, expat.ExpatError) else f"{type(e).__name__}: {e}"
 
 
 #: Node rows of one Arrow batch, about.
@@ -153,25 +168,79 @@ def shred(parts: DataFrame, keep: list[str]) -> DataFrame:
     return parts.select(*keep, "bytes").mapInArrow(run, schema)
 
 
-def shred_packages(packages: DataFrame) -> DataFrame:
-    """doc_id, path, type, NODES, error of the wanted parts (array of path and type) of each package (doc_id, content): unzipped and parsed in one
-    crossing, so that no markup is exchanged or copied between processes.  Parts that a package lacks are left out."""
+def _relationships(raw: bytes) -> list[dict]:
+    """The attributes of the children of a .rels member's root; none if it is broken."""
+    found: list[dict] = []
+    depth = 0
+
+    def start(_: str, attrs: dict) -> None:
+        nonlocal depth
+        if depth == 1:
+            found.append(attrs)
+        depth += 1
+
+    def end(_: str) -> None:
+        nonlocal depth
+        depth -= 1
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    try:
+        parser.Parse(raw, True)
+    except Exception:  # shows up in the relationships' own errors
+        return []
+    return found
+
+
+def _path_of(rels_path: str, target: str) -> str:
+    """S6 for one target: the same as parts.inferred_path (a test compares them)."""
+    parent = re.sub("/?_rels$", "", rels_path.rpartition("/")[0])
+    joined = target if not parent or target.startswith(("/", parent + "/")) else f"{parent}/{target}"
+    return joined.lstrip("/.")
+
+
+def shred_packages(packages: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """doc_id, path, type, NODES, error of the parts of the given types (last segments of relationship types) of each package (doc_id, content).
+
+    Relationships are read, parts unzipped and parsed in one crossing where the package is, so that neither bytes nor markup are exchanged. Parts that a
+    package lacks are left out; one that cannot be read (bad checksum, password, unknown encoding) gives a row with its error; what is no zip gives none here.
+    """
     import io
     import zipfile
 
+    def wanted(z: zipfile.ZipFile, names: dict) -> list[tuple[str, str]]:
+        found = set()
+        for rels in [n for n in names if n.endswith(".rels")]:
+            try:
+                raw = z.read(names[rels])
+            except Exception:  # shows up in the errors of unzip
+                continue
+            for x in _relationships(raw):
+                kind = x.get("Type", "").rpartition("/")[2]
+                if kind in types and "Target" in x:
+                    found.add((_path_of(rels, x["Target"]), kind))
+        return sorted(found)
+
     def run(batches):
         def pairs():
             for b in batches:
-                for doc, raw, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                    with zipfile.ZipFile(io.BytesIO(raw.as_py())) as z:
-                        names = {i.filename: i for i in z.infolist()}
-                        for w in wanted:
-                            if w["path"] in names:
-                                yield (doc, w["path"], w["type"]), z.read(names[w["path"]])
+                for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    try:
+                        z = zipfile.ZipFile(io.BytesIO(raw.as_py() or b""))
+                    except Exception:  # shows up in the errors of unzip
+                        continue
+                    names = {i.filename: i for i in z.infolist()}
+                    for path, kind in wanted(z, names):
+                        if path in names:
+                            try:
+                                part = z.read(names[path])
+                            except Exception as e:  # one bad member must not stop the corpus
+                                part = e
+                            yield (doc, path, kind), part
 
         yield from _emit(pairs(), ["doc_id", "path", "type"], [pa.string()] * 3)
 
-    return packages.select("doc_id", "content", "wanted").mapInArrow(run, "doc_id string, path string, type string, " + NODES + ", error string")
+    return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, "doc_id string, path string, type string, " + NODES + ", error string")
 
 
 def serialise(nodes: DataFrame, keep: list[str]) -> DataFrame:

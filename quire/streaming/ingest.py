@@ -9,17 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.extract import Extraction
+from ..sources.packages import relative_id
 
 
 def stream_packages(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
-    """doc_id and content of packages as they arrive below path."""
+    """doc_id (the file's path below `path`) and content of packages as they arrive there."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "content")
+    return files.select(relative_id(path).alias("doc_id"), "content")
 
 
 def ingest(packages: DataFrame, out: str, checkpoint: str, view: Callable[[Extraction], DataFrame] = lambda e: e.document, available_now: bool = True, **options) -> StreamingQuery:

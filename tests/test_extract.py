@@ -144,6 +144,88 @@ def test_bad_packages(spark, package):
         assert {r["doc_id"] for r in e.text.collect()} == {"d1"}
 
 
+def _zipped(members, spoilt=None, fate=None):
+    """A package; spoilt: the member that has a bad checksum or a password."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    raw = bytearray(out.getvalue())
+    for name, text in members.items():
+        if name != spoilt:
+            continue
+        if fate == "checksum":
+            at = raw.index(text.encode())
+            raw[at + len(text) // 2] ^= 1
+        elif fate == "password":
+            for mark, offset in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+                at = -1
+                while (at := raw.find(mark, at + 1)) >= 0:
+                    if raw[at + (30 if offset == 6 else 46) :].startswith(name.encode()):
+                        raw[at + offset] |= 1
+    return bytes(raw)
+
+
+def test_spoilt_members(spark):
+    """A bad checksum, a password or an unknown encoding costs one part; the others and all other packages go on."""
+    kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
+    rels = lambda *x: "<Relationships xmlns='r'>" + "".join(f'<Relationship Id="r{n}" Type="{kind}{k}" Target="{t}"/>' for n, (k, t) in enumerate(x)) + "</Relationships>"
+    text = lambda tag, x: f'<w:{tag} xmlns:w="w"><w:body><w:p><w:r><w:t>{x}</w:t></w:r></w:p></w:body></w:{tag}>'
+    members = {"_rels/.rels": rels(("officeDocument", "word/document.xml")), "word/_rels/document.xml.rels": rels(("header", "header1.xml"), ("header", "header2.xml")), "word/document.xml": text("document", "main"), "word/header1.xml": text("hdr", "one"), "word/header2.xml": text("hdr", "two")}
+    cases = {
+        "fine": _zipped(members), "sum": _zipped(members, "word/header1.xml", "checksum"), "locked": _zipped(members, "word/header2.xml", "password"),
+        "coded": _zipped(members | {"word/header1.xml": '<?xml version="1.0" encoding="foo"?>' + text("hdr", "one")}), "rels": _zipped(members, "word/document.xml", "checksum"), "cut": _zipped(members)[:-40],
+    }
+    with Extraction(spark.createDataFrame(list(cases.items()), "doc_id string, content binary")) as e:
+        got = {r["doc_id"]: r["text"] for r in e.text.collect()}
+        errors = {(r["doc_id"], r["stage"]) for r in e.errors.collect()}
+    assert got == {"fine": "one\n\ntwo\n\nmain", "sum": "two\n\nmain", "locked": "one\n\nmain", "coded": "two\n\nmain", "rels": "one\n\ntwo"}
+    assert errors == {("sum", "parse word/header1.xml"), ("locked", "parse word/header2.xml"), ("coded", "parse word/header1.xml"), ("rels", "parse word/document.xml"), ("cut", "unzip")}
+
+
+def test_files_of_one_name(spark, package, tmp_path):
+    for n, folder in enumerate(("a", "b/c", "")):
+        body = B.document(B.p(B.r(B.t(F.lit(f"file {n}")))))
+        made = B.build(spark.range(1), F.lit("same.docx"), {"document.xml": body})
+        save_files(made.withColumn("name", F.lit(f"{folder}/same.docx".lstrip("/"))), str(tmp_path), "name", "content")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        with Extraction(read_packages(spark, root)) as e:
+            assert {r["doc_id"]: r["text"] for r in e.text.collect()} == {"a/same.docx": "file 0", "b/c/same.docx": "file 1", "same.docx": "file 2"}
+    assert [r["doc_id"] for r in read_packages(spark, f"{tmp_path}/*/c").collect()] == ["b/c/same.docx"]
+    assert [r["doc_id"] for r in read_packages(spark, f"{tmp_path}/a/same.docx").collect()] == ["same.docx"]
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from quire.sources import store
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    named = SimpleNamespace(isDefined=lambda: True, get=lambda: "hdfs://x/y/")
+
+    def session(master, checkpoint):
+        context = SimpleNamespace(master=master, getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: checkpoint)))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=context)
+
+    assert store.shared_dir(session("yarn", named)) == "hdfs://x/y" and store.shared_dir(session("local[2]", none)).startswith("file://")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            store.shared_dir(session(master, none))
+
+
+def test_comment_references(spark):
+    """Overlapping, nested, empty and reversed ranges."""
+    mark = lambda kind, n: f'<w:commentRange{kind} w:id="{n}"/>'
+    run = lambda x, style="": f"<w:r><w:rPr>{style}</w:rPr><w:t>{x}</w:t></w:r>"
+    body = f"<w:p>{mark('Start', 1)}{run('ab', '<w:b/>')}{mark('Start', 2)}{run('cd', '<w:i/>')}{mark('Start', 3)}{mark('End', 3)}</w:p><w:p>{mark('End', 1)}{run('é😀', '<w:b/>')}{mark('End', 2)}{mark('End', 4)}{run('x', '<w:i/>')}{mark('Start', 4)}</w:p>"
+    notes = "".join(f'<w:comment w:id="{n}"><w:p/></w:comment>' for n in (1, 2, 3, 4))
+    with Extraction(B.build(spark.range(1), F.lit("d"), {"document.xml": B.document(F.lit(body)), "comments.xml": B.root("comments", F.lit(notes))}), html=True) as e:
+        assert {r["id"]: r["reference"] for r in e.comments.collect()} == {"1": "<b>ab</b><i>cd</i>", "2": "<i>cd</i><b>é😀</b>", "3": "", "4": ""}
+
+
 def test_warnings_and_partial(spark, package, plain):
     assert plain.warnings.count() == 0
     with Extraction(B.build(spark.range(1), F.lit("x"), {"document.xml": B.document(F.lit("<w:p/>")), "comments.xml": B.root("comments", F.lit(COMMENTS)), "numbering.xml": B.numbering_xml([("ordinal", None)])})) as e:

@@ -16,15 +16,11 @@ def test_numbers(spark):
             out = chr(97 + k) + out
         return out
 
+    # ten digits for each decimal place, as on old monuments' tables; not the library's subtractive list
+    ones, tens, hundreds = (["", a, a + a, a + a + a, a + b, b, b + a, b + a + a, b + a + a + a, a + c] for a, b, c in ("ivx", "xlc", "cdm"))
+
     def roman(n):
-        out = "m" * (n // 1000)
-        for v, t in N.ROMAN:
-            out += t * (n % 1000 // v) if v == 900 else ""
-        out, n = "m" * (n // 1000), n % 1000
-        for v, t in N.ROMAN:
-            k, n = divmod(n, v)
-            out += t * k
-        return out
+        return "m" * (n // 1000) + hundreds[n // 100 % 10] + tens[n // 10 % 10] + ones[n % 10]
 
     rows = spark.range(1, 4000).select("id", N.lower_letter(F.col("id")).alias("a"), N.upper_letter(F.col("id")).alias("b"), N.lower_roman(F.col("id")).alias("c"), N.upper_roman(F.col("id")).alias("d")).collect()
     for r in rows:
@@ -39,16 +35,20 @@ def test_bullets(spark):
     assert got == ("--\t", "\t2)\t", "\t\tb)\t", "\t\t\tB)\t", "\t\t\t\tii)\t", "\t\t\t\t\tII)\t", "\t\t\t\t\t\t--\t")
 
 
+def _properties(**values):
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
 def test_styles(spark):
-    props = F.create_map(*[F.lit(x) for x in ("rFonts", "", "b", "", "u", "single", "i", "", "sz", "32", "color", "red", "szCs", "32", "vertAlign", "superscript")])
-    style = N.html_style(props)
+    style = N.html_style(_properties(strike="", smallCaps="", sz="18", lang="de-DE", vertAlign="subscript", u="wave", color="0a5"))
     got = _one(spark, style, N.html_open(style), N.html_close(style))
-    assert got[0] == ['span style="color:red;font-size:32pt"', "b", "i", "sup", "u"]
-    assert got[1] == '<span style="color:red;font-size:32pt"><b><i><sup><u>'
-    assert got[2] == "</u></sup></i></b></span>"
-    more = N.STYLES | {"shade": ("{val}", "font", "face")}
-    assert _one(spark, N.html_style(F.create_map(F.lit("shade"), F.lit("x"), F.lit("strike"), F.lit("")), more))[0] == ['font face="x"', "s"]
-    assert _one(spark, N.html_style(F.create_map(F.lit("Heading3"), F.lit(""))))[0] == ["h3"]
+    assert len(got[0]) == 4 and got[0][0].startswith('span style="') and set(got[0][1:]) == {"s", "sub", "u"}
+    assert all(x in got[0][0] for x in ("color:0a5", "font-size:18pt", "font-variant:small-caps")) and "lang" not in got[0][0]
+    assert got[1] == "".join(f"<{x}>" for x in got[0]) and got[2] == "".join(f"</{x.split()[0]}>" for x in reversed(got[0]))
+    assert _one(spark, N.html_style(_properties(lang="fr", noProof="")))[0] == []
+    more = N.STYLES | {"glow": ("{val}", "mark", "class")}
+    assert _one(spark, N.html_style(_properties(glow="warm", i=""), more))[0] == ['mark class="warm"', "i"]
+    assert _one(spark, N.html_style(_properties(Heading5="")))[0] == ["h5"]
 
 
 def test_run_strings(spark):

@@ -26,7 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.  Survives lost executors."""
-    return store.written(df)[0]
+    out, path = store.written(df)
+    out._quire_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more."""
+    for t in tables:
+        store.drop(t._quire_path)
 
 
 def slices(t: pa.Table, size: int) -> Iterator[pa.Table]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import growing, written
+from .common import dropped, growing, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,10 +22,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.filter("v > u").join(growing(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large)
+        dropped(state, least)
         # small star: u and its smaller neighbours point to the least of them
         least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(growing(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         state = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        dropped(large, least)
         row = state.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).collect()[0]
         if (row["n"], row["x"]) == before:
             break

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import growing, mix, scan, table, written
+from .common import dropped, growing, mix, scan, table, written
 from .components import components
 
 WORDS = 5
@@ -38,7 +38,7 @@ BLOCK_ROWS = 1024
 #: Frequent tokens sent to all tasks, at most, and documents that a token must be in to count as frequent, at least.
 HOT, HOT_LEAST = 1 << 20, 64
 #: Bytes of one call of a grouped function, about.
-CALL = 16 << 20
+CALL = 4 << 20
 SEED = 99
 
 _rng = np.random.default_rng(SEED)
@@ -368,27 +368,28 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with nothing; so are rows with a null id, whose component is null.  Rows of one id with different texts count as linked.
     An empty table gives no rows.  Texts are read whole, whatever their length.  Similarities of 0.8 exactly are links; ties cannot arise.
     """
-    rows = written(sketch(docs, id_col, text_col))
-    real = rows.filter("n > 0 and id is not null")
-    classes = written(real.groupBy("n", "d", "e").agg(F.min("id").alias("rep")))
-    hot = hot_tokens(real.select("first"))
+    sketched = written(sketch(docs, id_col, text_col))
+    hot = hot_tokens(sketched.filter("n > 0 and id is not null").select("first"))
+    rows = written(sketched.select("id", "n", "d", "e"))
+    dropped(sketched)
+    classes = written(rows.filter("n > 0 and id is not null").groupBy("n", "d", "e").agg(F.min("id").alias("rep")))
     # one row for each class: its sketch is that of any member
     keyed = sketch(docs, id_col, text_col, hot).filter("n > 0 and id is not null")
     reps = written(keyed.join(growing(classes.select("n", "d", "e", F.col("rep").alias("id"))), ["n", "d", "e", "id"]).dropDuplicates(["n", "d", "e"]).select("id", "n", "point", "first"))
     points = reps.select("id", "n", "point")
 
-    keys = reps.select(F.explode("first").alias("key"), "id", "n")
-    low = F.min(F.struct("id", "n")).alias("low")
-    shared = written(keys.groupBy("key").agg(low, F.max("id").alias("high"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("id", F.lit(SEED))).alias("x")).filter("m > 1"))
+    keys = reps.select(F.explode("first").alias("key"), "id")
+    shared = written(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m"), F.bit_xor("id").alias("both"), F.bit_xor(F.xxhash64("id", F.lit(SEED))).alias("x")).filter("m > 1"))
     # equal blocks of several tokens are one block
-    blocks = written(shared.groupBy("low", "high", "m", "x").agg(F.min("key").alias("key")))
-    pairs = blocks.filter("m = 2").select(F.col("key").alias("block"), "m", F.col("low.id").alias("hub"), F.col("low.n").alias("hub_n"), F.explode(F.array("low.id", "high")).alias("id"))
-    several = keys.join(growing(blocks.filter("m > 2").select("key", "m", F.col("low.id").alias("hub"), F.col("low.n").alias("hub_n"))), "key")
-    members = written(several.select(F.col("key").alias("block"), "m", "hub", "hub_n", "id").unionByName(pairs))
+    blocks = written(shared.groupBy("hub", "m", "both", "x").agg(F.min("key").alias("block")))
+    pairs = blocks.filter("m = 2").select("block", "m", "hub", F.explode(F.array("hub", F.col("both").bitwiseXOR(F.col("hub")))).alias("id"))
+    several = keys.withColumnRenamed("key", "block").join(growing(blocks.filter("m > 2").select("block", "m", "hub")), "block")
+    members = written(several.select("block", "m", "hub", "id").unionByName(pairs))
+    dropped(shared, blocks)
 
     # 1. stars
-    own = members.filter("id <> hub").select("id", "hub", "hub_n").distinct()
-    near = own.join(growing(points), "id").filter("5 * n >= 4 * hub_n and 5 * hub_n >= 4 * n")
+    own = members.filter("id <> hub").select("id", "hub").distinct()
+    near = own.join(growing(points.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))), "hub").join(growing(points), "id").filter("5 * n >= 4 * hub_n and 5 * hub_n >= 4 * n")
     near = near.join(growing(points.select(F.col("id").alias("hub"), F.col("point").alias("hub_point"))), "hub")
     stars = written(scan(near, ["id", "hub", "n", "hub_n", "point", "hub_point"], bounded, "id long, hub long, n long"))
     load = stars.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / LEAF, 8 * F.sum("n") / LEAF_BYTES)).cast("long").alias("spread"))
@@ -401,6 +402,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parted = members.join(growing(part_of), "id", "left").select("block", "m", "id", F.coalesce("component", "id").alias("part"))
     mixed = parted.groupBy("block").agg(F.min("part").alias("one"), F.max("part").alias("other")).filter("one <> other")
     parted = written(parted.join(growing(mixed.select("block", "one")), "block"))
+    dropped(members)
     small = parted.filter(F.col("m") <= BLOCK_ROWS)
     heavy = small.join(growing(points.select("id", F.size("point").alias("g"))), "id").agg(F.sum(4 * F.col("g") + 64)).collect()[0][0] or 0
     tried = _called(small.select("block", "id", "part").join(growing(points), "id"), "block", heavy, near_in_block, "a long, b long")
@@ -430,7 +432,9 @@ def _verified(docs: DataFrame, units: DataFrame, links, id_col: str, text_col: s
     once = texts.join(growing(units.select("id").distinct()), "id", "left_semi").dropDuplicates(["id", "text"])
     sets = written(scan(once, ["id", "text"], tokens, "id long, tokens binary").withColumn("size", F.octet_length("tokens") + 32))
     total = units.join(growing(sets.select("id", "size")), "id").agg(F.sum("size")).collect()[0][0] or 0
-    return written(_called(units.join(growing(sets.drop("size")), "id"), "unit", total, links, "a long, b long"))
+    found = written(_called(units.join(growing(sets.drop("size")), "id"), "unit", total, links, "a long, b long"))
+    dropped(units, sets)
+    return found
 
 
 def _links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -40,3 +40,24 @@ def test_stages(spark):
             _check_packing(rows, [{"doc_id": i, "text": t} for i, t in before])
     key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
     assert Counter(map(key, corpus_pipeline.run(spark, SMALL).collect())) == Counter(map(key, kept["sequences"]))
+
+
+def test_odd_input(spark, odd_docs, no_docs, tmp_path):
+    """Null, empty, blank, very long, repeated and clashing rows through all stages, each on what the one before kept; and an empty table."""
+    docs, columns = odd_docs, odd_docs.columns
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "sf" / "labels.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        stage(spark, docs, str(tmp_path / "sf")).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        rows = kept[name] = docs.collect()
+        if name != "sequences":
+            assert docs.columns == columns and all(r["_row"] == r["_id"] == r["h"] == "x" for r in rows)
+    ids = Counter(r["doc_id"] for r in kept["quality"])
+    assert ids == Counter({1: 2, 5: 1, 6: 1, 7: 1, None: 1, 10: 2, 11: 0, 14: 1}) - Counter({11: 1})
+    assert Counter(r["doc_id"] for r in kept["near_duplicates"]) == ids - Counter({14: 1})
+    _check_packing(kept["sequences"], [{"doc_id": i, "text": t} for i, t in before])
+    for name in ("documents", "labels"):
+        (no_docs if name == "documents" else spark.read.parquet(f"{SMALL}/labels.parquet").limit(0)).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -38,7 +38,7 @@ BLOCK_ROWS = 1024
 #: Frequent tokens sent to all tasks, at most, and documents that a token must be in to count as frequent, at least.
 HOT, HOT_LEAST = 1 << 20, 64
 #: Bytes of one call of a grouped function, about.
-CALL = 4 << 20
+CALL = 1 << 20
 SEED = 99
 
 _rng = np.random.default_rng(SEED)

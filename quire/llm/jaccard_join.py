@@ -413,10 +413,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 3. leaves of families, links between their parts
     everyone = points.join(growing(part_of), "id", "left").select("id", "n", "point", F.coalesce("component", "id").alias("part")).join(growing(families), "part")
     last = written(components(_links(docs, everyone, id_col, text_col)))
+    dropped(reps, stars, parted, families)
 
     final = classes.join(growing(part_of.select(F.col("id").alias("rep"), F.col("component").alias("part"))), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
     final = final.join(growing(last.select(F.col("id").alias("part"), "component")), "part", "left").select("n", "d", "e", F.coalesce("component", "part").alias("component"))
-    out = rows.select("id", "n", "d", "e").join(growing(written(final)), ["n", "d", "e"], "left")
+    final = written(final)
+    dropped(classes, part_of, last)
+    out = rows.select("id", "n", "d", "e").join(growing(final), ["n", "d", "e"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
@@ -447,7 +450,8 @@ def _links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> D
     per_part = written(members.groupBy("family", "class", "part").agg(F.count("*").alias("of_part"), F.sum("n").alias("n_part")).withColumn("own", own))
     size = per_part.groupBy("family", "class", "own").agg(F.ceil(F.greatest(F.sum("of_part") / LEAF, 8 * F.sum("n_part") / LEAF_BYTES)).cast("long").alias("leaves"))
     place = per_part.join(growing(size), ["family", "class", "own"]).select("family", "class", "part", "own", "leaves")
-    placed = members.join(growing(written(place)), ["family", "class", "part"])
+    place = written(place)
+    placed = members.join(growing(place), ["family", "class", "part"])
     placed = written(placed.withColumn("leaf", F.xxhash64("family", "class", "own", F.pmod(F.xxhash64("id"), F.col("leaves")))))
     fold = lambda k: F.aggregate(F.sequence(F.lit(k), F.size("point") - 1, F.lit(GROUPS)), F.lit(0), lambda x, i: x + F.get("point", i))
     corner = [F.max(F.when(F.size("point") == GROUPS, F.get("point", F.lit(k))).otherwise(fold(k))).alias(f"c{k}") for k in range(GROUPS)]
@@ -459,7 +463,10 @@ def _links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> D
     met = met.filter(F.expr("5 * most >= 4 * least2 and 5 * most2 >= 4 * least") & (9 * bound >= 4 * (F.col("least") + F.col("least2"))))
     met = written(met.select("leaf", "leaf2", F.xxhash64("leaf", "leaf2").alias("unit")))
     ends = met.select("unit", F.explode(F.array_distinct(F.array("leaf", "leaf2"))).alias("leaf"))
-    return _verified(docs, ends.join(growing(placed.select("leaf", "id", "part")), "leaf").select("unit", "id", "leaf", "part"), links_in_unit, id_col, text_col)
+    dropped(members, per_part, place)
+    found = _verified(docs, ends.join(growing(placed.select("leaf", "id", "part")), "leaf").select("unit", "id", "leaf", "part"), links_in_unit, id_col, text_col)
+    dropped(placed, leaves, met)
+    return found
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

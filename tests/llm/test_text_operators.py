@@ -102,21 +102,48 @@ def _dedup_lines(docs):
     for r, (i, t) in enumerate(docs):
         lines = (t or "").split("\n")
         h = [number(x) for x in lines]
-        marks = [(x % line_dedup.PRIME + (h[n - 1] if n else 0) * line_dedup.FACTOR % line_dedup.PRIME) % line_dedup.DIVISOR == 0 for n, x in enumerate(h)]
-        ends = [n + 1 for n in range(len(lines)) if n + 1 == len(lines) or (marks[n] and not (n and marks[n - 1]))]
-        chunks = [lines[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        cut.append(chunks)
-        for k, c in enumerate(chunks):
-            if len(c) >= line_dedup.MIN_LINES:
-                where["\n".join(c)].append((i is None, i, t, k, r))
+        found = set()
+        for seed in line_dedup.SEEDS:
+            begin = run = 0  # run: marked lines up to here
+            for n, x in enumerate(h):
+                mark = seed * (x + (h[n - 1] if n else 0) * line_dedup.FACTOR) % line_dedup.PRIME % line_dedup.DIVISOR != 0
+                run = run + 1 if mark else 0
+                if run % 2 or n + 1 == len(h):
+                    if n + 1 - begin >= line_dedup.MIN_LINES:
+                        found.add((begin, n + 1))
+                    begin = n + 1
+        cut.append(lines)
+        for k, after in found:
+            where["\n".join(lines[k:after])].append((i is None, i, t, k, r))
     gone = set()
-    for places in where.values():
+    for bytes_, places in where.items():
         holder = min((p[0], p[1] or 0) for p in places)
         for none, i, t, k, r in places:
             first = min(p[3] for p in places if p[1] == i and p[2] == t)
             if (none, i or 0) != holder or k != first:
-                gone.add((r, k))
-    return [None if t is None else "\n".join(x for k, c in enumerate(cut[r]) if (r, k) not in gone for x in c) for r, (i, t) in enumerate(docs)]
+                gone |= {(r, k + n) for n in range(bytes_.count("\n") + 1)}
+    return [None if t is None else "\n".join(x for k, x in enumerate(cut[r]) if (r, k) not in gone) for r, (i, t) in enumerate(docs)]
+
+
+def test_line_dedup_finds_short_passages(spark):
+    """Passages of three to eight lines between lines of their own: most go at their second place, and no line is lost altogether."""
+    rng = random.Random(5)
+    line = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(12))
+    passages = [[line() for _ in range(3 + n % 6)] for n in range(240)]
+    texts = [[*(line() for _ in range(n % 5)), *p, *(line() for _ in range(1 + n % 4))] for _ in range(2) for n, p in enumerate(passages)]
+    docs = spark.createDataFrame([(n, "\n".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(got[n] == texts[n] for n in range(240))
+    missed = Counter(len(p) for n, p in enumerate(passages) if set(p) <= set(got[n + 240]))
+    assert missed[3] <= 8 and sum(v for k, v in missed.items() if k > 4) <= 2
+    assert all(set(texts[n + 240]) - set(passages[n]) <= set(got[n + 240]) for n in range(240))
+
+
+def test_line_dedup_of_one_line_over_and_over(spark):
+    docs = spark.createDataFrame([(n, "\n".join([w] * 40)) for n, w in enumerate("abcdefghijklmnop")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(set(t.split("\n")) == {"abcdefghijklmnop"[n]} for n, t in got.items())
+    assert sum(len(t) < 10 for t in got.values()) >= 12
 
 
 def test_line_dedup(spark, same, odd_docs, no_docs):

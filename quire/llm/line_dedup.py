@@ -16,7 +16,7 @@ from .common import growing, table, written
 
 WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
 FACTOR, PRIME = 69069, 2147483647
-SEEDS = (1, 48271, 16807, 1103515245)
+SEEDS = (1, 48271, 16807, 1103515245, 214013, 1664525, 22695477, 69621)
 
 
 def _step(df: DataFrame, **columns: Column) -> DataFrame:

@@ -9,6 +9,7 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,15 +51,27 @@ def slices(t: pa.Table, size: int) -> Iterator[pa.Table]:
         a = b
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: it lives on, idle, beside the JVM's next stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc only
+        trim(0)
+
+
 def scan(df: DataFrame, columns: list, f: Callable[[pa.Table], pa.Table | None], schema, size: int = 6 << 20) -> DataFrame:
     """Apply f to Arrow slices of the given columns, of about size bytes of text; f sees whole rows and keeps nothing between calls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                for part in slices(pa.Table.from_batches([b]), size):
-                    if (out := f(part)) is not None:
-                        yield from out.to_batches()
+        b = part = out = None
+        try:
+            for b in batches:
+                if b.num_rows:
+                    for part in slices(pa.Table.from_batches([b]), size):
+                        if (out := f(part)) is not None:
+                            yield from out.to_batches()
+        finally:
+            del b, part, out
+            give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -18,27 +18,28 @@ def events(nodes: DataFrame) -> DataFrame:
     """A3: an open and a close event of every node that has a depth, outside hyperlinks, whose insides are text."""
     own = nodes.withColumn("d", depth(nodes)).filter("d is not null and link is null")
     local = F.element_at(F.split("name", ":"), -1)
-    both = F.array(F.struct(F.col("pre").alias("seq"), local.alias("nm"), F.lit(False).alias("closes")), F.struct(F.col("post").alias("seq"), F.lit(None).cast("string").alias("nm"), F.lit(True).alias("closes")))
+    both = F.array(F.struct(F.col("pre").alias("seq"), F.lit(0).alias("sub"), local.alias("nm"), F.lit(False).alias("closes")), F.struct(F.col("post").alias("seq"), F.lit(0).alias("sub"), F.lit(None).cast("string").alias("nm"), F.lit(True).alias("closes")))
     return own.select(*KEY, "pre", "d", (F.col("name") == "w:p").alias("is_p"), F.inline(both))
 
 
-def addresses(nodes: DataFrame) -> DataFrame:
-    """A2, A4, A5: doc_id, path, pre, close_seq, i, j, k, l, lineage of every paragraph.
+def addresses(nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """A2, A4, A5: doc_id, path, pre, close_seq, i, j, k, l, lineage of every paragraph; more: events of paragraphs that no markup opens.
 
     Each index counts the drops of the caret to its level; nested paragraphs stand in the order in which they close.  The
     lineage is read at the opening: a slot holds the last opener whose depth is exactly its own.
     """
-    part = Window.partitionBy(*KEY).orderBy("seq")
+    part = Window.partitionBy(*KEY).orderBy("seq", "sub")
     run = part.rowsBetween(Window.unboundedPreceding, 0)
-    ev = events(nodes).withColumn("p", F.coalesce(F.lag("d").over(part), F.lit(1)))
+    ev = events(nodes) if more is None else events(nodes).unionByName(more)
+    ev = ev.withColumn("p", F.coalesce(F.lag("d").over(part), F.lit(1)))
     drop = lambda to: F.sum(((F.col("p") < to) & (F.col("d") >= to)).cast("int"))
     slot = lambda s: F.last(F.when(F.col("d") == s, F.struct(F.col("nm").alias("nm"))), ignorenulls=True).over(run)["nm"]
     ev = ev.select("*", (drop(2).over(run) - 1).alias("i"), *[slot(s).alias(f"s{s}") for s in (1, 2, 3)])
-    ev = ev.withColumn("j", drop(3).over(Window.partitionBy(*KEY, "i").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    ev = ev.withColumn("k", drop(4).over(Window.partitionBy(*KEY, "i", "j").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    ev = ev.withColumn("j", drop(3).over(Window.partitionBy(*KEY, "i").orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    ev = ev.withColumn("k", drop(4).over(Window.partitionBy(*KEY, "i", "j").orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, 0)) - 1)
     ends = (F.col("is_p") & F.col("closes")).cast("int")
-    ev = ev.withColumn("l", F.sum(ends).over(Window.partitionBy(*KEY, "i", "j", "k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    ev = ev.withColumn("l", F.sum(ends).over(Window.partitionBy(*KEY, "i", "j", "k").orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, 0)) - 1)
     at = F.when(F.col("closes"), F.struct("seq", "i", "j", "k", "l"))
-    names = F.when(~F.col("closes"), F.array(F.lit("document"), F.col("s1"), F.col("s2"), F.col("s3"), F.lit("p")))
+    names = F.when(~F.col("closes"), F.array(F.lit("document"), F.col("s1"), F.col("s2"), F.col("s3"), F.when(F.col("pre") >= 0, "p")))
     both = ev.filter("is_p").groupBy(*KEY, "pre").agg(F.max(at).alias("at"), F.max(names).alias("lineage"))
     return both.select(*KEY, "pre", F.col("at.seq").alias("close_seq"), *[F.col(f"at.{x}").cast("int").alias(x) for x in "ijkl"], "lineage")

@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.formats import escape_html, run_string
+from .implicit import LEFT, TAGS, labels, owner
 from .merge import KEY
+from .numbers import whole
 
 NO_STYLE = "cast(array() as array<string>)"
 #: The marks of form check boxes.
 OPEN_BOX, CROSSED_BOX, NO_BOX = "☐", "☒", "----checkbox failed----"
 
 
+@dataclass
+class Handler:
+    """What a tag of the user's adds: text, an expression over name, attrs and text of its node (null: nothing), as a run of its own or within the run that is open.
+
+    With into off nothing below such a node is read.  Tags of the library's own cannot be overridden.
+    """
+
+    text: Callable[[], Column]
+    alone: bool = True
+    into: bool = True
+
+
+def pruned(nodes: DataFrame, handlers: dict[str, Handler]) -> DataFrame:
+    """nodes without those below a node whose handler reads nothing there: such nodes are open while a later pre is below their post."""
+    if not (closed := [tag for tag, h in handlers.items() if not h.into]):
+        return nodes
+    before = Window.partitionBy(*KEY).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.max(F.when(F.col("name").isin(*closed), F.col("post"))).over(before)
+    return nodes.withColumn("_end", F.coalesce(end, F.lit(-1))).filter("pre > _end").drop("_end")
+
+
 def form_values(nodes: DataFrame) -> DataFrame:
     """doc_id, path, pre, value of every w:checkBox and w:ddList, from its children."""
     kids = nodes.filter("up in ('w:checkBox', 'w:ddList')")
@@ -22,7 +48,7 @@ def form_values(nodes: DataFrame) -> DataFrame:
     got = kids.groupBy(*KEY, F.col("parent").alias("pre"), F.col("up").alias("kind")).agg(
         first("w:checked", F.coalesce(F.nullif(val, F.lit("")), F.lit("1"))).alias("checked"),
         first("w:default", val).alias("default"),
-        F.coalesce(first("w:result", val).cast("int"), F.lit(0)).alias("result"),
+        F.greatest(F.coalesce(whole(first("w:result", val)), F.lit(0)), F.lit(0)).alias("result"),
         F.array_sort(F.collect_list(F.when(F.col("name") == "w:listEntry", F.struct("pre", val.alias("v"))))).alias("entries"),
     )
     box = F.coalesce("checked", "default")
@@ -37,22 +63,24 @@ def math_text(nodes: DataFrame) -> DataFrame:
     return found.groupBy(*KEY, F.col("formula").alias("pre")).agg(F.concat(F.lit("<latex>"), text, F.lit("</latex>")).alias("value"))
 
 
-def fragments(nodes: DataFrame, runs: DataFrame, rels: DataFrame, styles: DataFrame | None, html: bool) -> DataFrame:
+def fragments(nodes: DataFrame, runs: DataFrame, rels: DataFrame, styles: DataFrame | None, html: bool, handlers: dict[str, Handler] | None = None) -> DataFrame:
     """doc_id, path, in_link, owner, seq, sub, brk, text, html_style: what each node adds to its paragraph, or to its child of a hyperlink.
 
     brk counts the runs begun by the row.  A row that stands on its own (T18) is followed by one (sub 1) that reopens the style it broke into.
     """
+    handlers = handlers or {}
+    if known := sorted(set(handlers) & {*TAGS, "w:p", "w:hyperlink"}):
+        raise ValueError(f"tags with a handler of their own: {known}")
     attr = lambda a: F.col("attrs")[a]
-    live = nodes.filter("not math and (par is not null or link is not null)").select(*KEY, "pre", "post", "name", "attrs", "text", "par", "run", "link", "link_child")
-    live = live.filter(F.col("name").isin("w:r", "w:t", "m:t", "w:br", "w:sym", "w:tab", "w:footnoteReference", "w:endnoteReference", "w:checkBox", "w:ddList", "a:blip", "v:imagedata", "wp:docPr", "m:oMath"))
+    live = pruned(nodes, handlers).filter("not math").filter(F.col("name").isin(*TAGS, *handlers)).select(*KEY, "pre", "post", "name", "attrs", "text", "par", "run", "link", "link_child", owner().alias("_par"))
     live = live.join(runs, [*KEY, "run"], "left")
     first_child = runs.select(*KEY, F.col("run").alias("link_child"), F.col("canon_run").alias("canon_child"))
     live = live.join(first_child, [*KEY, "link_child"], "left")
     in_link = F.col("link").isNotNull()
-    owner = F.when(in_link, F.coalesce("canon_child", "link_child")).otherwise(F.col("par"))
+    of = F.when(in_link, F.coalesce("canon_child", "link_child")).otherwise(F.col("_par"))
     # a run around a text box is not open inside the box
-    canon = F.when(in_link | (F.col("run") > F.col("par")), F.col("canon_run"))
-    live = live.withColumn("in_link", in_link).withColumn("owner", owner).withColumn("open_run", canon)
+    canon = F.when(in_link | F.col("par").isNull() | (F.col("run") > F.col("par")), F.col("canon_run"))
+    live = live.withColumn("in_link", in_link).withColumn("owner", of).withColumn("open_run", canon)
     rid = F.when(F.col("name") == "a:blip", attr("r:embed")).when(F.col("name") == "v:imagedata", attr("r:id"))
     live = live.withColumn("rel_id", rid).join(rels, [*KEY, "rel_id"], "left")
     values = form_values(nodes).unionByName(math_text(nodes))
@@ -72,6 +100,8 @@ def fragments(nodes: DataFrame, runs: DataFrame, rels: DataFrame, styles: DataFr
         .when(name == "wp:docPr", F.concat(F.lit("----Image alt text---->"), attr("descr"), F.lit("<")))
         .when(name.isin("w:checkBox", "w:ddList", "m:oMath"), F.col("value"))
     )
+    for tag, h in handlers.items():
+        inline, alone = (inline, alone.when(name == tag, h.text())) if h.alone else (inline.when(name == tag, h.text()), alone)
     live = live.withColumn("inline", inline).withColumn("alone", alone)
     row = lambda seq, sub, brk, text, style: F.struct(seq.alias("seq"), F.lit(sub).alias("sub"), F.lit(brk).alias("brk"), text.alias("text"), style.alias("html_style"))
     none, empty = F.expr(NO_STYLE), F.lit("")
@@ -102,7 +132,7 @@ def link_rows(nodes: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
     every = links.filter("link = canon_link").select(*KEY, "link", "target", "anchor").join(whole, [*KEY, "link"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     href = F.concat(F.col("target"), F.when((F.col("anchor") != "") & (F.col("target") != ""), F.concat(F.lit("#"), F.col("anchor"))).otherwise(""))
     every = every.withColumn("text", F.when(F.col("target").isNotNull(), F.concat(F.lit('<a href="'), href, F.lit('">'), F.col("text"), F.lit("</a>"))).otherwise(F.col("text")))
-    at = nodes.filter("name = 'w:hyperlink' and link is null and par is not null").select(*KEY, F.col("pre").alias("link"), F.col("par").alias("owner"))
+    at = nodes.filter("name = 'w:hyperlink' and link is null").select(*KEY, F.col("pre").alias("link"), owner().alias("owner"))
     found = every.join(at, [*KEY, "link"])
     two = F.array(F.struct(F.col("link").alias("seq"), F.lit(0).alias("sub"), F.lit(1).alias("brk"), F.col("text"), F.expr(NO_STYLE).alias("html_style")), F.struct(F.col("link").alias("seq"), F.lit(1).alias("sub"), F.lit(1).alias("brk"), F.lit("").alias("text"), F.expr(NO_STYLE).alias("html_style")))
     return found.select(*KEY, F.lit(False).alias("in_link"), "owner", F.inline(two))
@@ -111,15 +141,13 @@ def link_rows(nodes: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
 def opening_rows(pars: DataFrame, nodes: DataFrame) -> DataFrame:
     """What stands before a paragraph's own text: labels of notes that wait for the next paragraph, then its bullet.
 
-    pars: doc_id, path, pre, bullet.
+    pars: doc_id, path, pre, open_seq, bullet.  Labels after the last paragraph stand in one of their own.
     """
-    kind = F.when(F.col("name") == "w:footnote", "footnote").when(F.col("name") == "w:endnote", "endnote")
-    notes = nodes.filter(F.col("name").isin("w:footnote", "w:endnote") & ~F.lower(F.coalesce(F.col("attrs")["w:type"], F.lit(""))).contains("separator"))
-    labels = notes.select(*KEY, "pre", F.concat(kind, F.col("attrs")["w:id"], F.lit(")\t")).alias("label"))
-    w = Window.partitionBy(*KEY).orderBy("pre").rowsBetween(0, Window.unboundedFollowing)
-    both = labels.unionByName(pars.select(*KEY, "pre"), allowMissingColumns=True)
-    waiting = both.withColumn("owner", F.min(F.when(F.col("label").isNull(), F.col("pre"))).over(w)).filter("label is not null and owner is not null")
+    notes = labels(nodes).select(*KEY, F.col("pre").alias("at"), "label")
+    w = Window.partitionBy(*KEY).orderBy("at").rowsBetween(0, Window.unboundedFollowing)
+    both = notes.unionByName(pars.select(*KEY, F.col("open_seq").alias("at"), F.col("pre").alias("par")), allowMissingColumns=True)
+    waiting = both.withColumn("owner", F.coalesce(F.first("par", ignorenulls=True).over(w), F.lit(LEFT))).filter("label is not null")
     row = lambda df, sub, text: df.select(*KEY, F.lit(False).alias("in_link"), "owner", F.col("owner").alias("seq"), sub.alias("sub"), F.lit(1).alias("brk"), text.alias("text"), F.expr(NO_STYLE).alias("html_style"))
-    first = row(waiting, F.col("pre") - F.col("owner") - 10, F.col("label"))
+    first = row(waiting, F.col("at") - 2**30, F.col("label"))  # before the bullet, in their own order
     own = pars.withColumn("owner", F.col("pre"))
     return first.unionByName(row(own, F.lit(-2), F.col("bullet"))).unionByName(row(own, F.lit(-1), F.lit("")))

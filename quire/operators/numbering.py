@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.formats import format_bullet, list_token
+from ..functions.formats import bullet, format_bullet, list_token
+from .numbers import level, whole
 
 LEVELS = range(9)
 
@@ -22,8 +23,8 @@ def numbering(nodes: DataFrame) -> DataFrame:
     place = Window.partitionBy("doc_id", "parent").orderBy("pre")
     level = nodes.filter("name = 'w:lvl' and up = 'w:abstractNum'").withColumn("lvl_pos", F.row_number().over(place) - 1).select(*key, F.col("parent").alias("abs"), F.col("pre").alias("lvl"), "lvl_pos")
     val = F.col("attrs")["w:val"]
-    kids = nodes.filter("up = 'w:lvl'").groupBy("doc_id", F.col("parent").alias("lvl")).agg(F.max(F.when(F.col("name") == "w:numFmt", val)).alias("fmt"), F.max(F.when(F.col("name") == "w:start", val)).cast("int").alias("start"))
-    levels = top.join(level, ["doc_id", "abs"], "left").join(kids, ["doc_id", "lvl"], "left").select("doc_id", "abs_id", "lvl_pos", "fmt", "start")
+    kids = nodes.filter("up = 'w:lvl'").groupBy("doc_id", F.col("parent").alias("lvl")).agg(F.max(F.when(F.col("name") == "w:numFmt", val)).alias("fmt"), F.max(F.when(F.col("name") == "w:start", val)).alias("start"))
+    levels = top.join(level, ["doc_id", "abs"], "left").join(kids, ["doc_id", "lvl"], "left").select("doc_id", "abs_id", "lvl_pos", "fmt", whole(F.col("start")).alias("start"))
     nums = nodes.filter("name = 'w:abstractNumId' and up = 'w:num'").select("doc_id", F.col("parent").alias("num"), val.alias("abs_id"))
     nums = nums.join(nodes.filter("name = 'w:num'").select("doc_id", F.col("pre").alias("num"), F.col("attrs")["w:numId"].alias("num_id")), ["doc_id", "num"]).select("doc_id", "num_id", "abs_id")
     broken = nums.join(top.select("doc_id", "abs_id"), ["doc_id", "abs_id"], "left_anti").select("doc_id").distinct()
@@ -52,11 +53,14 @@ def par_number(ilvl: Column, start: Column) -> Column:
 
 
 def bullets(pars: DataFrame, formats: DataFrame, scope: list[str], order: str = "pre") -> DataFrame:
-    """Adds list_id, list_pos and bullet to paragraphs with num_id and ilvl; bullet is '' outside lists, and levels without a known format are bullets."""
-    counted = counters(pars, scope, order)
+    """Adds list_id, list_pos and bullet to paragraphs with num_id and ilvl (texts); bullet is '' outside lists, and levels without a known format are bullets.
+
+    A level that is none is a bullet without a tab and does not count.
+    """
+    counted = counters(pars.withColumn("_odd", F.col("ilvl").isNotNull() & level(F.col("ilvl")).isNull()).withColumn("ilvl", level(F.col("ilvl"))), scope, order)
     dim = formats.withColumnRenamed("lvl_pos", "ilvl")
     out = counted.join(dim, ["doc_id", "num_id", "ilvl"], "left")
     token = list_token(F.coalesce("fmt", F.lit("bullet")), par_number(F.col("ilvl"), F.col("start")))
     in_list = F.col("num_id").isNotNull() & F.col("ilvl").isNotNull()
-    out = out.withColumn("bullet", F.when(in_list, format_bullet(F.col("ilvl"), token)).otherwise(""))
-    return out.withColumn("list_id", F.col("num_id")).drop("fmt", "start", *[f"c_{m}" for m in LEVELS])
+    out = out.withColumn("bullet", F.when(in_list, format_bullet(F.col("ilvl"), token)).when(F.col("num_id").isNotNull() & F.col("_odd"), format_bullet(F.lit(0), bullet())).otherwise(""))
+    return out.withColumn("list_id", F.col("num_id")).drop("_odd", "fmt", "start", *[f"c_{m}" for m in LEVELS])

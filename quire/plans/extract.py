@@ -14,28 +14,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.formats import html_style, run_strings
-from ..operators import address, cells, fragments, merge, numbering
+from ..operators import address, cells, fragments, implicit, iterate, merge, numbering, numbers
 from ..sources import parts as P
-from ..sources.packages import unzip
-from ..sources.shred import shred, shred_packages
+from ..sources.packages import part_bytes, unzip
+from ..sources.shred import scan_packages, scan_parts
 from ..sources.store import drop, written
 
 KEY = ["doc_id", "path"]
 #: The list formats that have numbers.
 FORMATS = ("decimal", "lowerLetter", "upperLetter", "lowerRoman", "upperRoman")
-#: Relationship members, and markup parts; what is not asked for is left deflated.
-RELS, XML = r".*\.rels", r".*\.xml"
 
 
 class Extraction:
-    """The content of a table of packages (doc_id, content); attributes are DataFrames, planned on first use.  S1."""
-
-    def __init__(self, packages: DataFrame, html: bool = False, duplicate_merged_cells: bool = True, styles: dict | None = None, types: tuple[str, ...] = P.SECTIONS):
+    """The content of a table of packages (doc_id, content), or of their parts (doc_id, path, type, bytes, error: see sources.part_source); attributes are DataFrames, planned on first use.  S1.
+
+    styles: see formats.STYLES.  handlers: see fragments.Handler.  nested_tables: whether merged cells follow the table's geometry also after a nested
+    table ("geometry"), or a cell's spans go to the last row that stands when it closes ("latest").
+    """
+
+    def __init__(
+        self, packages: DataFrame, html: bool = False, duplicate_merged_cells: bool = True, styles: dict | None = None, types: tuple[str, ...] = P.SECTIONS,
+        handlers: dict[str, fragments.Handler] | None = None, nested_tables: str = "geometry",
+    ):
+        if nested_tables not in ("geometry", "latest"):
+            raise ValueError("nested_tables must be 'geometry' or 'latest'")
         self.packages, self.html, self.duplicate, self.style_dim, self.types = packages, html, duplicate_merged_cells, styles, types
+        self.handlers, self.nested_tables = handlers or {}, nested_tables
         self._held: list[str] = []
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        df, path = written(df)
+    def _keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        df, path = written(df, by)
         self._held.append(path)
         return df
 
@@ -55,9 +63,30 @@ class Extraction:
         """The members whose names match."""
         return unzip(self.packages, keep).filter("error is null").drop("error")
 
+    def media(self, *types: str, one_of_name: bool = False) -> DataFrame:
+        """doc_id, path, type, bytes, error of the parts of these types, picked where the packages are."""
+        if "content" in self.packages.columns:
+            return part_bytes(self.packages, *types, one_of_name=one_of_name)
+        found = self.packages.filter(F.col("type").isin(*types)).select("doc_id", "path", "type", "bytes", "error")
+        if not one_of_name:
+            return found
+        last = Window.partitionBy("doc_id", F.element_at(F.split("path", "/"), -1)).orderBy(F.desc("path"))
+        paths = self.packages.filter(F.col("type").isin(*types)).select("doc_id", "path").distinct().withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
+        return found.join(paths, KEY, "left_semi")
+
+    @cached_property
+    def _scan(self) -> DataFrame:
+        """One reading of the packages: a folder for each kind of nodes."""
+        types = (*self.types, "comments")
+        return self._keep(scan_packages(self.packages, types) if "content" in self.packages.columns else scan_parts(self.packages, types), by="kind")
+
+    def _of_kind(self, kind: str) -> DataFrame:
+        return self._scan.filter(F.col("kind") == kind).drop("kind")
+
     @cached_property
     def rels(self) -> DataFrame:
-        return self._keep(P.relationships(self.members(RELS)))
+        """S4."""
+        return P.relationships(self._of_kind("rels").filter("error is null"))
 
     @cached_property
     def parts(self) -> DataFrame:
@@ -72,30 +101,30 @@ class Extraction:
     @cached_property
     def nodes(self) -> DataFrame:
         """Nodes of the parts wanted, with doc_id, path and type; parts that are no XML show up in errors."""
-        return self._keep(shred_packages(self.packages, (*self.types, "comments")))
+        return self._of_kind("part")
 
     @cached_property
     def errors(self) -> DataFrame:
         """doc_id, stage, message: packages and parts that could not be read; the rest of the corpus goes on."""
-        zips = unzip(self.packages, RELS).filter("error is not null").select("doc_id", F.concat_ws(" ", F.lit("unzip"), "member").alias("stage"), F.col("error").alias("message"))
-        return zips.unionByName(self.nodes.filter("error is not null").select("doc_id", F.concat(F.lit("parse "), F.col("path")).alias("stage"), F.col("error").alias("message")))
+        of = F.when(F.col("kind") == "package", "unzip").otherwise("parse")
+        return self._scan.filter("error is not null").select("doc_id", F.concat_ws(" ", of, "path").alias("stage"), F.col("error").alias("message"))
 
     @cached_property
     def numbering(self) -> DataFrame:
         """Always word/numbering.xml."""
-        raw = self.members("word/numbering[.]xml").withColumnRenamed("member", "path")
-        return numbering.numbering(self._keep(shred(raw, ["doc_id", "path"]).filter("error is null")))
+        return numbering.numbering(self._of_kind("numbering").filter("error is null"))
 
     @cached_property
     def warnings(self) -> DataFrame:
-        """doc_id, stage, message: documents without core properties, with unequal numbers of comments and ranges, with list formats that are not known, or with markup that has no tag."""
+        """doc_id, stage, message: documents without core properties, with unequal numbers of comments and ranges, with list formats that are not known, with markup that has no tag, or with values that are no numbers or out of range (see numbers.odd_values)."""
         parts = self.parts.groupBy("doc_id").agg(F.bool_or(F.col("type") == "core-properties").alias("core"), F.bool_or(F.col("type") == "officeDocument").alias("main"))
         none = parts.filter("main and not core").select("doc_id", F.lit("core properties").alias("stage"), F.lit("the package has none").alias("message"))
         odd = self.numbering.filter(~F.coalesce("fmt", F.lit("bullet")).isin("bullet", *FORMATS)).select("doc_id", F.lit("numbering").alias("stage"), F.concat(F.lit("format taken for a bullet: "), F.col("fmt")).alias("message")).distinct()
         n = self._live.groupBy("doc_id").agg(F.count_if((F.col("name") == "w:commentRangeStart") & (F.col("type") == "officeDocument")).alias("a"), F.count_if((F.col("name") == "w:comment") & (F.col("type") == "comments")).alias("b"))
         uneven = n.filter("a <> b and b > 0").select("doc_id", F.lit("comments").alias("stage"), F.concat(F.col("b").cast("string"), F.lit(" comments, "), F.col("a").cast("string"), F.lit(" ranges")).alias("message"))
         no_tag = self._live.filter("skipped > 0").select("doc_id", F.concat_ws(" ", F.lit("markup"), "path").alias("stage"), F.concat(F.col("skipped").cast("string"), F.lit(" comments or instructions without a tag skipped")).alias("message"))
-        return none.unionByName(odd).unionByName(uneven).unionByName(no_tag)
+        values = numbers.odd_values(self._live).unionByName(numbers.odd_values(self._of_kind("numbering").filter("error is null")))
+        return none.unionByName(odd).unionByName(uneven).unionByName(no_tag).unionByName(values)
 
     def partial(self, roots: DataFrame) -> Extraction:
         """The extraction of subtrees alone, as if each were a part: roots has doc_id, path, pre of nodes (paragraphs or what holds some).
@@ -106,7 +135,7 @@ class Extraction:
         named = F.concat("path", F.lit("#"), F.col("_root").cast("string"))
         inside = lambda c: F.when(F.col(c) >= F.col("_root"), F.col(c)).alias(c)
         below = self.nodes.join(top, KEY).filter("pre >= _root and post <= _end")
-        out = Extraction(self.packages, self.html, self.duplicate, self.style_dim, self.types)
+        out = Extraction(self.packages, self.html, self.duplicate, self.style_dim, self.types, self.handlers, self.nested_tables)
         facts = ("par", "run", "cell", "link", "link_child", "top", "formula")
         out.nodes = out._keep(below.select(*[named.alias(c) if c == "path" else inside(c) if c in facts else F.col(c) for c in self.nodes.columns]))
         out.part_rels = out._keep(self.part_rels.join(top.select(*KEY, "_root"), KEY).select("doc_id", named.alias("path"), "rel_id", "target"))
@@ -133,7 +162,7 @@ class Extraction:
 
     @cached_property
     def _par_properties(self) -> DataFrame:
-        """doc_id, path, pre, style, num_id, ilvl of every paragraph outside hyperlinks."""
+        """doc_id, path, pre, open_seq, style, num_id, ilvl of every paragraph outside hyperlinks, and of those that no markup opens (implicit, with a pre below zero)."""
         val = F.col("attrs")["w:val"]
         name, up, upup = F.col("name"), F.col("up"), F.col("upup")
         at = lambda cond: F.max(F.when(cond, val))
@@ -141,35 +170,33 @@ class Extraction:
             F.max("type").alias("type"),
             F.coalesce(at((name == "w:pStyle") & (up == "w:pPr") & (upup == "w:p") & (F.col("upper") == F.col("par"))), F.lit("")).alias("style"),
             at((name == "w:numId") & (up == "w:numPr") & (upup == "w:pPr")).alias("num_id"),
-            at((name == "w:ilvl") & (up == "w:numPr") & (upup == "w:pPr")).cast("int").alias("ilvl"),
+            at((name == "w:ilvl") & (up == "w:numPr") & (upup == "w:pPr")).alias("ilvl"),
             F.max(F.when(F.col("pre") == F.col("par"), F.col("cell"))).alias("cell"),
             F.max(F.when(F.col("pre") == F.col("par"), F.col("top"))).alias("top"),
         )
-        return own
+        own = own.withColumn("open_seq", F.col("pre"))
+        return own.unionByName(implicit.paragraphs(self._live, own, self.handlers), allowMissingColumns=True).withColumn("style", F.coalesce("style", F.lit("")))
 
     @cached_property
     def paragraphs(self) -> DataFrame:
         """T1-T18, A, W: one row for each paragraph before cells are merged; runs carry the place of their first text."""
         nodes = self._live
         run_map = merge.merge_runs(nodes, self._links, self._run_styles)
-        rows = self._keep(fragments.fragments(nodes, run_map, self.part_rels, self._run_styles, self.html))
+        rows = self._keep(fragments.fragments(nodes, run_map, self.part_rels, self._run_styles, self.html, self.handlers))
         pars = self._keep(numbering.bullets(self._par_properties, self.numbering, KEY))
         rows_all = rows.filter("not in_link").unionByName(fragments.link_rows(nodes, rows, self._links)).unionByName(fragments.opening_rows(pars, nodes))
         runs = fragments.gather(rows_all).withColumnRenamed("owner", "pre")
         heading = html_style(F.map_from_arrays(F.array("style"), F.array(F.lit(None).cast("string"))), self.style_dim) if self.html else F.expr(fragments.NO_STYLE)
-        out = pars.join(address.addresses(nodes), [*KEY, "pre"]).join(runs, [*KEY, "pre"], "left")
+        out = pars.join(address.addresses(nodes, implicit.events(pars, nodes)), [*KEY, "pre"]).join(runs, [*KEY, "pre"], "left")
         out = out.withColumn("html_style", heading)
         none = F.expr("cast(array() as array<struct<html_style:array<string>,text:string,seq:int>>)")
         return self._keep(out.withColumn("runs", F.coalesce("runs", none)))
 
     @cached_property
-    def pars(self) -> DataFrame:
-        """The canonical table: doc_id, type, path, i, j, k, l, pre, style, html_style, lineage, runs, list_id, list_pos, run_strings, text.
-
-        i counts tables over all parts of one type in order of path (U2).
-        """
+    def _placed(self) -> DataFrame:
+        """pars, and into: the w:tc whose place in the table a row takes."""
         body = self.paragraphs.filter(F.col("type").isin(*self.types))
-        out = cells.merged_cells(body, self._live, self.duplicate)
+        out = cells.merged_cells(body, self._live, self.duplicate, self.nested_tables == "latest")
         if not self.duplicate:
             blank = lambda c, v: F.when(F.col("filler"), v).otherwise(F.col(c)).alias(c)
             empty = {"style": F.lit(""), "html_style": F.expr(fragments.NO_STYLE), "lineage": F.expr("array('document', '', '', '', '')"), "list_id": F.lit(None).cast("string"), "list_pos": F.expr("cast(array() as array<int>)"), "runs": F.filter("runs", lambda r: F.lit(False))}
@@ -180,7 +207,15 @@ class Extraction:
         offset = Window.partitionBy("doc_id", "type").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
         offsets = tables.select("doc_id", "path", F.coalesce(F.sum("n").over(offset), F.lit(0)).alias("offset"))
         out = out.join(offsets, KEY).withColumn("i", (F.col("i") + F.col("offset")).cast("int"))
-        return out.select("doc_id", "type", "path", "i", "j", "k", "l", "pre", "style", "html_style", "lineage", "runs", "list_id", "list_pos", "run_strings", F.array_join("run_strings", "").alias("text"))
+        return out.select("doc_id", "type", "path", "i", "j", "k", "l", "pre", "style", "html_style", "lineage", "runs", "list_id", "list_pos", "run_strings", F.array_join("run_strings", "").alias("text"), "into")
+
+    @cached_property
+    def pars(self) -> DataFrame:
+        """The canonical table: doc_id, type, path, i, j, k, l, pre, style, html_style, lineage, runs, list_id, list_pos, run_strings, text.
+
+        i counts tables over all parts of one type in order of path (U2).
+        """
+        return self._placed.drop("into")
 
     @cached_property
     def document(self) -> DataFrame:
@@ -211,8 +246,8 @@ class Extraction:
     def comments(self) -> DataFrame:
         """doc_id, ord, id, reference, author, date, text.
 
-        A comment's reference is the text of the body's runs that begin between its range markers.  A document whose
-        numbers of ranges and comments differ has none.
+        A comment's reference is the body's runs between the numbers of runs that stand at its range markers: those of the tree so far and of the paragraphs
+        that are open, which with html on count both of their own tags from the start.  A document whose numbers of ranges and comments differ has none.
         """
         marks = self._live.filter("type = 'officeDocument' and name in ('w:commentRangeStart', 'w:commentRangeEnd')").select("doc_id", "path", F.col("attrs")["w:id"].alias("id"), "name", "pre")
         ranges = marks.groupBy("doc_id", "path", "id").agg(F.max(F.when(F.col("name") == "w:commentRangeStart", F.col("pre"))).alias("beg"), F.max(F.when(F.col("name") == "w:commentRangeEnd", F.col("pre"))).alias("end")).filter("beg is not null")
@@ -221,27 +256,45 @@ class Extraction:
         texts = flatten_text(texts.withColumn("run_strings", run_strings(F.col("html_style"), F.col("runs"))).withColumn("text", F.array_join("run_strings", "")), ["doc_id", "path", "top"])
         whole = rows.join(texts.withColumnRenamed("top", "pre"), ["doc_id", "path", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
         even = ranges.groupBy("doc_id").agg(F.count("*").alias("n")).join(rows.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id").filter("n = m").select("doc_id")
-        body = self.paragraphs.filter("type = 'officeDocument'").select("doc_id", "path", F.inline(F.transform("runs", lambda r: F.struct(r["seq"].alias("seq"), fragments.run_string(r).alias("run")))))
-        # the length of the text before each marker: a reference is a piece of the whole text between two of them
-        marker = ranges.select("doc_id", "path", "id", F.inline(F.array(F.struct(F.col("beg").alias("seq"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("seq"), F.lit(False).alias("opens"))))).filter("seq is not null")
-        so_far = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        events = body.select(*KEY, "seq", F.length("run").alias("n")).unionByName(marker, allowMissingColumns=True).withColumn("at", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
-        spans = events.filter("id is not null").groupBy(*KEY, "id").agg(F.max(F.when(F.col("opens"), F.col("at"))).alias("a"), F.max(F.when(~F.col("opens"), F.col("at"))).alias("b"))
-        all_text = body.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "run"))), lambda x: x["run"]), "").alias("all_text"))
-        piece = F.substring("all_text", (F.col("a") + 1).cast("int"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).cast("int"))
-        reference = spans.filter("b is not null").join(all_text, KEY).groupBy("doc_id", "id").agg(F.max(piece).alias("reference"))
+        spans = self._run_counts(ranges)
+        every = self._placed.filter("type = 'officeDocument'").join(ranges.select(*KEY).distinct(), KEY, "left_semi")
+        runs = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "k", "l", "run_strings"))), lambda x: x["run_strings"]))
+        whole_text = every.groupBy(*KEY).agg(runs.alias("all_runs"))
+        piece = F.array_join(F.slice("all_runs", (F.col("a") + 1).cast("int"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).cast("int")), "")
+        reference = spans.filter("b is not null").join(whole_text, KEY).groupBy("doc_id", "id").agg(F.max(piece).alias("reference"))
         out = whole.join(even, "doc_id", "left_semi").join(ranges.select("doc_id", "id"), ["doc_id", "id"], "left_semi").join(reference, ["doc_id", "id"], "left")
         return out.select("doc_id", "ord", "id", F.coalesce("reference", F.lit("")).alias("reference"), "author", "date", "text")
 
+    def _run_counts(self, ranges: DataFrame) -> DataFrame:
+        """doc_id, path, id, a, b: the number of runs so far at the markers (beg, end) of each range.
+
+        A running sum over what adds to the number: a paragraph's opening (its own tags), the first text of each run, and the closing of a cell that is
+        replaced or repeated (the runs that it then has, less its own).
+        """
+        mine = lambda df: df.filter("type = 'officeDocument'").join(ranges.select(*KEY).distinct(), KEY, "left_semi")
+        count = F.size(run_strings(F.col("html_style"), F.col("runs")))
+        own, final = mine(self.paragraphs), mine(self._placed)
+        opened = own.filter("size(html_style) > 0").select(*KEY, F.col("open_seq").alias("seq"), F.lit(2).alias("n"))
+        begun = own.select(*KEY, F.explode(F.transform("runs", lambda r: F.greatest(r["seq"], F.col("open_seq")))).alias("seq")).withColumn("n", F.lit(1))
+        now = final.filter("into is not null").groupBy(*KEY, "into").agg(F.sum(F.size("run_strings")).alias("now"))
+        was = own.groupBy(*KEY, "i", "j", "k").agg(F.max("cell").alias("into"), F.sum(count).alias("was")).filter("into is not null").groupBy(*KEY, "into").agg(F.sum("was").alias("was"))
+        ends = self._live.filter("name = 'w:tc'").select(*KEY, F.col("pre").alias("into"), F.col("post").alias("seq"))
+        moved = now.join(was, [*KEY, "into"]).filter("now <> was").join(ends, [*KEY, "into"]).select(*KEY, "seq", (F.col("now") - F.col("was")).cast("int").alias("n"))
+        two = F.array(F.struct(F.col("beg").alias("seq"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("seq"), F.lit(False).alias("opens")))
+        marks = ranges.select(*KEY, "id", F.inline(two)).filter("seq is not null")
+        so_far = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        events = opened.unionByName(begun).unionByName(moved).unionByName(marks, allowMissingColumns=True).withColumn("at", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+        return events.filter("id is not null").groupBy(*KEY, "id").agg(F.max(F.when(F.col("opens"), F.col("at"))).alias("a"), F.max(F.when(~F.col("opens"), F.col("at"))).alias("b"))
+
     @cached_property
     def images(self) -> DataFrame:
         """S13."""
-        return P.images(self.packages, self.parts)
+        return P.images(self.media("image", one_of_name=True))
 
     @cached_property
     def core_properties(self) -> DataFrame:
         """S12."""
-        return P.core_properties(self.packages, self.parts, self.members(XML))
+        return P.core_properties(self._of_kind("core").filter("error is null"), self.packages)
 
     @cached_property
     def headings(self) -> DataFrame:
@@ -264,6 +317,27 @@ def properties(kids: DataFrame, owner) -> DataFrame:
     return last.groupBy(*KEY, name).agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("v.v").alias("v")))).alias("properties"))
 
 
+def gather_properties(nodes: DataFrame, of: DataFrame, tag: str | None = None) -> DataFrame:
+    """doc_id, path, pre, properties of the nodes `of` (doc_id, path, pre): local name to w:val of the children of the node's own property element (w:p: w:pPr, w:sdt: w:sdtPr).
+
+    With a tag (w:sdt) the properties are those of the nearest node of that name at or above; nodes without one, or whose node has no property
+    element, have an empty map.  The first property element counts.  Empty values are null; of equal names the last wins, at the place of the first.
+    """
+    wanted = of.select(*KEY, "pre").distinct()
+    if tag is None:
+        held = wanted.withColumn("found", F.col("pre"))
+    else:
+        held = wanted.join(iterate.nearest(nodes, tag), [*KEY, "pre"])
+    owner = nodes.select(*KEY, F.col("pre").alias("found"), F.concat("name", F.lit("Pr")).alias("_name"))
+    owner = owner.join(held.select(*KEY, "found").distinct(), [*KEY, "found"], "left_semi")
+    first = nodes.select(*KEY, F.col("parent").alias("found"), F.col("name").alias("_name"), "pre").join(owner, [*KEY, "found", "_name"]).groupBy(*KEY, "found").agg(F.min("pre").alias("parent"))
+    kids = nodes.select(*KEY, "parent", "pre", F.element_at(F.split("name", ":"), -1).alias("key"), F.nullif(F.col("attrs")["w:val"], F.lit("")).alias("v")).join(first, [*KEY, "parent"])
+    last = kids.groupBy(*KEY, "found", "key").agg(F.min("pre").alias("at"), F.max_by(F.struct("v"), "pre").alias("v"))
+    maps = last.groupBy(*KEY, "found").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("at", "key", "v"))), lambda x: F.struct(x["key"], x["v"]["v"]))).alias("properties"))
+    none = F.expr("cast(map() as map<string,string>)")
+    return wanted.join(held.join(maps, [*KEY, "found"]), [*KEY, "pre"], "left").select(*KEY, "pre", F.coalesce("properties", none).alias("properties"))
+
+
 def flatten_text(pars: DataFrame, key: list[str] | None = None) -> DataFrame:
     """The key (doc_id) and text of paragraph rows in order of address."""
     key = key or ["doc_id"]

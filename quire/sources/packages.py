@@ -3,15 +3,85 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch of binary columns.
-FEW = 64
+#: Rows, and bytes, of one Arrow batch of binary columns, about.
+FEW, HEAVY = 64, 16 << 20
+#: Where list formats are, whatever relationships say, and the types given to it and to .rels members.
+NUMBERING, LISTS, RELATIONS = "word/numbering.xml", "numbering", "relationships"
+
+
+class Package:
+    """An open package: only its central directory is read until a member is asked for."""
+
+    def __init__(self, file: bytes | BinaryIO | None) -> None:
+        self.zip = zipfile.ZipFile(io.BytesIO(file or b"") if file is None or isinstance(file, bytes) else file)
+        self.names = {i.filename: i for i in self.zip.infolist()}  # the last of several members of one name counts
+
+    def read(self, name: str) -> bytes | Exception:
+        """A member's bytes, or why it cannot be read: one bad member must not stop the package."""
+        try:
+            return self.zip.read(self.names[name])
+        except Exception as e:
+            return e
+
+    def parts(self) -> list[tuple[str, str]]:
+        """(path, type) of the parts that relationships name and the package has, of its .rels members, and of the list formats; in order of path.  A part may have several types."""
+        found = {(n, RELATIONS) for n in self.names if n.endswith(".rels")} | ({(NUMBERING, LISTS)} & {(n, LISTS) for n in self.names})
+        for rels in [n for n in self.names if n.endswith(".rels")]:
+            if isinstance(raw := self.read(rels), bytes):  # else it shows up in the errors
+                for x in _relationships(raw):
+                    if "Target" in x and (path := _path_of(rels, x["Target"])) in self.names:
+                        found.add((path, x.get("Type", "").rpartition("/")[2]))
+        return sorted(found)
+
+
+def _relationships(raw: bytes) -> list[dict]:
+    """The attributes of the children of a .rels member's root; none if it is broken."""
+    found: list[dict] = []
+    depth = 0
+
+    def start(_: str, attrs: dict) -> None:
+        nonlocal depth
+        if depth == 1:
+            found.append(attrs)
+        depth += 1
+
+    def end(_: str) -> None:
+        nonlocal depth
+        depth -= 1
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    try:
+        parser.Parse(raw, True)
+    except Exception:  # shows up in the member's own errors
+        return []
+    return found
+
+
+def _path_of(rels_path: str, target: str) -> str:
+    """S6 for one target: the same as parts.inferred_path (a test compares them)."""
+    parent = re.sub("/?_rels$", "", rels_path.rpartition("/")[0])
+    joined = target if not parent or target.startswith(("/", parent + "/")) else f"{parent}/{target}"
+    return joined.lstrip("/.")
+
+
+def last_of_name(paths: list[str]) -> set[str]:
+    """Of paths with one file name the last in order."""
+    return set({p.rpartition("/")[2]: p for p in sorted(paths)}.values())
+
+
+def message(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
 def relative_id(root: str) -> Column:
@@ -20,7 +90,6 @@ def relative_id(root: str) -> Column:
     Of a root with wildcards the folders before them count.
     """
     import os
-    import re
 
     bare = lambda x: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?=/)", "", x).strip("/")
     full = root if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:/", root) else os.path.abspath(root)
@@ -43,31 +112,63 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(a, FEW)
 
 
+def gathered(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (texts, and bytes in the column of that name) as batches of FEW rows or HEAVY bytes, about."""
+    kinds = [pa.binary() if n == "bytes" else pa.string() for n in names]
+    at, held, size = names.index("bytes"), [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[at] or b"")
+        if len(held) == FEW or size > HEAVY:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+
+def part_bytes(packages: DataFrame, *types: str, one_of_name: bool = False) -> DataFrame:
+    """doc_id, path, type, bytes, error of the parts of these types, picked where the packages are: no bytes are exchanged.  one_of_name: of parts with one file name the last by path."""
+
+    def rows(doc: str, raw: bytes | None) -> Iterator[tuple]:
+        try:
+            package = Package(raw)
+        except Exception:  # shows up in the errors of the scan
+            return
+        wanted = [(p, t) for p, t in package.parts() if t in types]
+        last = last_of_name([p for p, _ in wanted]) if one_of_name else {p for p, _ in wanted}
+        for path, kind in wanted:
+            if path in last:
+                got = package.read(path)
+                yield (doc, path, kind, None, message(got)) if isinstance(got, Exception) else (doc, path, kind, got, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for b in batches for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True) for row in rows(doc, raw.as_py()))
+        yield from gathered(every, ["doc_id", "path", "type", "bytes", "error"])
+
+    return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, "doc_id string, path string, type string, bytes binary, error string")
+
+
 def unzip(packages: DataFrame, keep: str = ".*") -> DataFrame:
     """doc_id, member, bytes of every member whose name matches `keep`; a broken package gives one row with member null and the error, a broken member one with its name and the error.
 
     The last of several members of one name wins, as in any zip reader.  The name filter runs before anything is inflated.
     """
-    import re
-
     want = re.compile(keep)
 
+    def rows(doc: str, raw: bytes | None) -> Iterator[tuple]:
+        try:
+            package = Package(raw)
+        except Exception as e:  # one bad package must not stop the corpus
+            yield doc, None, None, message(e)
+            return
+        for n in package.names:
+            if want.fullmatch(n):
+                got = package.read(n)
+                yield (doc, n, None, message(got)) if isinstance(got, Exception) else (doc, n, got, None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            rows: list[tuple] = []
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
-                        names = {i.filename: i for i in z.infolist() if want.fullmatch(i.filename)}
-                        for n, i in names.items():
-                            try:
-                                rows.append((doc, n, z.read(i), None))
-                            except Exception as e:  # nor one bad member the package
-                                rows.append((doc, n, None, f"{type(e).__name__}: {e}"))
-                except Exception as e:  # one bad package must not stop the corpus
-                    rows.append((doc, None, None, f"{type(e).__name__}: {e}"))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], ["doc_id", "member", "bytes", "error"])
+        every = (row for b in batches for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True) for row in rows(doc, raw.as_py()))
+        yield from gathered(every, ["doc_id", "member", "bytes", "error"])
 
     return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, "doc_id string, member string, bytes binary, error string")
 

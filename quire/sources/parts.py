@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .packages import unzip
-from .shred import shred
-
 #: Relationship types whose parts hold text, in the order in which sections are joined.
 SECTIONS = ("header", "officeDocument", "footer", "footnotes", "endnotes")
 
 
-def relationships(members: DataFrame) -> DataFrame:
-    """doc_id, rels_path, rel_id, type_uri, target, mode: every Relationship of every .rels member, and one row (rel_id 'none') for the .rels member itself, whose type is its root's namespace."""
-    rels = shred(members.filter(F.col("member").endswith(".rels")).withColumnRenamed("member", "rels_path"), ["doc_id", "rels_path"])
+def relationships(rels: DataFrame) -> DataFrame:
+    """doc_id, rels_path, rel_id, type_uri, target, mode of the nodes of .rels members (doc_id, path): every Relationship, and one row (rel_id 'none') for the .rels member itself, whose type is its root's namespace."""
+    rels = rels.withColumnRenamed("path", "rels_path")
     row = rels.filter("level = 1").select("doc_id", "rels_path", F.col("attrs")["Id"].alias("rel_id"), F.col("attrs")["Type"].alias("type_uri"), F.col("attrs")["Target"].alias("target"), F.col("attrs")["TargetMode"].alias("mode"))
     own = rels.filter("level = 0").select("doc_id", "rels_path", F.lit("none").alias("rel_id"), F.col("attrs")["xmlns"].alias("type_uri"), F.col("rels_path").alias("target"), F.lit(None).cast("string").alias("mode"))
     return row.unionByName(own)
@@ -55,20 +52,16 @@ def rels_of_parts(parts: DataFrame, rels: DataFrame) -> DataFrame:
     return paths.join(rels.filter("rel_id <> 'none'").select("doc_id", "rels_path", "rel_id", "target"), ["doc_id", "rels_path"]).select("doc_id", "path", "rel_id", "target")
 
 
-def images(packages: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc_id, name, bytes of every image part; missing and external ones are left out, of equal names the last by path wins."""
-    paths = files_of_type(parts, "image").select("doc_id", "path").distinct()
-    media = unzip(packages, r"(?!.*\.rels$)(?!.*\.xml$).*").select("doc_id", F.col("member").alias("path"), "bytes")
-    found = paths.join(media, ["doc_id", "path"]).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    last = Window.partitionBy("doc_id", "name").orderBy(F.desc("path"))
-    return found.withColumn("_r", F.row_number().over(last)).filter("_r = 1").select("doc_id", "name", "bytes")
+def images(media: DataFrame) -> DataFrame:
+    """doc_id, name, bytes of image parts (doc_id, path, bytes, error), of which one name stands once in a document; parts that cannot be read are left out."""
+    return media.filter("error is null").select("doc_id", F.element_at(F.split("path", "/"), -1).alias("name"), "bytes")
 
 
-def core_properties(packages: DataFrame, parts: DataFrame, members: DataFrame) -> DataFrame:
-    """doc_id and properties, local name to text of each child of the core properties part; an empty map without one.  Of equal names the last wins; empty text is null."""
-    part = file_of_type(parts, "core-properties").select("doc_id", "path")
-    nodes = shred(part.join(members.withColumnRenamed("member", "path"), ["doc_id", "path"]), ["doc_id", "path"]).filter("level = 1")
-    last = nodes.withColumn("key", F.element_at(F.split("name", ":"), -1)).groupBy("doc_id", "key").agg(F.max_by(F.struct(F.when(F.col("text") != "", F.col("text")).alias("v")), "pre")["v"].alias("v"))
-    maps = last.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "v")))).alias("properties"))
+def core_properties(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and properties, local name to text of each child of the first core properties part by path; an empty map for those of docs (doc_id) without one.  Of equal names the last wins; empty text is null."""
+    own = nodes.filter("level = 1").select("doc_id", "path", "pre", F.element_at(F.split("name", ":"), -1).alias("key"), F.when(F.col("text") != "", F.col("text")).alias("v"))
+    last = own.groupBy("doc_id", "path", "key").agg(F.max_by(F.struct("v"), "pre")["v"].alias("v"))
+    maps = last.groupBy("doc_id", "path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "v")))).alias("properties"))
+    first = maps.groupBy("doc_id").agg(F.min_by("properties", "path").alias("properties"))
     none = F.expr("cast(map() as map<string,string>)")
-    return packages.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().join(maps, "doc_id", "left").select("doc_id", F.coalesce("properties", none).alias("properties"))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().join(first, "doc_id", "left").select("doc_id", F.coalesce("properties", none).alias("properties"))

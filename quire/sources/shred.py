@@ -16,7 +16,6 @@ up, upup    names of parent and grandparent; upper: pre of the grandparent
 
 from __future__ import annotations
 
-import re
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
@@ -25,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packages import LISTS, RELATIONS, Package
+
 #: The tags that count as content.
 CONTENT_TAGS = {
     "w:body", "w:br", "w:commentRangeEnd", "w:commentRangeStart", "w:document", "w:endnote", "w:endnoteReference", "w:footnote", "w:footnoteReference",
@@ -168,79 +169,53 @@ def shred(parts: DataFrame, keep: list[str]) -> DataFrame:
     return parts.select(*keep, "bytes").mapInArrow(run, schema)
 
 
-def _relationships(raw: bytes) -> list[dict]:
-    """The attributes of the children of a .rels member's root; none if it is broken."""
-    found: list[dict] = []
-    depth = 0
-
-    def start(_: str, attrs: dict) -> None:
-        nonlocal depth
-        if depth == 1:
-            found.append(attrs)
-        depth += 1
-
-    def end(_: str) -> None:
-        nonlocal depth
-        depth -= 1
+#: Types of parts that a scan reads besides those asked for.
+ALWAYS = (RELATIONS, LISTS, "core-properties")
 
-    parser = expat.ParserCreate()
-    parser.StartElementHandler, parser.EndElementHandler = start, end
-    try:
-        parser.Parse(raw, True)
-    except Exception:  # shows up in the relationships' own errors
-        return []
-    return found
 
+def kind_of(type_: str) -> str:
+    """Which table of the scan a part's nodes belong to."""
+    return {RELATIONS: "rels", LISTS: "numbering", "core-properties": "core"}.get(type_, "part")
 
-def _path_of(rels_path: str, target: str) -> str:
-    """S6 for one target: the same as parts.inferred_path (a test compares them)."""
-    parent = re.sub("/?_rels$", "", rels_path.rpartition("/")[0])
-    joined = target if not parent or target.startswith(("/", parent + "/")) else f"{parent}/{target}"
-    return joined.lstrip("/.")
 
+def scan_packages(packages: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """kind, doc_id, path, type, NODES, error: all markup that an extraction needs, from one reading of each package (doc_id, content).
 
-def shred_packages(packages: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """doc_id, path, type, NODES, error of the parts of the given types (last segments of relationship types) of each package (doc_id, content).
-
-    Relationships are read, parts unzipped and parsed in one crossing where the package is, so that neither bytes nor markup are exchanged. Parts that a
-    package lacks are left out; one that cannot be read (bad checksum, password, unknown encoding) gives a row with its error; what is no zip gives none here.
+    kind: part (parts of the given types), rels, numbering, core, or package (no nodes: a package or .rels member that cannot be read).  Relationships are
+    read, parts unzipped and parsed in one crossing where the package is, so that neither bytes nor markup are exchanged.  Parts that a
+    package lacks are left out; one that cannot be read (bad checksum, password, unknown encoding) gives a row with its error.
     """
-    import io
-    import zipfile
-
-    def wanted(z: zipfile.ZipFile, names: dict) -> list[tuple[str, str]]:
-        found = set()
-        for rels in [n for n in names if n.endswith(".rels")]:
-            try:
-                raw = z.read(names[rels])
-            except Exception:  # shows up in the errors of unzip
-                continue
-            for x in _relationships(raw):
-                kind = x.get("Type", "").rpartition("/")[2]
-                if kind in types and "Target" in x:
-                    found.add((_path_of(rels, x["Target"]), kind))
-        return sorted(found)
+    wanted = {*types, *ALWAYS}
 
     def run(batches):
         def pairs():
             for b in batches:
                 for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     try:
-                        z = zipfile.ZipFile(io.BytesIO(raw.as_py() or b""))
-                    except Exception:  # shows up in the errors of unzip
+                        package = Package(raw.as_py())
+                    except Exception as e:  # one bad package must not stop the corpus
+                        yield ("package", doc, None, None), e
                         continue
-                    names = {i.filename: i for i in z.infolist()}
-                    for path, kind in wanted(z, names):
-                        if path in names:
-                            try:
-                                part = z.read(names[path])
-                            except Exception as e:  # one bad member must not stop the corpus
-                                part = e
-                            yield (doc, path, kind), part
-
-        yield from _emit(pairs(), ["doc_id", "path", "type"], [pa.string()] * 3)
-
-    return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, "doc_id string, path string, type string, " + NODES + ", error string")
+                    for path, type_ in package.parts():
+                        if type_ in wanted:
+                            part = package.read(path)
+                            broken = isinstance(part, Exception) and type_ == RELATIONS
+                            yield ("package" if broken else kind_of(type_), doc, path, type_), part
+
+        yield from _emit(pairs(), ["kind", "doc_id", "path", "type"], [pa.string()] * 4)
+
+    return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, "kind string, doc_id string, path string, type string, " + NODES + ", error string")
+
+
+def scan_parts(parts: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """The same from a table of parts (doc_id, path, type, bytes, error): the filter on types reaches its source."""
+    of = F.when(F.col("type").isNull() | ((F.col("type") == RELATIONS) & F.col("error").isNotNull()), "package")
+    for t in ALWAYS:
+        of = of.when(F.col("type") == t, kind_of(t))
+    live = parts.filter(F.col("type").isin(*sorted({*types, *ALWAYS})) | F.col("type").isNull())
+    bad = live.filter("error is not null").select(of.otherwise("part").alias("kind"), "doc_id", "path", "type", "error")
+    good = live.filter("error is null").select(of.otherwise("part").alias("kind"), "doc_id", "path", "type", "bytes")
+    return shred(good, ["kind", "doc_id", "path", "type"]).unionByName(bad, allowMissingColumns=True)
 
 
 def serialise(nodes: DataFrame, keep: list[str]) -> DataFrame:

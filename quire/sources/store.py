@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a Parquet table of the shared folder, and the table's path."""
+def written(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
+    """df as a Parquet table of the shared folder (with a folder for each value of `by`, a text), and the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{os.getpid()}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if not _written:
         atexit.register(lambda: [drop(p) for p in list(_written)])
     _written[path] = spark

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import iterate, numbering, views
 from quire.sources.parts import inferred_path
-from quire.sources.shred import _path_of
+from quire.sources.packages import _path_of
 
 
 def _ragged():

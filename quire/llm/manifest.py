@@ -240,5 +240,6 @@ def _sql(levels: int = 7, top: int = 3) -> str:
     return "WITH " + ",\n".join(out) + "\n" + last
 
 
+SQL = _sql()
 QUERIES = {"op13_merkle_manifest": op13_merkle_manifest}
-ORACLES = {"op13_merkle_manifest": _sql()}
+ORACLES = {"op13_merkle_manifest": SQL}

@@ -5,14 +5,19 @@ Most build packages from a table, extract them with the whole plan, and must com
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats
 from ..operators import edit, iterate, views
+from ..operators.fragments import Handler
 from ..sources import build as B
-from ..sources.store import written
-from .extract import Extraction
+from ..sources import part_source
+from ..sources.packages import save_files
+from ..sources.store import shared_dir, written
+from .extract import Extraction, gather_properties
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +52,13 @@ def _docs(df: DataFrame, doc_id: str, body: Column, **more) -> DataFrame:
     return written(B.build(used, F.col(doc_id), parts, **more))[0]
 
 
+def files_of(packages: DataFrame) -> str:
+    """The packages as files in the shared folder, which driver and executors see as a folder of their own; its path."""
+    folder = f"{shared_dir(packages.sparkSession)}/quire-files-{uuid.uuid4().hex}"
+    save_files(packages.withColumn("name", F.concat("doc_id", F.lit(".docx"))), folder.removeprefix("file://"), "name", "content")
+    return folder
+
+
 def _long(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -558,3 +570,116 @@ def s3_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
     left = sum(path(x).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(x)) for x in held)
     return spark.createDataFrame([(n, left if held else -1)], "n_texts long, n_left long")
+
+
+@query("""
+SELECT s_suppkey AS doc_id, '--' || chr(9) || s_name || chr(10) || chr(10) || '1)' || chr(9) || 'one' || repeat(chr(10) || chr(10) || 'a', 1) || repeat(chr(10) || chr(10) || s_name, 63) || chr(10) || chr(10) || 'first' AS text, CAST(6 AS BIGINT) AS n_warnings FROM supplier
+UNION ALL SELECT 1000000 + s_suppkey, s_name, 0 FROM supplier
+""")
+def w4_odd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that are no numbers, and a span of a billion: each package keeps its text and gets warnings, and sound packages beside them are as ever."""
+    s = _table(spark, sf_dir, "supplier")
+    par = lambda text, level: B.p(B.r(B.t(text)), B.numbered("1", level))
+    cell = lambda text, span: B.tc(B.p(B.r(B.t(text))), B.cat('<w:gridSpan w:val="', span, '"/>'))
+    drop = F.lit('<w:ffData><w:ddList><w:result w:val=""/><w:result w:val="x"/><w:listEntry w:val="first"/><w:listEntry w:val="second"/></w:ddList></w:ffData>')
+    odd = B.cat(par(F.col("s_name"), F.col("s_name")), par(F.lit("one"), "0"), B.tbl(B.tr(B.cat(cell(F.lit("a"), F.col("s_name")), cell(F.col("s_name"), "1000000000")))), B.p(B.r(drop)))
+    numbers = B.numbering_xml([("decimal", None)]).replace("<w:numFmt", '<w:start w:val="x"/><w:numFmt')
+    both = s.select(F.col("s_suppkey").alias("id"), odd.alias("body"), F.lit(numbers).alias("lists")).unionByName(s.select((F.col("s_suppkey") + 1000000).alias("id"), B.p(B.r(B.t(F.col("s_name")))).alias("body"), F.lit(None).cast("string").alias("lists")))
+    e = Extraction(_docs(both, "id", F.col("body"), parts={"numbering.xml": F.col("lists")}))
+    n = e.warnings.filter("stage like 'value %'").groupBy("doc_id").agg(F.count("*").alias("n_warnings"))
+    return _long(e.text.join(n, "doc_id", "left").select("doc_id", "text", F.coalesce("n_warnings", F.lit(0).cast("long")).alias("n_warnings")))
+
+
+@query("SELECT doc_id, lang || chr(10) || chr(10) || text || source AS text, 'document,,,,p|document,,,,' AS lineages FROM documents")
+def j9_text_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs straight below the body, around a paragraph: they make one paragraph, which stands where the part ends."""
+    d = _table(spark, sf_dir, "documents")
+    run = lambda c: B.r(B.t(F.col(c)))
+    e = Extraction(_docs(d, "doc_id", B.cat(run("text"), B.p(run("lang")), run("source"))))
+    lineages = e.document.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l", F.array_join(F.transform("lineage", lambda x: F.coalesce(x, F.lit(""))), ",").alias("v")))).alias("v"))
+    return _long(e.text.join(lineages, "doc_id").select("doc_id", "text", F.array_join(F.transform("v", lambda x: x["v"]), "|").alias("lineages")))
+
+
+@query("SELECT doc_id, 'body' || chr(10) || chr(10) || 'footnote1)' || chr(9) || 'q' || quality || chr(10) || chr(10) || 'footnote2)' || chr(9) || 'footnote3)' || chr(9) AS text FROM labels")
+def t8_left_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of notes after which no paragraph comes make a paragraph of their own."""
+    note = lambda n, inner="": B.cat(f'<w:footnote w:id="{n}">', inner, "</w:footnote>")
+    notes = B.root("footnotes", B.cat(note(1, B.p(B.r(B.t(F.concat(F.lit("q"), F.col("quality").cast("string")))))), note(2), note(3)))
+    return _long(Extraction(_docs(_table(spark, sf_dir, "labels"), "doc_id", B.p(B.r(B.t(F.lit("body")))), parts={"footnotes.xml": notes})).text)
+
+
+@query("SELECT s_suppkey AS doc_id, CAST(o AS INTEGER) AS ord, CASE o WHEN 0 THEN '</h1>' WHEN 1 THEN '<b>' || s_name || '</b>' ELSE 'plain' || s_suppkey END AS reference FROM supplier, LATERAL (SELECT unnest([0, 1, 2]) AS o) v")
+def g4_comments_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W9, J7 with html on: an open heading counts its closing tag from the start, so a range within it is one run late; ranges elsewhere are as with html off."""
+    s = _table(spark, sf_dir, "supplier")
+    span = lambda n, inner: B.cat(f'<w:commentRangeStart w:id="{n}"/>', inner, f'<w:commentRangeEnd w:id="{n}"/>')
+    run = lambda text, style="": B.r(B.t(text), style)
+    heading = B.p(B.cat(run(F.lit("before")), span(0, run(F.col("s_name")))), '<w:pStyle w:val="Heading1"/>')
+    other = B.p(B.cat(span(1, run(F.col("s_name"), "<w:b/>")), run(F.lit(" rest")), span(2, run(F.concat(F.lit("plain"), F.col("s_suppkey").cast("string"))))))
+    remarks = "".join(f'<w:comment w:id="{n}" w:author="a" w:date="d"><w:p><w:r><w:t>c</w:t></w:r></w:p></w:comment>' for n in range(3))
+    e = Extraction(_docs(s, "s_suppkey", B.cat(heading, other), parts={"comments.xml": B.root("comments", F.lit(remarks))}), html=True)
+    return _long(e.comments.select("doc_id", "ord", "reference"))
+
+
+@query("SELECT doc_id, CAST(p.n - 1 AS INTEGER) AS l, lang AS tag, CAST(2 AS INTEGER) AS n_properties, string_split(text, chr(10))[p.n] AS text FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n) p")
+def p7_content_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tag of the content control around each paragraph, searched for upwards."""
+    d = _table(spark, sf_dir, "documents")
+    body = B.cat('<w:sdt><w:sdtPr><w:alias w:val="a"/><w:tag w:val="old"/><w:tag w:val="', B.esc(F.col("lang")), '"/></w:sdtPr><w:sdtContent>', _pars(_lines()), "</w:sdtContent></w:sdt>")
+    e = Extraction(_docs(d, "doc_id", body))
+    pars = e.document.select("doc_id", "path", "pre", "l", "text")
+    found = gather_properties(e.nodes, pars, "w:sdt")
+    return _long(pars.join(found, ["doc_id", "path", "pre"]).select("doc_id", "l", F.col("properties")["tag"].alias("tag"), F.size("properties").alias("n_properties"), "text"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name || '[' || n_name || ']' || chr(10) || n_name AS text, CAST(3 AS BIGINT) AS n_runs FROM nation")
+def t17_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handlers by tag: a user's tags emit text, as runs of their own or within the open one; nothing below the second is read."""
+    name = F.col("n_name")
+    own = B.cat('<w:bookmarkStart w:name="', B.esc(name), '"/>')
+    ruby = B.cat('<w:ruby w:base="', B.esc(name), '">', B.r(B.t(F.lit("unread"))), "</w:ruby>")
+    handlers = {
+        "w:bookmarkStart": Handler(lambda: F.concat(F.lit("["), F.col("attrs")["w:name"], F.lit("]"))),
+        "w:ruby": Handler(lambda: F.concat(F.lit("\n"), F.col("attrs")["w:base"]), alone=False, into=False),
+    }
+    e = Extraction(_docs(_table(spark, sf_dir, "nation"), "n_nationkey", B.p(B.r(B.cat(B.t(name), own, ruby)))), handlers=handlers)
+    n = e.document.select("doc_id", F.size("run_strings").cast("long").alias("n_runs"))
+    return _long(e.text.join(n, "doc_id"))
+
+
+@query("SELECT s_suppkey AS doc_id, 'x' || s_name || 'matchx' || s_name || 'y' AS text FROM supplier")
+def x1_nested_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is replaced below an element that matches, and one that becomes empty goes with what is below it."""
+    name = B.esc(F.col("s_name"))
+    text = lambda *inner: B.cat("<w:t>", *inner, "</w:t>")
+    apart = "<m:oMath/>"
+    body = B.p(B.cat(B.r(text("match", text(name, "match"))), apart, B.r(text("match", name)), apart, B.r(text("gone", text("also gone"))), apart, B.r(text("y"))))
+    saved = edit.replace_docx_text(_docs(_table(spark, sf_dir, "supplier"), "s_suppkey", body), ("match", "x"), ("gone", ""))
+    return _long(Extraction(saved).text.withColumn("text", F.replace("text", F.lit("<latex></latex>"), F.lit(""))))
+
+
+@query("""
+SELECT c_custkey AS doc_id, '<b>' || c_mktsegment || '</b>: ' || c_name || ' and Pe<b>a</b>rs' || chr(10) || chr(10) || 'Apples' || chr(10) || 'Grapes & <i>Apples' || chr(10) || 'Grapes</i>' AS text FROM customer
+""".replace("'Grapes & <i>", "'Grapes &amp; <i>"))
+def x2_replace_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2 with html on: texts of one format are replaced, also across runs, texts of several are left; lines of the new text stand apart by breaks."""
+    run = lambda x, style="": B.r(B.t(F.lit(x) if isinstance(x, str) else x), style)
+    first = B.p(B.cat(run(F.col("c_mktsegment"), "<w:b/>"), run(": "), run(F.col("c_name")), run(" and Pe"), run("a", "<w:b/>"), run("rs")))
+    second = B.p(B.cat(run("Pe"), '<w:bookmarkStart w:id="1"/>', run("ars & "), run("Pea", "<w:i/>"), run("rs", "<w:i/>")))
+    saved = edit.replace_docx_text(_docs(_table(spark, sf_dir, "customer"), "c_custkey", B.cat(first, second)), ("Pears", "Apples\nGrapes"), html=True)
+    return _long(Extraction(saved, html=True).text)
+
+
+@query("""
+SELECT c_custkey AS doc_id, 'image' AS type, 'word/media/logo.bin' AS path, c_name AS content FROM customer UNION ALL
+SELECT c_custkey, 'core-properties', 'docProps/core.xml', c_mktsegment FROM customer
+""")
+def s2_part_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages as files, of which a scan by ranges reads only the wanted parts."""
+    c = _table(spark, sf_dir, "customer")
+    made = _docs(c, "c_custkey", B.p(B.r(B.t(F.col("c_name")))), parts={"core.xml": B.core({"dc:title": F.col("c_mktsegment")})}, media={"logo.bin": F.encode("c_name", "utf-8")})
+    folder = files_of(made)
+    found = part_source.read_parts(spark, folder).filter(F.col("type").isin("image", "core-properties"))
+    text = F.decode("bytes", "utf-8")
+    title = F.regexp_extract(text, "<dc:title>([^<]*)<", 1)
+    return found.select(F.regexp_replace("doc_id", "[.]docx$", "").cast("long").alias("doc_id"), "type", "path", F.when(F.col("type") == "image", text).otherwise(title).alias("content"))

@@ -173,18 +173,30 @@ def unzip(packages: DataFrame, keep: str = ".*") -> DataFrame:
     return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, "doc_id string, member string, bytes binary, error string")
 
 
-def zip_members(members: DataFrame) -> DataFrame:
-    """doc_id and content, a package for each document from its (member, bytes) rows, members in order of name with the content types first."""
-
-    def run(t: pa.Table) -> pa.Table:
-        out = io.BytesIO()
-        names, raws = t["member"].to_pylist(), t["bytes"].to_pylist()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, raw in sorted(zip(names, raws, strict=True), key=lambda x: (x[0] != "[Content_Types].xml", x[0])):
-                z.writestr(zipfile.ZipInfo(name), raw or b"", zipfile.ZIP_DEFLATED)
-        return pa.table([t["doc_id"].slice(0, 1), pa.array([out.getvalue()], pa.binary())], names=["doc_id", "content"])
-
-    return members.select("doc_id", "member", "bytes").groupBy("doc_id").applyInArrow(run, "doc_id string, content binary")
+def zipped(members: dict[str, bytes]) -> bytes:
+    """A package of these members, in order of name with the content types first."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in sorted(members, key=lambda x: (x != "[Content_Types].xml", x)):
+            z.writestr(zipfile.ZipInfo(name), members[name], zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def patched(packages: DataFrame) -> DataFrame:
+    """doc_id and content of packages (doc_id, content, changed: array of (path, bytes)), with the changed parts in place of their own; where they are.  Members that cannot be read are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for doc, raw, changed in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                    package = Package(raw.as_py())
+                    members = {n: x for n in package.names if isinstance(x := package.read(n), bytes)}
+                    yield doc, zipped(members | {c["path"]: c["bytes"] or b"" for c in changed.as_py()})
+
+        for batch in gathered(((d, x) for d, x in rows()), ["doc_id", "bytes"]):
+            yield batch.rename_columns(["doc_id", "content"])
+
+    return packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content", "changed").mapInArrow(run, "doc_id string, content binary")
 
 
 def save_files(df: DataFrame, folder: str, name: str, content: str) -> None:

@@ -17,12 +17,12 @@ up, upup    names of parent and grandparent; upper: pre of the grandparent
 from __future__ import annotations
 
 from xml.parsers import expat
-from xml.sax.saxutils import escape, quoteattr
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .packages import LISTS, RELATIONS, Package
 
@@ -218,32 +218,39 @@ def scan_parts(parts: DataFrame, types: tuple[str, ...]) -> DataFrame:
     return shred(good, ["kind", "doc_id", "path", "type"]).unionByName(bad, allowMissingColumns=True)
 
 
+def escaped(text: Column, attribute: bool = False) -> Column:
+    """Text for markup; in attributes also quotes and white space that a reader would make blanks of."""
+    pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")] + ([('"', "&quot;"), ("\n", "&#10;"), ("\t", "&#9;")] if attribute else [])
+    for a, b in pairs:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def serialise(nodes: DataFrame, keep: list[str]) -> DataFrame:
-    """Keep and bytes, each part's XML from its node rows, which may have been edited.
+    """Keep and bytes, each part's XML from its node rows, which may have been edited: opening and closing strings, joined in order by one aggregate.
 
-    A row stands below the row whose pre is its parent, in order of (pre, sub) among its siblings; rows without a way up to the root are
-    left out.  Columns read: pre, parent, sub (array of int, optional), name, attrs, text, tail.
+    Columns read: pre, post, name, attrs, text, tail, and if there are any: sub (array of int, the order of several rows of one pre), closed (true for rows that
+    hold nothing below them though they share another's pre and post), anchor (int: the row and all below it stand after what closes there).  Whoever leaves
+    a row out must leave out what is below it (see without).
     """
-    fields = {f.name: f.dataType.simpleString() for f in nodes.schema}
-
-    def run(t: pa.Table) -> pa.Table:
-        below: dict = {}
-        for r in sorted(t.select(["pre", "sub", "parent", "name", "attrs", "text", "tail"]).to_pylist(), key=lambda r: (r["pre"], r["sub"])):
-            below.setdefault(r["parent"], []).append(r)
-        out = ['<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n']
-        stack: list = list(reversed(below.get(None, [])[:1]))
-        while stack:
-            r = stack.pop()
-            if isinstance(r, str):
-                out.append(r)
-                continue
-            attrs = "".join(f" {k}={quoteattr(v)}" for k, v in (r["attrs"] or []))
-            out.append(f"<{r['name']}{attrs}>{escape(r['text'] or '')}")
-            stack.append(f"</{r['name']}>{escape(r['tail'] or '')}")
-            stack += reversed(below.pop(r["pre"], []))
-        first = [t[c].slice(0, 1) for c in keep]
-        return pa.table([*first, pa.array(["".join(out).encode("utf-8", "surrogatepass")], pa.binary())], names=[*keep, "bytes"])
-
-    rows = nodes if "sub" in nodes.columns else nodes.withColumn("sub", F.array(F.lit(0)))
-    schema = ", ".join(f"{c} {fields[c]}" for c in keep) + ", bytes binary"
-    return rows.select(*keep, "pre", "sub", "parent", "name", "attrs", "text", "tail").groupBy(*keep).applyInArrow(run, schema)
+    has = set(nodes.columns)
+    sub = F.col("sub") if "sub" in has else F.array(F.lit(0))
+    closed = F.coalesce("closed", F.lit(False)) if "closed" in has else F.lit(False)
+    moved = F.when(F.col("anchor").isNotNull(), F.array("anchor", F.lit(1))) if "anchor" in has else None
+    at = lambda key: F.concat(F.coalesce(moved, F.expr("cast(array() as array<int>)")), key) if moved is not None else key
+    attrs = F.array_join(F.transform(F.map_entries(F.coalesce("attrs", F.expr("cast(map() as map<string,string>)"))), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), escaped(e["value"], True), F.lit('"'))), "")
+    opening = F.concat(F.lit("<"), F.col("name"), attrs, F.lit(">"), escaped(F.coalesce("text", F.lit(""))))
+    closing = F.concat(F.lit("</"), F.col("name"), F.lit(">"), escaped(F.coalesce("tail", F.lit(""))))
+    open_key, close_key = at(F.concat(F.array("pre"), sub)), at(F.array("post"))
+    item = lambda key, text: F.struct(key.alias("key"), text.alias("s"))
+    items = nodes.select(*keep, F.inline(F.when(closed, F.array(item(open_key, F.concat(opening, closing)))).otherwise(F.array(item(open_key, opening), item(close_key, closing)))))
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+    text = F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "s"))), lambda x: x["s"]), ""))
+    return items.groupBy(*keep).agg(F.encode(text, "utf-8").alias("bytes"))
+
+
+def without(nodes: DataFrame, gone: Column, key: list[str]) -> DataFrame:
+    """nodes less the rows for which gone is true and all below them."""
+    before = Window.partitionBy(*key).orderBy("pre").rangeBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(gone, F.lit(False))
+    return nodes.withColumn("_end", F.max(F.when(gone, F.col("post"))).over(before)).filter(~gone & (F.col("_end").isNull() | (F.col("pre") > F.col("_end")))).drop("_end")

@@ -22,7 +22,7 @@ from .common import crc32_sql, give_back, growing, placed, table, written
 ARITY = 8
 TOP = -1
 #: The level of blocks is the lowest that has at most KEPT nodes, but two at least: what is kept above it are so many hashes, by 8/7.
-KEPT, LOWEST = 1 << 18, 2
+KEPT, LOWEST = 1 << 16, 2
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -133,12 +133,16 @@ def proofs(leaves: list[bytes], others: list[bytes | None], tree: int, n: int, b
     above = forest.path(tree, n, level, number * ARITY ** (block - level))
     rest = [b"".join(x + y for x, y in above)] * len(levels[-1])
     around: list[list[tuple[bytes, bytes]]] = []
-    for nodes in reversed(levels[:-1]):
+    for depth in reversed(range(len(levels) - 1)):
+        nodes = levels[depth]
         texts = [b"".join(nodes[k : k + ARITY]) for k in range(0, len(nodes), ARITY)]
         own = [(texts[k // ARITY][: 64 * (k % ARITY)], texts[k // ARITY][64 * (k % ARITY) + 64 :]) for k in range(len(nodes))]
-        rest = [x + y + rest[k // ARITY] for k, (x, y) in enumerate(own)]
+        whole = (x + y + rest[k // ARITY] for k, (x, y) in enumerate(own))
+        rest = list(map(digest, whole) if depth == 0 else whole)  # of leaves the digests only
         around.append(own)
     around.reverse()
+    if not around:
+        rest = list(map(digest, rest))
     out = []
     for k, (leaf, other) in enumerate(zip(leaves, others, strict=True)):
         node, at = other or leaf, k
@@ -146,7 +150,7 @@ def proofs(leaves: list[bytes], others: list[bytes | None], tree: int, n: int, b
             node, at = digest(own[at][0] + node + own[at][1]), at // ARITY
         for before, after in above:
             node = digest(before + node + after)
-        out.append((digest(rest[k]), node))
+        out.append((rest[k], node))
     return out
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith
 
 from .packages import Package, gathered, last_of_name, message
 
@@ -50,7 +50,7 @@ class PartReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Takes what compares doc_id, path or type with texts; hands all else back."""
-        kinds = {EqualTo: "is", In: "in", StringStartsWith: "starts", StringEndsWith: "ends", StringContains: "holds"}
+        kinds = {EqualTo: "is", In: "in", StringStartsWith: "starts", StringEndsWith: "ends", StringContains: "holds", IsNotNull: "there"}
         for f in filters:
             column = getattr(f, "attribute", None)
             if type(f) in kinds and column and len(column) == 1 and column[0] in COLUMNS:
@@ -63,7 +63,7 @@ class PartReader(DataSourceReader):
         for column, kind, want in self.tests:
             if column in values:
                 v = values[column]
-                if v is None or not {"is": lambda: v == want, "in": lambda: v in want, "starts": lambda: v.startswith(want), "ends": lambda: v.endswith(want), "holds": lambda: want in v}[kind]():  # noqa: B023
+                if v is None or not {"is": lambda: v == want, "in": lambda: v in want, "starts": lambda: v.startswith(want), "ends": lambda: v.endswith(want), "holds": lambda: want in v, "there": lambda: True}[kind]():  # noqa: B023
                     return False
         return True
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +29,23 @@ class Model:
 
 
 def dictionary(texts: list[bytes], size: int) -> bytes:
-    """A raw content dictionary of whole texts in the order given, as many as fit; texts of more than a 256th of it only if nothing else is there."""
-    out, held = [], 0
-    for t in [t for t in texts if 256 * len(t) <= size] or sorted(texts, key=len)[:1]:
-        if held + len(t) + 1 <= size or not out:
-            out.append(t)
-            held += len(t) + 1
-    return b"\n".join(out)
+    """A raw content dictionary of all texts in the order given: whole if they fit, else the same number of bytes of each (all of those that are shorter), as many as fit.
+
+    A longer text's bytes are a run of it, at a place that its checksum picks.
+    """
+    lengths = np.sort([len(t) for t in texts])
+    room = size - len(texts)  # a byte between any two
+    share, left = 0, len(lengths)
+    for n in lengths.tolist():  # shorter texts leave more to the others
+        share = max(share, room // left)
+        if n > share:
+            break
+        room, left = room - n, left - 1
+        share = n
+    else:
+        share = int(lengths[-1]) if len(lengths) else 0
+    at = lambda t: zlib.crc32(t) % (len(t) - share + 1) if len(t) > share else 0
+    return b"\n".join(t[at(t) : at(t) + share] for t in texts)
 
 
 class Sizer:
@@ -63,11 +74,12 @@ class Sizer:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
-    """Pool adjacent violators; knots are block means."""
-    order = np.argsort(x, kind="stable")
+    """Pool adjacent violators, equal x first; knots are block means."""
+    places, of = np.unique(x, return_inverse=True)
+    count = np.bincount(of, minlength=len(places))
     blocks: list[list[float]] = []
-    for a, b in zip(x[order], y[order], strict=True):
-        blocks.append([b, 1.0, a])
+    for a, n, b in zip(places.tolist(), count.tolist(), (np.bincount(of, y, len(places)) / count).tolist(), strict=True):
+        blocks.append([b, n, a])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v, n, s = blocks.pop()
             w, m, r = blocks[-1]
@@ -104,7 +116,7 @@ def score_all(docs: DataFrame, marks: DataFrame, learn_from, label: str = "quali
     """doc_id and score (0 to 1) of every row of docs.
 
     marks: id_col and a 0/1 label; learn_from: condition on rows of marks that may be learnt from; at most per_label
-    rows of each label are collected, and half of them fill a dictionary of at most 1 MB a label with whole texts (see
+    rows of each label are collected, and half of them make a dictionary of at most 1 MB a label, texts of any length (see
     dictionary).  Empty, blank and null texts get the prior, the share of label 1; so do all texts if one label has
     fewer than two rows (0.5 without labels).  Equal texts have equal scores; texts are scored whole, whatever their length.  Repeated rows
     get a row each, null ids too; an empty table gives no rows.

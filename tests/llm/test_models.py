@@ -247,3 +247,24 @@ def test_isotonic():
     y = [float(rng.random() < v) for v in x]
     knots, values = quality_classifier.isotonic(np.array(x), np.array(y))
     assert values == sorted(values) and knots == sorted(knots) and bucket is not None
+    assert quality_classifier.isotonic(np.array([1.0, 1.0]), np.array([0.0, 1.0])) == ([1.0], [0.5])
+    for _ in range(100):
+        xs, ys = np.array([float(rng.randrange(6)) for _ in range(15)]), np.array([float(rng.randrange(2)) for _ in range(15)])
+        knots, values = quality_classifier.isotonic(xs, ys)
+        places = sorted(set(xs))
+        mean = lambda a, b: np.mean([v for u, v in zip(xs, ys, strict=True) if places[a] <= u <= places[b]])  # noqa: E731,B023
+        best = [max(min(mean(a, b) for b in range(k, len(places))) for a in range(k + 1)) for k in range(len(places))]  # the least-squares fit
+        assert values == sorted(values) and knots == sorted(set(knots))
+        assert np.allclose(sorted(set(np.round(best, 9))), np.round(values, 9))
+
+
+def test_dictionary_holds_texts_of_any_length():
+    """Also where all are longer than the share that each has; a short text stays whole."""
+    rng = random.Random(4)
+    long = [bytes(rng.randrange(97, 123) for _ in range(rng.randint(4_000, 8_000))) for _ in range(750)]
+    made = quality_classifier.dictionary(long, 1 << 20)
+    assert 0.99 * (1 << 20) < len(made) <= 1 << 20 and all(piece in t for piece, t in zip(made.split(b"\n"), long, strict=True))
+    mixed = [b"short", *long[:3], b"", b"x" * 10_000_000]
+    made = quality_classifier.dictionary(mixed, 40_000).split(b"\n")
+    assert made[0] == b"short" and made[1:4] == long[:3] and made[4] == b"" and len(made[5]) > 15_000 and sum(map(len, made)) <= 40_000
+    assert quality_classifier.dictionary([b"a", b"bc"], 100) == b"a\nbc" and quality_classifier.dictionary([], 10) == b""

@@ -30,11 +30,12 @@ def labels(nodes: DataFrame) -> DataFrame:
     return notes.select(*KEY, "type", "pre", F.concat(kind, F.coalesce(F.col("attrs")["w:id"], F.lit("")), F.lit(")\t")).alias("label"))
 
 
-def paragraphs(nodes: DataFrame, own: DataFrame, handlers: dict) -> DataFrame:
-    """doc_id, path, pre, type, top, open_seq of the implicit paragraphs beside those of own (pre)."""
+def paragraphs(nodes: DataFrame, handlers: dict) -> DataFrame:
+    """doc_id, path, pre, type, top, open_seq of the implicit paragraphs."""
     stray = nodes.filter(F.col("par").isNull() & F.col("link").isNull() & ~F.col("math") & F.col("name").isin(*TAGS, *handlers, "w:hyperlink"))
     opened = stray.groupBy(*KEY, owner().alias("pre")).agg(F.max("type").alias("type"), F.max(F.when(F.col("type") == "comments", F.col("top"))).alias("top"), F.min("pre").alias("open_seq"))
     noted = labels(nodes).groupBy(*KEY).agg(F.max("type").alias("type"), F.max("pre").alias("label"))
+    own = nodes.filter("name = 'w:p' and link is null")
     last = own.select(*KEY, F.col("pre").alias("open_seq")).unionByName(opened.select(*KEY, "open_seq")).groupBy(*KEY).agg(F.max("open_seq").alias("last"))
     left = noted.join(last, KEY, "left").filter("last is null or label > last").select(*KEY, F.lit(LEFT).alias("pre"), "type", F.lit(None).cast("int").alias("top"), F.lit(LAST).alias("open_seq"))
     return opened.unionByName(left)

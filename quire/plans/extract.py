@@ -175,7 +175,7 @@ class Extraction:
             F.max(F.when(F.col("pre") == F.col("par"), F.col("top"))).alias("top"),
         )
         own = own.withColumn("open_seq", F.col("pre"))
-        return own.unionByName(implicit.paragraphs(self._live, own, self.handlers), allowMissingColumns=True).withColumn("style", F.coalesce("style", F.lit("")))
+        return own.unionByName(implicit.paragraphs(self._live, self.handlers), allowMissingColumns=True).withColumn("style", F.coalesce("style", F.lit("")))
 
     @cached_property
     def paragraphs(self) -> DataFrame:

@@ -10,8 +10,9 @@ p = n // 5 + 1, which is less than similarity 0.8 needs.  So two linked document
 documents that share such a token are a block.  The order puts frequent tokens last (see hot_tokens), so that blocks are small where documents have
 anything of their own, whatever passages they share.
 
-1. Each document is tried against the smallest id of each of its blocks (bound, then sets).  This contracts families of near
-   copies, which have many blocks of many pairs, to few parts, and blocks within one part need no more work.
+1. The documents of all blocks with one smallest id stand in trees, which are searched with that id's point; what the bound leaves is
+   verified on sets.  This contracts families of near copies, which have many blocks of many pairs, to few parts, and blocks
+   within one part need no more work.
 2. In each block that still has several parts a tree finds pairs across parts that the bound leaves.  They join documents to families.
 3. The leaves of the families' trees lie in tables; pairs of leaves are pruned by their boxes, pairs within one part are
    skipped, and the others are dealt as tasks, in which trees over the points of both leaves choose the pairs that are verified on whole sets.
@@ -178,6 +179,20 @@ class CountTree:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(left), np.concatenate(right)
 
+    def near(self, p: np.ndarray, n: int) -> np.ndarray:
+        """The rows whose bound with the point of a set of n reaches what they need: from the root down, nodes whose box misses it are left out."""
+        found, stack = [np.zeros(0, np.int64)], [(len(self.levels) - 1, 0)]
+        while stack:
+            k, i = stack.pop()
+            rows, corner, least, most = self.levels[k][i]
+            if 5 * most < 4 * n or 5 * n < 4 * least or np.minimum(corner, p).sum() < needed(n, least):
+                continue
+            if k:
+                stack += [(k - 1, c) for c in rows]
+            else:
+                found.append(rows[np.minimum(self.points[rows], p).sum(1) >= needed(n, self.sizes[rows])])
+        return np.concatenate(found)
+
 
 def survivors(points: list[np.ndarray], sizes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of different parts that the bound leaves, by a tree for each number of groups.
@@ -294,11 +309,22 @@ def links_in_unit(t: pa.Table) -> pa.Table:
     return _edges(a, b)
 
 
-def bounded(t: pa.Table) -> pa.Table:
-    """The rows whose points (point, hub_point) have a bound that reaches what their sizes need."""
-    both = zip(_points(t["point"]), _points(t["hub_point"]), strict=True)
-    total = np.array([np.minimum(folded(p, g), folded(q, g)).sum() for p, q in both for g in (min(len(p), len(q)),)])
-    return t.select(["id", "hub", "n"]).filter(pa.array(total >= needed(t["n"].to_numpy(), t["hub_n"].to_numpy())))
+def near_hub(t: pa.Table) -> pa.Table:
+    """The documents of each unit that its trees, one for each number of groups, leave when they are searched with the hub's point (leaf 0)."""
+    leaf, sizes, points = t["leaf"].to_numpy(), t["n"].to_numpy(), _points(t["point"])
+    groups = np.array([len(p) for p in points])
+    kept, hubs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for unit in _groups(t, "unit"):
+        top, rest = unit[leaf[unit] == 0], unit[leaf[unit] != 0]
+        for g in np.unique(groups[rest]).tolist():
+            own = rest[groups[rest] == g]
+            for h in top.tolist():
+                f = min(g, len(points[h]))
+                found = own[CountTree(np.array([folded(points[k], f) for k in own]), sizes[own]).near(folded(points[h], f), int(sizes[h]))]
+                kept.append(found)
+                hubs.append(np.full(len(found), h))
+    ids, kept = t["id"].to_numpy(), np.concatenate(kept)
+    return pa.table([pa.array(x, pa.int64()) for x in (ids[kept], ids[np.concatenate(hubs)], sizes[kept])], names=["id", "hub", "n"])
 
 
 def links_to_hub(t: pa.Table) -> pa.Table:
@@ -387,16 +413,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(several.select("block", "m", "hub", "id").unionByName(pairs))
     dropped(shared, blocks)
 
-    # 1. stars
-    own = members.filter("id <> hub").select("id", "hub").distinct()
-    near = own.join(growing(points.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))), "hub").join(growing(points), "id").filter("5 * n >= 4 * hub_n and 5 * hub_n >= 4 * n")
-    near = near.join(growing(points.select(F.col("id").alias("hub"), F.col("point").alias("hub_point"))), "hub")
-    stars = written(scan(near, ["id", "hub", "n", "hub_n", "point", "hub_point"], bounded, "id long, hub long, n long"))
-    load = stars.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / LEAF, 8 * F.sum("n") / LEAF_BYTES)).cast("long").alias("spread"))
-    unit = F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("spread")))
-    dealt = stars.join(growing(load), "hub").select("id", "hub", unit.alias("unit"))
-    rays = dealt.select("unit", "id", F.lit(1).cast("long").alias("leaf")).unionByName(dealt.select("unit", F.col("hub").alias("id"), F.lit(0).cast("long").alias("leaf")).distinct())
-    part_of = written(components(_verified(docs, rays.withColumn("part", F.col("id")), links_to_hub, id_col, text_col)))
+    # 1. trees searched with the smallest id of their blocks
+    stars = star_links(docs, points, members, id_col, text_col)
+    part_of = written(components(stars))
+    dropped(stars)
 
     # 2. trees in blocks of several parts
     parted = members.join(growing(part_of), "id", "left").select("block", "m", "id", F.coalesce("component", "id").alias("part"))
@@ -413,7 +433,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 3. leaves of families, links between their parts
     everyone = points.join(growing(part_of), "id", "left").select("id", "n", "point", F.coalesce("component", "id").alias("part")).join(growing(families), "part")
     last = written(components(_links(docs, everyone, id_col, text_col)))
-    dropped(reps, stars, parted, families)
+    dropped(reps, parted, families)
 
     final = classes.join(growing(part_of.select(F.col("id").alias("rep"), F.col("component").alias("part"))), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
     final = final.join(growing(last.select(F.col("id").alias("part"), "component")), "part", "left").select("n", "d", "e", F.coalesce("component", "part").alias("component"))
@@ -423,6 +443,33 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
+def star_links(docs: DataFrame, points: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b (ids): the links between the hub of a block (its smallest id) and others of the block; members has block, hub, id, points id, n, point.
+
+    Units of one hub hold about CALL bytes of points, and later LEAF documents whose sets are compared.
+    """
+    own = members.filter("id <> hub").select("id", "hub").distinct()
+    sized = own.join(growing(points.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))), "hub").join(growing(points.select("id", "n")), "id")
+    sized = written(sized.filter("5 * n >= 4 * hub_n and 5 * hub_n >= 4 * n").select("id", "hub", "n"))
+    room = F.col("n") + 4 * GROUPS  # a point has a group for every four to eight shingles
+    total = sized.agg(F.sum(room)).collect()[0][0] or 0
+    searched = _rays(sized, F.sum(room) / CALL).join(growing(points), "id")
+    near = written(_called(searched, "unit", total, near_hub, "id long, hub long, n long"))
+    rays = _rays(near, F.greatest(F.count("*") / LEAF, 8 * F.sum("n") / LEAF_BYTES))
+    found = _verified(docs, rays.withColumn("part", F.col("id")), links_to_hub, id_col, text_col)
+    dropped(sized, near)
+    return found
+
+
+def _rays(stars: DataFrame, load) -> DataFrame:
+    """unit, id, leaf: the documents (leaf 1) of each hub dealt to as many units as its load, with the hub (leaf 0) in each."""
+    spread = stars.groupBy("hub").agg(F.ceil(load).cast("long").alias("spread"))
+    unit = F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("spread")))
+    dealt = stars.join(growing(spread), "hub").select("id", "hub", unit.alias("unit"))
+    hubs = dealt.select("unit", F.col("hub").alias("id"), F.lit(0).cast("long").alias("leaf")).distinct()
+    return dealt.select("unit", "id", F.lit(1).cast("long").alias("leaf")).unionByName(hubs)
+
+
 def _verified(docs: DataFrame, units: DataFrame, links, id_col: str, text_col: str) -> DataFrame:
     """What links finds in units (unit, id, leaf, part), from the whole sets of their documents."""
     units = written(units)

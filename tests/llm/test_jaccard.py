@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard_join as J
@@ -103,6 +104,30 @@ def test_tree_bound():
     assert J.overlaps(sets, pairs[:, 0], pairs[:, 1]).tolist() == want and J.overlaps(sets, pairs[:3, 0], pairs[:3, 1]).tolist() == want[:3]
 
 
+def test_links_come_through_trees(spark, monkeypatch):
+    """Searches of trees leave all pairs that the bound leaves, and links of the documents are found by them."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in rng.integers(3, 900, 60)]
+    sets += [s[rng.random(len(s)) < 0.93] for s in sets for _ in range(9)]
+    points, sizes = [J.point(s) for s in sets], np.array([len(s) for s in sets])
+    of = np.array([*range(60), *np.repeat(np.arange(60), 9)])
+    leaf = (np.arange(len(sets)) >= 60).astype(np.int64)
+    t = pa.table({"unit": of, "id": np.arange(len(sets)), "leaf": leaf, "n": sizes, "point": pa.array([p.tolist() for p in points], pa.list_(pa.int32()))})
+    got = {(r["id"], r["hub"]) for r in J.near_hub(t).to_pylist()}
+    smaller = lambda p, q: min(len(p), len(q))
+    want = {(i, of[i]) for i in range(60, len(sets)) if np.minimum(*[J.folded(x, smaller(points[i], points[of[i]])) for x in (points[i], points[of[i]])]).sum() >= J.needed(sizes[i], sizes[of[i]])}
+    assert got == want and len(got) > 300
+    one = J.CountTree(np.array([J.folded(p, 64) for p in points]), sizes)
+    for p, n in zip(points[:20], sizes, strict=False):
+        q = J.folded(p, 64)
+        assert sorted(one.near(q, n)) == [k for k in range(len(sets)) if np.minimum(one.points[k], q).sum() >= J.needed(n, sizes[k])]
+
+    found, plain = [], J.star_links
+    monkeypatch.setattr(J, "star_links", lambda *a: found.append((r := plain(*a)).count()) or r)
+    groups = J.op10_jaccard_join(spark, "/root/testdata/sf0.01").filter("component_id <> doc_id").count()
+    assert found[0] > 0 and groups > 0
+
+
 def test_components(spark):
     edges = [(n, n + 1) for n in range(40)] + [(100, 200), (200, 150), (7, 7), (300, 301), (301, 300)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,8 +1,9 @@
 """URL filters: host and path rules first; a ratio of two character language models for what no rule fits.
 
 Only DataFrame and SQL functions.  Both models are variable-order Markov models (orders 0 to 2, each smoothed into the
-next lower one) over 43 symbols, so the table of weights has at most 43^3 rows whatever the input: that is the proven
-bound of the one broadcast.
+next lower one) over BASE symbols, so there are BASE^3 weights whatever the input: one array of 1 MB that goes to all
+tasks.  A URL is spelled once as an array of its symbols and scored where it is: its rows are neither spread over
+characters nor exchanged, so that long URLs cost no more a character than short ones.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from .common import table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Symbols 1 to 40; 0 is any other character, 41 pads the start, 42 ends a URL.
-SYMBOLS = LOWER + "0123456789/.-_"
-BASE = 43
+#: Symbols 1 to 48; 0 is any other ASCII character, WIDE one beyond ASCII, PAD stands before the start, END after the last.
+SYMBOLS = LOWER + "0123456789/.-_?=&%:#~+"
+WIDE, PAD, END = (len(SYMBOLS) + n for n in (1, 2, 3))
+BASE = END + 1
 SMOOTH = 4.0
 UNIT = 1_000_000
 #: Share of held-out accepted URLs that the calibrated threshold may block.
@@ -52,22 +54,22 @@ def spelled(url: Column) -> Column:
     return F.translate(F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(url), F.lit("")), UPPER, LOWER)
 
 
-def grams(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and gram: the code of each character of `spelled`, and of the end, with the two symbols before it; one row with null for a null text."""
-    symbol = lambda i: F.call_function("instr", F.lit(SYMBOLS), F.substring(F.col("spelled"), i, F.lit(1)))
-    at = F.col("_at")
-    long = rows.select(*keep, "spelled", F.explode_outer(F.sequence(F.lit(1), F.length("spelled") + 1)).alias("_at"))
-    z = F.when(at <= F.length("spelled"), symbol(at)).otherwise(42)
-    gram = F.when(at > 2, symbol(at - 2)).otherwise(41) * (BASE * BASE) + F.when(at > 1, symbol(at - 1)).otherwise(41) * BASE + z
-    return long.select(*keep, F.when(at.isNotNull(), gram).alias("gram"))
+def grams(spelled: Column) -> Column:
+    """The codes of each character of a text, and of the end, with the two symbols before it; null for a null text."""
+    known = lambda c: F.call_function("instr", F.lit(SYMBOLS), c)
+    symbols = F.transform(F.split(spelled, ""), lambda c: F.when(F.octet_length(c) > 1, WIDE).otherwise(known(c)))
+    symbols = F.when(spelled == "", F.array().cast("array<int>")).otherwise(symbols)
+    y = F.concat(F.array(F.lit(PAD)), symbols)
+    x = F.slice(F.concat(F.array(F.lit(PAD)), y), F.lit(1), F.size(y))
+    before = F.zip_with(x, y, lambda a, b: a * BASE + b)
+    return F.zip_with(before, F.concat(symbols, F.array(F.lit(END))), lambda a, z: a * BASE + z)
 
 
 def weights(trained: DataFrame) -> DataFrame:
-    """gram -> integer weight in 1/UNIT nats: log P(symbol | two before) among accepted less the same among rejected.
+    """weights, one row: for each gram the integer weight in 1/UNIT nats, log P(symbol | two before) among accepted less the same among rejected.
 
     trained: gram and accepted (boolean), one row per character of the training URLs.  Grams never seen get their weight
-    from the lower orders by the same formula in `score`, through the rows for gram prefixes that do exist here; all
-    BASE^3 grams are listed, so no gram lacks a weight.
+    from the lower orders; all BASE^3 grams are listed, so no gram lacks a weight and the array's length is fixed.
     """
     spark = trained.sparkSession
     seen = trained.groupBy("gram").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
@@ -89,7 +91,8 @@ def weights(trained: DataFrame) -> DataFrame:
         one = (F.col(f"{c}_yz") + SMOOTH * zero) / (F.col(f"{c}_y") + SMOOTH)
         return F.log((F.col(c) + SMOOTH * one) / (F.col(f"{c}_xy") + SMOOTH))
 
-    return counts.select(F.col("gram").cast("int").alias("gram"), F.round((log_p("a") - log_p("r")) * UNIT).cast("long").alias("weight"))
+    each = counts.select("gram", F.round((log_p("a") - log_p("r")) * UNIT).cast("long").alias("weight"))
+    return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "weight"))), lambda p: p["weight"]).alias("weights"))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -100,27 +103,26 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     allowed if its log-likelihood difference per character (the end counts as one) reaches the threshold; weight_sum is that
     difference before the division, in 1/UNIT nats, null where a rule decides.  Null URLs are judged as the empty text,
     such without '://' by their whole text.  The models are defined without labels too (all weights 0); without held-out accepted URLs the
-    threshold is 0.  Repeated rows get a row each; an empty table gives no rows.
+    threshold is 0.  URLs are read whole, whatever their length, in time that grows with it.  Repeated rows get a row each; an empty table gives no rows.
     """
     host, path = parts(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     labelled = base.filter("rule is not null").select((F.col("ruled") == "allow").alias("accepted"), F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD).alias("held"), spelled(F.col("url")).alias("spelled"))
-    table_ = F.broadcast(weights(grams(labelled.filter("not held"), ["accepted"])))
+    table_ = weights(labelled.filter("not held").select("accepted", F.explode(grams(F.col("spelled"))).alias("gram")))
 
-    def scored(rows: DataFrame, keep: list[str]) -> DataFrame:
-        """Adds score; the sum of a row's grams is complete before the exchange, on a key of its own."""
-        long = grams(rows.withColumn("uid", F.monotonically_increasing_id()), ["uid", *keep])
-        return long.join(table_, "gram", "left").groupBy("uid", *keep).agg(F.sum("weight").alias("weight_sum"), (F.sum("weight") / F.count("gram")).alias("score")).drop("uid")
+    def scored(rows: DataFrame) -> DataFrame:
+        """Adds weight_sum and score of spelled, null for null."""
+        found = rows.withColumn("grams", grams(F.col("spelled"))).withColumn("weights", table_.scalar())
+        total = F.aggregate("grams", F.lit(0).cast("long"), lambda t, g: t + F.get("weights", g))
+        return found.withColumn("weight_sum", total).withColumn("score", F.col("weight_sum") / F.size("grams")).drop("grams", "weights", "spelled")
 
-    held = scored(labelled.filter("held and accepted"), ["accepted"]).select(F.floor(F.col("score") / 10_000.0).cast("long").alias("bin"))
+    held = scored(labelled.filter("held and accepted")).select(F.floor(F.col("score") / 10_000.0).cast("long").alias("bin"))
     bins = held.groupBy("bin").agg(F.count("*").alias("n"))
     below = bins.withColumn("below", F.sum("n").over(Window.orderBy("bin")) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
     cut = below.filter(F.col("below") <= MISSED * F.col("total")).agg(F.coalesce(F.max("bin") * 10_000, F.lit(0)).alias("threshold"))
-    rows = base.withColumn("spelled", F.when(F.col("rule").isNull(), spelled(F.col("url"))))
-    out = scored(rows, ["page_id", "url", "host", "path", "rule", "ruled"])
-    out = out.withColumn("threshold", cut.scalar())
+    out = scored(base.withColumn("spelled", F.when(F.col("rule").isNull(), spelled(F.col("url"))))).withColumn("threshold", cut.scalar())
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")).alias("verdict"), "weight_sum")
 
 
@@ -130,6 +132,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FITS = " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for _, r in sorted(RULES, key=lambda r: -len(r[1])))
 _KIND = " ".join(f"WHEN '{r}' THEN '{k}'" for k, r in RULES)
+_SYMBOL = f"CASE WHEN strlen(substr(t, {{0}}, 1)) > 1 THEN {WIDE} ELSE strpos('{SYMBOLS}', substr(t, {{0}}, 1)) END"
 SQL = f"""
 WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
 b AS (SELECT *, regexp_extract(after, '^[^/?#]*') AS raw FROM a),
@@ -137,9 +140,8 @@ c AS (SELECT page_id, url, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_
 d AS (SELECT *, CASE {_FITS} END AS rule, row_number() OVER () AS uid, translate(coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE url END, ''), '{UPPER}', '{LOWER}') AS t FROM c),
 e AS (SELECT *, CASE rule {_KIND} END AS ruled, substr(md5(url), 1, 1) IN ('{"', '".join(HELD)}') AS held FROM d),
 pos AS (SELECT uid, ruled, held, t, unnest(range(1, length(t) + 2)) AS i FROM e),
-sym AS (SELECT uid, ruled, held, CASE WHEN i <= length(t) THEN strpos('{SYMBOLS}', substr(t, i, 1)) ELSE 42 END AS z,
-  CASE WHEN i < 2 THEN 41 ELSE strpos('{SYMBOLS}', substr(t, i - 1, 1)) END AS y,
-  CASE WHEN i < 3 THEN 41 ELSE strpos('{SYMBOLS}', substr(t, i - 2, 1)) END AS x FROM pos),
+sym AS (SELECT uid, ruled, held, CASE WHEN i > length(t) THEN {END} ELSE {_SYMBOL.format('i')} END AS z,
+  CASE WHEN i < 2 THEN {PAD} ELSE {_SYMBOL.format('i - 1')} END AS y, CASE WHEN i < 3 THEN {PAD} ELSE {_SYMBOL.format('i - 2')} END AS x FROM pos),
 cnt AS (SELECT x, y, z, count(*) FILTER (ruled = 'allow' AND NOT held) AS a, count(*) FILTER (ruled = 'block' AND NOT held) AS r FROM sym GROUP BY x, y, z),
 sums AS (SELECT x, y, z, a, r,
   sum(a) OVER (PARTITION BY x, y) AS a_xy, sum(r) OVER (PARTITION BY x, y) AS r_xy, sum(a) OVER (PARTITION BY y, z) AS a_yz, sum(r) OVER (PARTITION BY y, z) AS r_yz,

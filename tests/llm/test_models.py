@@ -1,6 +1,7 @@
 """Language ID, URL filters, nearest neighbours, quality classifier."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -80,6 +81,19 @@ def test_urls(spark, same):
     assert url_filters.filter_urls(df.limit(0)).count() == 0
 
 
+def test_long_urls(spark):
+    """Time grows with the length of a URL, and a URL of a million characters scores as its parts say."""
+    long = "http://x.net/" + "a?b=c&d%/é" * 100_000
+    rows = [(1, "http://a.org/one"), (2, "http://b.com/de/two?x=%20"), (3, long), (4, long + "a"), (5, long), (6, "")]
+    start = time.monotonic()
+    got = {r["page_id"]: r for r in url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert time.monotonic() - start < 120 and len(got) == 6
+    assert got[3]["weight_sum"] == got[5]["weight_sum"] != got[4]["weight_sum"] and len(got[3]["path"]) > 1 and got[6]["weight_sum"] is not None
+    kinds = spark.createDataFrame([("?",), ("=",), ("&",), ("%",), ("é",), ("日",), ("!",), ("",), (None,)], "u string").select(url_filters.grams(F.col("u")).alias("g")).collect()
+    codes = [r["g"] for r in kinds]
+    assert len({tuple(g) for g in codes[:5]}) == 5 and codes[4] == codes[5] != codes[6] and len(codes[7]) == 1 and codes[8] is None
+
+
 def test_neighbours(spark):
     t = spark.read.parquet(f"{SMALL}/embeddings.parquet").toArrow().sort_by("vec_id")
     ids, x = t["vec_id"].to_numpy(), ann.rows_of(t, "embedding")

@@ -108,13 +108,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, hash and spans (a, b, holder) in bytes, a row for each different (id, text) with something to remove.
 
     A digest that occurs twice or more is held by the smallest id that has it, at its first place there.  Null and empty
-    texts have no chunks.  Rows with null id hold only what no other row has.
+    texts have no chunks.  Rows with null id hold only what no other row has.  Rows repeated any number of times are read as one list of chunks.
     """
     rows = _rows(docs, id_col, text_col)
     # two written tables: plain exchanges stand on both sides of the join, and a hot digest can be split at run time
     repeated = written(chunks(rows, False).groupBy("d", "e").agg(F.count("*").alias("n"), F.min("id").alias("holder")).filter("n > 1").drop("n"))
     found = chunks(rows, True).join(growing(repeated), ["d", "e"])
-    listed = found.groupBy("id", "hash").agg(F.collect_list(F.struct("k", "a", "b", "d", "e", "holder")).alias("found"))
+    listed = found.groupBy("id", "hash").agg(F.collect_set(F.struct("k", "a", "b", "d", "e", "holder")).alias("found"))  # a set: repeated rows add nothing
 
     def run(t: pa.Table) -> pa.Table:
         col = t["found"].combine_chunks()

@@ -9,10 +9,11 @@ arrays, and occurrences of a word share a run where they skip the same candidate
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,16 @@ class Vocabulary:
     bytes_at: int  # id of <0x00>
     plain: list[bytes]  # id -> what it decodes to
 
+    @cached_property
+    def joins(self) -> dict[int, int]:
+        """keys and values for single pairs."""
+        held = np.flatnonzero(self.keys)
+        return dict(zip(self.keys[held].tolist(), self.values[held].tolist(), strict=True))
+
+    @cached_property
+    def ranks(self) -> list[int]:
+        return self.rank.tolist()
+
 
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
@@ -104,6 +115,21 @@ def skipped(key: np.ndarray, spot: np.ndarray, rate: float) -> np.ndarray:
     return mix(key ^ spot) < np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
 
 
+_ALL = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """`mix` of one number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
+def _spot(left: int, middle: int, right: int) -> int:
+    """`spots` of one candidate."""
+    return _mixed((((left << 42) & _ALL ^ (middle << 21) ^ right) + 0x9E3779B97F4A7C15) & _ALL)
+
+
 def agendas(words: list[str], keys: np.ndarray, v: Vocabulary, rate: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Piece ids of all words one after another, and where each word's begin and how many they are; -c-2 stands for a character c that is no piece.
 
@@ -198,34 +224,41 @@ def _side_by_side(words: list[str], lengths: np.ndarray, keys: np.ndarray, v: Vo
 
 
 def _alone(word: str, key: np.uint64, v: Vocabulary, rate: float) -> list[int]:
-    """The same agenda for one long word, as a heap over a linked list."""
-    import heapq
-
+    """The same agenda for one long word, as a heap of rank and place over a linked list; an entry counts while its place still has that rank."""
     n = len(word)
-    sym, end, back = _start(word, v), list(range(1, n + 1)), list(range(-1, n - 1))
-    alive, heap = [True] * n, []
-
-    def look(starts: list[int]) -> None:
-        at = np.array([a for a in starts if end[a] < n], np.int64)
-        if len(at):
-            middle = np.array([end[a] for a in at])
-            right = np.array([end[m] for m in middle])
-            to = join_of(np.array([sym[a] for a in at]), np.array([sym[m] for m in middle]), v)
-            drop = skipped(np.full(len(at), key, np.uint64), spots(at, middle, right), rate)
-            for a, m, r, t, d in zip(at.tolist(), middle.tolist(), right.tolist(), to.tolist(), drop.tolist(), strict=True):
-                if t >= 0 and not d:
-                    heapq.heappush(heap, (int(v.rank[t]), a, m, r, t))
-
-    look(list(range(n)))
+    chars = _symbols(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32), v)
+    at = np.arange(n - 1)
+    to = join_of(chars[:-1], chars[1:], v)
+    ok = (to >= 0) & ~skipped(np.full(n - 1, key, np.uint64), spots(at, at + 1, at + 2), rate)
+    rank = np.where(ok, v.rank[to], -1)
+    best, made, sym = [*rank.tolist(), -1], [*to.tolist(), -1], chars.tolist()
+    end, back = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = np.sort((rank[ok] << 32) + at[ok]).tolist()
+    joins, ranks, secret, limit = v.joins, v.ranks, int(key), min(int(rate * 2.0**64), 2**64 - 1)
+
     while heap:
-        _, a, m, r, t = heapq.heappop(heap)
-        if not (alive[a] and m < n and alive[m] and end[a] == m and end[m] == r):
+        entry = heapq.heappop(heap)
+        a = entry & 0xFFFFFFFF
+        if best[a] != entry >> 32:
             continue
-        sym[a], end[a], alive[m] = t, r, False
+        m = end[a]
+        r = end[a] = end[m]
+        sym[a], best[m] = made[a], -1
         if r < n:
             back[r] = a
-        look([x for x in (back[a], a) if x >= 0])
-    return [s for s, x in zip(sym, alive, strict=True) if x]
+        for x in (back[a], a):
+            if x < 0:
+                continue
+            best[x], m = -1, end[x]
+            t = joins.get((sym[x] << 16) + sym[m] + 1) if m < n and sym[x] >= 0 and sym[m] >= 0 else None
+            if t is not None and (rate <= 0 or _mixed(secret ^ _spot(x, m, end[m])) >= limit):
+                best[x], made[x] = ranks[t], t
+                heapq.heappush(heap, (ranks[t] << 32) + x)
+    out, a = [], 0
+    while a < n:
+        out.append(sym[a])
+        a = end[a]
+    return out
 
 
 _words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -274,6 +275,17 @@ def test_quality_learns_and_filters(spark, odd_docs, no_docs):
     assert quality_rules.rule_table(no_docs, none).count() == 0 and quality_rules.rule_table(odd_docs, None).count() == odd_docs.count()
 
 
+def test_substrings_of_rows_repeated_many_times(spark):
+    """100,000 copies of a row are read as one list of chunks and lose nothing but what another row keeps."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared = prose(60)
+    twice = f"{prose(20)} {shared} {prose(20)}"
+    docs = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(twice).alias("text")).unionByName(spark.createDataFrame([(3, f"{prose(9)} {shared}")], "doc_id long, text string"))
+    rows = substring_dedup.repeated_spans(docs).collect()
+    assert [r["id"] for r in rows] == [7] and {s["holder"] for s in rows[0]["spans"]} == {3} and sum(s["b"] - s["a"] for s in rows[0]["spans"]) > 200
+
+
 ODD_TEXTS = ["", "a", "  a b  ", "日本\x00a힣", "a" * 300 + " b", "▁x ▁▁y", "\n\n x", "😀 é", " " * 40 + "z"]
 
 
@@ -298,6 +310,19 @@ def test_merge_dropout():
     assert [pool[a : a + n].tolist() for a, n in zip(start, count, strict=True)] == [merge_dropout._alone(w, k, v, 0.3) for w, k in zip(words, keys, strict=True)]
 
 
+def test_merge_dropout_long_words():
+    """A word of half a million letters, in seconds; undropped it is sentencepiece's, dropped it comes back and repeats itself."""
+    import sentencepiece
+
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=PIECES), merge_dropout.vocabulary(PIECES)
+    rng = random.Random(8)
+    word = "".join(rng.choice("abetionsrhé") for _ in range(500_000))
+    assert merge_dropout.encode([word[:20_000]], [0], v, 0.0, 1)[0].tolist() == sp.encode(word[:20_000])
+    start = time.monotonic()
+    ids, again = (merge_dropout.encode([word], [1], v, 0.2, 7)[0] for _ in range(2))
+    assert time.monotonic() - start < 60 and merge_dropout.decode(ids, v) == word and (ids == again).all()
+
+
 def test_merge_dropout_cuts_every_occurrence_by_itself(spark):
     v = merge_dropout.vocabulary(PIECES)
     word = "international"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .blocks import counted, lagged
 
 KEY = ["doc_id", "path"]
 
@@ -22,24 +23,22 @@ def events(nodes: DataFrame) -> DataFrame:
     return own.select(*KEY, "pre", "d", (F.col("name") == "w:p").alias("is_p"), F.inline(both))
 
 
-def addresses(nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
+def addresses(nodes: DataFrame, more: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """A2, A4, A5: doc_id, path, pre, close_seq, i, j, k, l, lineage of every paragraph; more: events of paragraphs that no markup opens.
 
-    Each index counts the drops of the caret to its level; nested paragraphs stand in the order in which they close.  The
-    lineage is read at the opening: a slot holds the last opener whose depth is exactly its own.
+    Each index counts the drops of the caret to its level, anew after a drop to a shallower one; nested paragraphs stand in the order in which they close.  The
+    lineage is read at the opening: a slot holds the last opener whose depth is exactly its own.  block: see blocks.
     """
-    part = Window.partitionBy(*KEY).orderBy("seq", "sub")
-    run = part.rowsBetween(Window.unboundedPreceding, 0)
+    order = ["seq", "sub"]
     ev = events(nodes) if more is None else events(nodes).unionByName(more)
-    ev = ev.withColumn("p", F.coalesce(F.lag("d").over(part), F.lit(1)))
-    drop = lambda to: F.sum(((F.col("p") < to) & (F.col("d") >= to)).cast("int"))
-    slot = lambda s: F.last(F.when(F.col("d") == s, F.struct(F.col("nm").alias("nm"))), ignorenulls=True).over(run)["nm"]
-    ev = ev.select("*", (drop(2).over(run) - 1).alias("i"), *[slot(s).alias(f"s{s}") for s in (1, 2, 3)])
-    ev = ev.withColumn("j", drop(3).over(Window.partitionBy(*KEY, "i").orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    ev = ev.withColumn("k", drop(4).over(Window.partitionBy(*KEY, "i", "j").orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    ends = (F.col("is_p") & F.col("closes")).cast("int")
-    ev = ev.withColumn("l", F.sum(ends).over(Window.partitionBy(*KEY, "i", "j", "k").orderBy("seq", "sub").rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    at = F.when(F.col("closes"), F.struct("seq", "i", "j", "k", "l"))
-    names = F.when(~F.col("closes"), F.array(F.lit("document"), F.col("s1"), F.col("s2"), F.col("s3"), F.when(F.col("pre") >= 0, "p")))
+    ev = lagged(ev, KEY, order, "p", "d", block).withColumn("p", F.coalesce("p", F.lit(1)))
+    drop = lambda to: (F.col("p") < to) & (F.col("d") >= to)
+    ends = F.col("is_p") & F.col("closes")
+    step = lambda cond: cond.cast("int")
+    counts = {"i": (step(drop(2)), None), "j": (step(drop(3)), drop(2)), "k": (step(drop(4)), drop(2) | drop(3)), "l": (step(ends), drop(2) | drop(3) | drop(4))}
+    slots = {f"s{s}": F.when(F.col("d") == s, F.struct(F.col("nm").alias("nm"))) for s in (1, 2, 3)}
+    ev = counted(ev, KEY, order, counts, slots, block)
+    at = F.when(F.col("closes"), F.struct("seq", *[(F.col(x) - 1).alias(x) for x in "ijkl"]))
+    names = F.when(~F.col("closes"), F.array(F.lit("document"), F.col("s1.nm"), F.col("s2.nm"), F.col("s3.nm"), F.when(F.col("pre") >= 0, "p")))
     both = ev.filter("is_p").groupBy(*KEY, "pre").agg(F.max(at).alias("at"), F.max(names).alias("lineage"))
     return both.select(*KEY, "pre", F.col("at.seq").alias("close_seq"), *[F.col(f"at.{x}").cast("int").alias(x) for x in "ijkl"], "lineage")

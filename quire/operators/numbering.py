@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.formats import bullet, format_bullet, list_token
+from .blocks import counted
 from .numbers import level, whole
 
 LEVELS = range(9)
@@ -31,17 +32,15 @@ def numbering(nodes: DataFrame) -> DataFrame:
     return nums.join(broken, "doc_id", "left_anti").join(levels, ["doc_id", "abs_id"]).filter("lvl_pos is not null").select("doc_id", "num_id", "lvl_pos", "fmt", "start")
 
 
-def counters(pars: DataFrame, scope: list[str], order: str = "pre") -> DataFrame:
+def counters(pars: DataFrame, scope: list[str], order: str = "pre", block: int | None = None) -> DataFrame:
     """Adds c_0..c_8, the list counts after each paragraph, and list_pos.
 
-    pars: num_id and ilvl (null where absent).  A paragraph counts at its level and clears deeper ones: a level's count is
-    its running count less that at the last paragraph of a shallower level.  One exchange, one sort.
+    pars: num_id and ilvl (null where absent).  A paragraph counts at its level and clears deeper ones: a level's count starts anew at each paragraph of a shallower
+    level.  One exchange, one sort.  block: see blocks.
     """
-    w = Window.partitionBy(*scope, "num_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    at = lambda m: F.coalesce((F.col("ilvl") == m).cast("int"), F.lit(0))
-    out = pars.select("*", *[F.sum(at(m)).over(w).alias(f"k_{m}") for m in LEVELS])
-    base = lambda m: F.coalesce(F.max(F.when(F.col("ilvl") < m, F.col(f"k_{m}"))).over(w), F.lit(0))
-    out = out.select("*", *[(F.col(f"k_{m}") - base(m)).alias(f"c_{m}") for m in LEVELS]).drop(*[f"k_{m}" for m in LEVELS])
+    mine = pars.withColumn("_list", F.coalesce(F.concat(F.lit("."), "num_id"), F.lit("")))
+    counts = {f"c_{m}": ((F.col("ilvl") == m).cast("int"), F.col("ilvl") < m) for m in LEVELS}
+    out = counted(mine, [*scope, "_list"], [order], counts, block=block).drop("_list")
     live = F.filter(F.array(*[F.col(f"c_{m}").cast("int") for m in LEVELS]), lambda x: x > 0)
     return out.withColumn("list_pos", F.when(F.col("num_id").isNull(), F.array().cast("array<int>")).otherwise(live))
 
@@ -52,12 +51,12 @@ def par_number(ilvl: Column, start: Column) -> Column:
     return count + F.when(F.coalesce(start, F.lit(0)) == 0, 0).otherwise(start - 1)
 
 
-def bullets(pars: DataFrame, formats: DataFrame, scope: list[str], order: str = "pre") -> DataFrame:
+def bullets(pars: DataFrame, formats: DataFrame, scope: list[str], order: str = "pre", block: int | None = None) -> DataFrame:
     """Adds list_id, list_pos and bullet to paragraphs with num_id and ilvl (texts); bullet is '' outside lists, and levels without a known format are bullets.
 
     A level that is none is a bullet without a tab and does not count.
     """
-    counted = counters(pars.withColumn("_odd", F.col("ilvl").isNotNull() & level(F.col("ilvl")).isNull()).withColumn("ilvl", level(F.col("ilvl"))), scope, order)
+    counted = counters(pars.withColumn("_odd", F.col("ilvl").isNotNull() & level(F.col("ilvl")).isNull()).withColumn("ilvl", level(F.col("ilvl"))), scope, order, block)
     dim = formats.withColumnRenamed("lvl_pos", "ilvl")
     out = counted.join(dim, ["doc_id", "num_id", "ilvl"], "left")
     token = list_token(F.coalesce("fmt", F.lit("bullet")), par_number(F.col("ilvl"), F.col("start")))

@@ -210,13 +210,13 @@ def c2_gridspan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(Extraction(_docs(d, "s_nationkey", B.tbl(B.cat(head, F.array_join("items", ""))))).document.select("doc_id", "j", "k", "text"))
 
 
-def _order_lists(spark: SparkSession, sf_dir: str) -> Extraction:
+def _order_lists(spark: SparkSession, sf_dir: str, **options) -> Extraction:
     """A package for each customer: orders as a list from 3, their lines below as letters."""
     o, li = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
     top = o.select("o_custkey", "o_orderkey", F.lit(0).alias("line"), F.lit(0).alias("part"), B.p(B.r(B.t(F.col("o_orderkey").cast("string"))), B.numbered("1", "0")).alias("v"))
     sub = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), B.p(B.r(B.t(F.col("l_partkey").cast("string"))), B.numbered("1", "1")).alias("v"))
     d = _ordered(top.unionByName(sub), "o_custkey", ["o_orderkey", "line", "part"], F.col("v"))
-    return Extraction(_docs(d, "o_custkey", F.array_join("items", ""), parts={"numbering.xml": B.numbering_xml([("decimal", 3), ("lowerLetter", None)])}))
+    return Extraction(_docs(d, "o_custkey", F.array_join("items", ""), parts={"numbering.xml": B.numbering_xml([("decimal", 3), ("lowerLetter", None)])}), **options)
 
 
 _LISTS = """
@@ -236,6 +236,12 @@ def w3_list_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(_order_lists(spark, sf_dir).document.select("doc_id", "l", "list_id", F.concat_ws(",", F.col("list_pos").cast("array<string>")).alias("list_pos")))
 
 
+@query(_LISTS + "SELECT o_custkey AS doc_id, 0 AS i, 0 AS j, 0 AS k, CAST(l AS INTEGER) AS l, CASE WHEN line = 0 THEN '' || CAST(a AS BIGINT) ELSE CAST(a AS BIGINT) || ',' || b END AS list_pos FROM n")
+def w1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2, W1, W3 by blocks: each part's addresses and counts are the work of many tasks."""
+    return _long(_order_lists(spark, sf_dir, part_block=64).document.select("doc_id", "i", "j", "k", "l", F.concat_ws(",", F.col("list_pos").cast("array<string>")).alias("list_pos")))
+
+
 @query("""
 WITH RECURSIVE f AS (SELECT p_partkey + 1 AS n, p_partkey + 1 AS k, '' AS s FROM part UNION ALL SELECT n, (k - 1) // 26, chr(CAST(97 + (k - 1) % 26 AS INTEGER)) || s FROM f WHERE k > 0)
 SELECT n, s AS lower_letter, upper(s) AS upper_letter FROM f WHERE k = 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.formats import html_style, run_strings
-from ..operators import address, cells, fragments, implicit, iterate, merge, numbering, numbers
+from ..operators import address, blocks, cells, fragments, implicit, iterate, merge, numbering, numbers
 from ..sources import parts as P
 from ..sources.packages import part_bytes, unzip
 from ..sources.shred import scan_packages, scan_parts
@@ -29,17 +29,20 @@ class Extraction:
     """The content of a table of packages (doc_id, content), or of their parts (doc_id, path, type, bytes, error: see sources.part_source); attributes are DataFrames, planned on first use.  S1.
 
     styles: see formats.STYLES.  handlers: see fragments.Handler.  nested_tables: whether merged cells follow the table's geometry also after a nested
-    table ("geometry"), or a cell's spans go to the last row that stands when it closes ("latest").
+    table ("geometry"), or a cell's spans go to the last row that stands when it closes ("latest").  part_block: for parts too long for one task, the numbers of tags (openings
+    and closings) of a part that addresses, list counts and run counts deal to a task (None: whole parts); the results are the same.
     """
 
     def __init__(
         self, packages: DataFrame, html: bool = False, duplicate_merged_cells: bool = True, styles: dict | None = None, types: tuple[str, ...] = P.SECTIONS,
-        handlers: dict[str, fragments.Handler] | None = None, nested_tables: str = "geometry",
+        handlers: dict[str, fragments.Handler] | None = None, nested_tables: str = "geometry", part_block: int | None = None,
     ):
         if nested_tables not in ("geometry", "latest"):
             raise ValueError("nested_tables must be 'geometry' or 'latest'")
+        if part_block is not None and part_block < 1:
+            raise ValueError("part_block must be 1 or more")
         self.packages, self.html, self.duplicate, self.style_dim, self.types = packages, html, duplicate_merged_cells, styles, types
-        self.handlers, self.nested_tables = handlers or {}, nested_tables
+        self.handlers, self.nested_tables, self.part_block = handlers or {}, nested_tables, part_block
         self._held: list[str] = []
 
     def _keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
@@ -135,7 +138,7 @@ class Extraction:
         named = F.concat("path", F.lit("#"), F.col("_root").cast("string"))
         inside = lambda c: F.when(F.col(c) >= F.col("_root"), F.col(c)).alias(c)
         below = self.nodes.join(top, KEY).filter("pre >= _root and post <= _end")
-        out = Extraction(self.packages, self.html, self.duplicate, self.style_dim, self.types, self.handlers, self.nested_tables)
+        out = Extraction(self.packages, self.html, self.duplicate, self.style_dim, self.types, self.handlers, self.nested_tables, self.part_block)
         facts = ("par", "run", "cell", "link", "link_child", "top", "formula")
         out.nodes = out._keep(below.select(*[named.alias(c) if c == "path" else inside(c) if c in facts else F.col(c) for c in self.nodes.columns]))
         out.part_rels = out._keep(self.part_rels.join(top.select(*KEY, "_root"), KEY).select("doc_id", named.alias("path"), "rel_id", "target"))
@@ -183,11 +186,11 @@ class Extraction:
         nodes = self._live
         run_map = merge.merge_runs(nodes, self._links, self._run_styles)
         rows = self._keep(fragments.fragments(nodes, run_map, self.part_rels, self._run_styles, self.html, self.handlers))
-        pars = self._keep(numbering.bullets(self._par_properties, self.numbering, KEY))
+        pars = self._keep(numbering.bullets(self._par_properties, self.numbering, KEY, block=self.part_block))
         rows_all = rows.filter("not in_link").unionByName(fragments.link_rows(nodes, rows, self._links)).unionByName(fragments.opening_rows(pars, nodes))
         runs = fragments.gather(rows_all).withColumnRenamed("owner", "pre")
         heading = html_style(F.map_from_arrays(F.array("style"), F.array(F.lit(None).cast("string"))), self.style_dim) if self.html else F.expr(fragments.NO_STYLE)
-        out = pars.join(address.addresses(nodes, implicit.events(pars, nodes)), [*KEY, "pre"]).join(runs, [*KEY, "pre"], "left")
+        out = pars.join(address.addresses(nodes, implicit.events(pars, nodes), self.part_block), [*KEY, "pre"]).join(runs, [*KEY, "pre"], "left")
         out = out.withColumn("html_style", heading)
         none = F.expr("cast(array() as array<struct<html_style:array<string>,text:string,seq:int>>)")
         return self._keep(out.withColumn("runs", F.coalesce("runs", none)))
@@ -282,8 +285,8 @@ class Extraction:
         moved = now.join(was, [*KEY, "into"]).filter("now <> was").join(ends, [*KEY, "into"]).select(*KEY, "seq", (F.col("now") - F.col("was")).cast("int").alias("n"))
         two = F.array(F.struct(F.col("beg").alias("seq"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("seq"), F.lit(False).alias("opens")))
         marks = ranges.select(*KEY, "id", F.inline(two)).filter("seq is not null")
-        so_far = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        events = opened.unionByName(begun).unionByName(moved).unionByName(marks, allowMissingColumns=True).withColumn("at", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+        events = opened.unionByName(begun).unionByName(moved).unionByName(marks, allowMissingColumns=True)
+        events = blocks.counted(events, KEY, ["seq"], {"at": (F.col("n"), None)}, block=self.part_block)
         return events.filter("id is not null").groupBy(*KEY, "id").agg(F.max(F.when(F.col("opens"), F.col("at"))).alias("a"), F.max(F.when(~F.col("opens"), F.col("at"))).alias("b"))
 
     @cached_property

@@ -107,7 +107,7 @@ def is_tc(pars: DataFrame, key: list[str] | None = None) -> DataFrame:
 def children(nodes: DataFrame, of: DataFrame, name: str | None = None) -> DataFrame:
     """The child nodes (of a prefixed name) of the nodes `of` (doc_id, path, pre)."""
     kids = nodes if name is None else nodes.filter(F.col("name") == name)
-    return kids.join(of.select("doc_id", "path", F.col("pre").alias("parent")).distinct(), ["doc_id", "path", "parent"])
+    return kids.join(of.select("doc_id", "path", F.col("pre").alias("parent")).distinct().hint("merge"), ["doc_id", "path", "parent"])
 
 
 def nearest(nodes: DataFrame, name: str) -> DataFrame:
@@ -128,8 +128,8 @@ def nearest(nodes: DataFrame, name: str) -> DataFrame:
 
 def lookup(nodes: DataFrame, of: DataFrame, name: str) -> DataFrame:
     """The nodes of a prefixed name below the nodes `of` (doc_id, path, pre) at any depth, with `within`, the pre of the innermost of these above."""
-    marked = nodes.join(of.select("doc_id", "path", "pre", F.lit("\0").alias("_of")).distinct(), ["doc_id", "path", "pre"], "left")
+    marked = nodes.join(of.select("doc_id", "path", "pre", F.lit("\0").alias("_of")).distinct().hint("merge"), ["doc_id", "path", "pre"], "left")
     inner = nearest(marked.withColumn("name", F.coalesce("_of", "name")), "\0")
     above = nodes.filter(F.col("name") == name)
     up = inner.select("doc_id", "path", F.col("pre").alias("parent"), F.col("found").alias("within"))
-    return above.join(up, ["doc_id", "path", "parent"])
+    return above.join(up.hint("merge"), ["doc_id", "path", "parent"])

@@ -144,6 +144,46 @@ def path(values: np.ndarray, good: np.ndarray, steps: int = 24) -> list[tuple[fl
     return out
 
 
+def _bin(value, grid: tuple[float, ...]):
+    """How many cutoffs of a grid lie below a value: it is above the one at place k if there are more than k."""
+    return F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: value > c))
+
+
+def paths_of(tuned: DataFrame, strata: list[str], steps: int = 24) -> dict[str, list[tuple[float, ...]]]:
+    """The path of each of these strata, of all texts of tuned (stratum, good, v_0 ...), as path() gives it.
+
+    A job for each step counts the texts not yet lost by stratum, rule, place between the cutoffs of its grid, and label: only these counts reach the driver.
+    """
+    grids = [GRIDS[name] for name in RULES]
+    held = [f"b_{r}" for r in range(len(grids))]
+    binned = tuned.filter(F.col("stratum").isin(strata)).select("stratum", "good", *[_bin(F.col(f"v_{r}"), g).alias(held[r]) for r, g in enumerate(grids)])
+    binned = written(binned.groupBy("stratum", "good", *held).agg(F.count("*").alias("n")))
+    cut = {key: [len(g) for g in grids] for key in strata}
+    out: dict[str, list[tuple[float, ...]]] = {key: [] for key in strata}
+    walking = list(strata)
+    for _ in range(steps):
+        kept = functools.reduce(lambda c, key: F.when(F.col("stratum") == key, functools.reduce(lambda a, b: a & b, [F.col(h) <= k for h, k in zip(held, cut[key], strict=True)])).otherwise(c), walking, F.lit(False))
+        counts = {key: np.zeros((len(grids), max(map(len, grids)) + 1, 2), np.int64) for key in walking}
+        for x in binned.filter(kept).select("stratum", "good", "n", F.posexplode(F.array(*held)).alias("rule", "bin")).groupBy("stratum", "rule", "bin", "good").agg(F.sum("n").alias("n")).collect():
+            counts[x["stratum"]][x["rule"], x["bin"], int(x["good"])] = x["n"]
+        still = []
+        for key in walking:
+            above = counts[key][:, ::-1].cumsum(1)[:, ::-1]  # texts in this place or a later one
+            best, take = (0.0, 0, 0, 0.0), None
+            for r, g in enumerate(grids):
+                for k in range(cut[key][r]):
+                    bad, good = (int(x) for x in above[r, k + 1])
+                    if (rank := (bad / (good + 0.5), bad, -r, g[k])) > best and bad:
+                        best, take = rank, (r, k)
+            if take is not None:
+                cut[key][take[0]] = take[1]
+                out[key].append(tuple(g[k] if k < len(g) else math.inf for g, k in zip(grids, cut[key], strict=True)))
+                still.append(key)
+        if not (walking := still):
+            break
+    return out
+
+
 def chosen(rejected: list[tuple[int, int]], n: int, rate: float, level: float) -> int:
     """How many steps of a path to take, given (good, bad) texts of the holdout that each rejects, of n good ones: of the steps that pass, the one with
     most bad less good texts rejected, the first at ties; 0 if none passes or gains."""
@@ -168,17 +208,17 @@ class Cutoffs:
 TUNED = 4
 
 
-def calibrate(labelled: DataFrame, rate: float = 0.03, delta: float = 0.05, per_stratum: int = 4000, seed: int = 13) -> Cutoffs:
+def calibrate(labelled: DataFrame, rate: float = 0.03, delta: float = 0.05, seed: int = 13) -> Cutoffs:
     """The cutoffs of each stratum that provably reject few good documents.
 
     labelled: features and a boolean `good`; each distinct text that passes the base rules counts once.  With probability 1 - delta, in every
     stratum the rules reject at most `rate` of such good documents.  Strata whose holdout has fewer good texts than least_good(rate, delta / strata)
-    cannot pass and get no cutoffs; they still share delta.  The path of a stratum is made from at most about per_stratum texts, which reach the
-    driver as numbers; of the holdout only counts do, and it is never cut.  No labels or no stratum large enough: no cutoffs.
+    cannot pass and get no cutoffs; they still share delta.  The path of a stratum is made from all its texts that are no
+    holdout; of these and of the holdout only counts reach the driver.  No labels or no stratum large enough: no cutoffs.
     """
     once = labelled.groupBy("stratum", "text_hash").agg(F.max("good").alias("good"), *[F.first(c).alias(c) for c in COUNTS]).filter(~_failed())
     fold = F.pmod(F.xxhash64("text_hash", F.lit(seed)), F.lit(TUNED))
-    once = written(once.select("stratum", "good", (fold == 0).alias("tuned"), F.pmod(F.xxhash64("text_hash", F.lit(seed + 1)), F.lit(1 << 30)).alias("place"), *[F.expr(r).alias(f"v_{k}") for k, r in RULES.items()]))
+    once = written(once.select("stratum", "good", (fold == 0).alias("tuned"), *[F.expr(r).alias(f"v_{k}") for k, r in RULES.items()]))
     counts = once.groupBy("stratum").agg(F.count_if(F.col("good") & ~F.col("tuned")).alias("n"), F.count_if("tuned").alias("m"), F.lit(1).alias("one"))
     strata = counts.count()
     level = delta / max(1, strata)
@@ -187,10 +227,7 @@ def calibrate(labelled: DataFrame, rate: float = 0.03, delta: float = 0.05, per_
         return Cutoffs({}, strata)
     n = {r["stratum"]: r["n"] for r in rows}
     of = lambda values, none: functools.reduce(lambda out, x: F.when(F.col("stratum") == x[0], x[1]).otherwise(out), values, none)
-    share = of([(r["stratum"], F.lit(int(min(1.0, per_stratum / max(1, r["m"])) * (1 << 30)))) for r in rows], F.lit(-1))
-    tuned = once.filter("tuned").filter(F.col("place") <= share).toPandas().sort_values(["stratum", "place"])
-    paths = {key: path(part[[f"v_{k}" for k in RULES]].to_numpy(float), part["good"].to_numpy(bool)) for key, part in tuned.groupby("stratum")}
-    paths = {key: sets for key, sets in paths.items() if sets}
+    paths = {key: sets for key, sets in paths_of(once.filter("tuned"), list(n)).items() if sets}
     if not paths:
         return Cutoffs({}, strata)
     over = lambda cut: functools.reduce(lambda a, b: a | b, [F.col(f"v_{r}") > c for r, c in zip(RULES, cut, strict=True) if c < math.inf])

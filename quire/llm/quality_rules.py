@@ -150,13 +150,13 @@ def _bin(value, grid: tuple[float, ...]):
 
 
 def paths_of(tuned: DataFrame, strata: list[str], steps: int = 24) -> dict[str, list[tuple[float, ...]]]:
-    """The path of each of these strata, of all texts of tuned (stratum, good, v_0 ...), as path() gives it.
+    """The path of each of these strata, of all texts of tuned (stratum, good, v_symbols ...), as path() gives it.
 
     A job for each step counts the texts not yet lost by stratum, rule, place between the cutoffs of its grid, and label: only these counts reach the driver.
     """
     grids = [GRIDS[name] for name in RULES]
     held = [f"b_{r}" for r in range(len(grids))]
-    binned = tuned.filter(F.col("stratum").isin(strata)).select("stratum", "good", *[_bin(F.col(f"v_{r}"), g).alias(held[r]) for r, g in enumerate(grids)])
+    binned = tuned.filter(F.col("stratum").isin(strata)).select("stratum", "good", *[_bin(F.col(f"v_{name}"), g).alias(h) for name, g, h in zip(RULES, grids, held, strict=True)])
     binned = written(binned.groupBy("stratum", "good", *held).agg(F.count("*").alias("n")))
     cut = {key: [len(g) for g in grids] for key in strata}
     out: dict[str, list[tuple[float, ...]]] = {key: [] for key in strata}

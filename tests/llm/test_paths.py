@@ -14,6 +14,6 @@ def test_paths_read_every_text(spark):
         v[:, 2] = 4 + 10 * v[:, 2]
         want[stratum] = Q.path(v, good, 5)
         rows += [(stratum, bool(g), *map(float, x)) for g, x in zip(good, v, strict=True)]
-    df = spark.createDataFrame(rows, "stratum string, good boolean, " + ", ".join(f"v_{k} double" for k in range(len(Q.RULES))))
+    df = spark.createDataFrame(rows, "stratum string, good boolean, " + ", ".join(f"v_{k} double" for k in Q.RULES))
     got = Q.paths_of(df, ["a", "b"], 5)
     assert got == want and all(len(x) == 5 for x in want.values())

@@ -71,8 +71,8 @@ def iter_paragraphs(df: DataFrame, nested: str = "tables") -> DataFrame:
 
 
 def nest(rows: DataFrame, value: str, key: str = "doc_id", depth: int = 4) -> DataFrame:
-    """key and tables: long rows (addresses i, j, ... and a value) as nested arrays, in order."""
-    out = rows.select(key, *LETTERS[:depth], F.col(value).alias("v"))
+    """key and tables: long rows (addresses i, j, ... and a value) as nested arrays, in order.  Rows of one key are exchanged once, for all levels."""
+    out = rows.select(key, *LETTERS[:depth], F.col(value).alias("v")).repartition(key)
     for n in reversed(range(depth)):
         inner = F.transform(F.array_sort(F.collect_list(F.struct(LETTERS[n], "v"))), lambda x: x["v"])
         out = out.groupBy(key, *LETTERS[:n]).agg(inner.alias("v"))

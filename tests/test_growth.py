@@ -4,6 +4,7 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from quire.operators import fragments, iterate
 
 
 @pytest.mark.parametrize("name", ["p4_nearest", "p13_links"])
@@ -11,3 +12,22 @@ def test_nothing_that_grows_is_broadcast(spark, name):
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan or name == "p13_links"
     assert "Broadcast" not in plan
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_of_one_owner_meet_in_one_exchange(spark):
+    """Runs are gathered without a window, from lists that begin before the exchange; nesting exchanges rows once for all levels."""
+    rows = spark.createDataFrame(
+        [("d", "p", 1, 0, 0, 0, "a", []), ("d", "p", 1, 2, 0, 1, "", ["b"]), ("d", "p", 1, 3, 0, 0, "c", []), ("d", "p", 1, 4, 0, 0, "d", []), ("d", "p", 1, 9, 0, 1, "", []), ("d", "p", 2, 5, 0, 1, "", ["i"])],
+        "doc_id string, path string, owner int, seq int, sub int, brk int, text string, html_style array<string>",
+    )
+    got = fragments.gather(rows)
+    assert _exchanges(got) == 1 and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["owner"]: [tuple(x) for x in r["runs"]] for r in got.collect()} == {1: [([], "a", 0), (["b"], "cd", 3)], 2: []}
+    cells = spark.createDataFrame([("d", 0, 0, 0, 0, "x"), ("d", 0, 0, 0, 1, "y"), ("d", 1, 0, 0, 0, "z")], "doc_id string, i int, j int, k int, l int, text string")
+    nested = iterate.nest(cells, "text")
+    assert _exchanges(nested) == 1
+    assert [r["tables"] for r in nested.collect()] == [[[[["x", "y"]]], [[["z"]]]]]

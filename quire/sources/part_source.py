@@ -3,8 +3,8 @@
     spark.dataSource.register(PartSource)
     spark.read.format("office_parts").load(folder).filter("type in ('image', 'numbering')")
 
-Files are listed once and dealt to partitions by size.  A task opens each file where it is, reads its central directory and relationships, and then only
-the members that the pushed filters on doc_id, path and type leave.  Paths are those that pyarrow.fs knows (local, file://, s3://, gs://, hdfs://); for
+Files are listed once and dealt to partitions by size and number.  A task opens each file where it is, reads its central directory and relationships, and then only
+the members that the pushed filters on doc_id, path and type leave; a small file is read at once.  Paths are those that pyarrow.fs knows (local, file://, s3://, gs://, hdfs://); for
 other stores packages.read_packages reads whole files by Spark.
 """
 
@@ -20,6 +20,8 @@ from .packages import Package, gathered, last_of_name, message
 
 NAME, SCHEMA = "office_parts", "doc_id string, path string, type string, bytes binary, error string"
 COLUMNS = ("doc_id", "path", "type")
+#: What opening a file costs, in bytes that could be read instead; and the size up to which a file is read in one piece.
+OPENING, WHOLE = 64 << 10, 256 << 10
 
 
 class Files(InputPartition):
@@ -30,7 +32,7 @@ class Files(InputPartition):
 
 
 class PartSource(DataSource):
-    """Options: glob (*.docx), partitionbytes (128 MB of files a task), once (true: of parts with one file name the last by path)."""
+    """Options: glob (*.docx), partitionbytes (128 MB of files a task, each counted as 64 KB more), once (true: of parts with one file name the last by path)."""
 
     @classmethod
     def name(cls) -> str:
@@ -82,11 +84,12 @@ class PartReader(DataSourceReader):
             doc = path.rpartition("/")[2] if path == root else path[len(root) + 1 :]
             if not self.passes(doc_id=doc):
                 continue
-            if held is None or held + size > most:
+            cost = size + OPENING
+            if held is None or held + cost > most:
                 parts.append(Files(uri, []))
                 held = 0
             parts[-1].files.append((doc, path))
-            held += size
+            held += cost
         return parts
 
     def read(self, partition: Files) -> Iterator:
@@ -99,7 +102,7 @@ class PartReader(DataSourceReader):
     def rows(self, store, doc: str, path: str) -> Iterator[tuple]:
         try:
             with store.open_input_file(path) as file:
-                package = Package(file)
+                package = Package(file.read() if file.size() <= WHOLE else file)
                 wanted = [(p, t) for p, t in package.parts() if self.passes(path=p, type=t)]
                 last = last_of_name([p for p, _ in wanted]) if self.options.get("once", "false") == "true" else {p for p, _ in wanted}
                 for p, t in wanted:

@@ -31,3 +31,17 @@ def test_rows_of_one_owner_meet_in_one_exchange(spark):
     nested = iterate.nest(cells, "text")
     assert _exchanges(nested) == 1
     assert [r["tables"] for r in nested.collect()] == [[[[["x", "y"]]], [[["z"]]]]]
+
+
+def test_small_files_are_dealt_by_number(tmp_path):
+    """A task's share counts what opening a file costs: thousands of small files are not one task's work."""
+    from quire.sources import packages
+    from quire.sources.part_source import OPENING, PartReader
+
+    raw = packages.packed([("word/document.xml", b"<a/>"), ("_rels/.rels", b"<Relationships/>")])
+    for n in range(40):
+        (tmp_path / f"{n}.docx").write_bytes(raw)
+    dealt = PartReader({"path": str(tmp_path), "partitionbytes": str(10 * (OPENING + len(raw)))}).partitions()
+    assert [len(p.files) for p in dealt] == [10] * 4
+    rows = [r for p in dealt for b in PartReader({}).read(p) for r in b.to_pylist()]
+    assert sorted(r["doc_id"] for r in rows) == sorted(f"{n}.docx" for n in range(40)) and {r["path"] for r in rows} == {"_rels/.rels"}

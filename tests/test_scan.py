@@ -47,3 +47,30 @@ def test_packages_are_plain_zips():
     at = raw.index(bytes(range(256)))
     bad = packages.Package(raw[:at] + b"?" + raw[at + 1 :])
     assert isinstance(bad.read("ä.bin"), zipfile.BadZipFile) and bad.read("empty") == b""
+
+
+def test_plain_packages_are_read_without_zipfile(monkeypatch):
+    """The central directory is read by one pass over its entries; what is not plain goes to zipfile."""
+    raw = packages.packed([("[Content_Types].xml", b"<x/>"), ("word/ä.xml", XML), ("_rels/.rels", b"<Relationships/>")])
+    odd = io.BytesIO()
+    with zipfile.ZipFile(odd, "w") as z:
+        z.writestr("a", b"1")
+        z.comment = b"a comment"
+    assert packages._directory(odd.getvalue()) is None and packages._directory(raw[:-1]) is None and packages._directory(b"") is None
+    assert packages.Package(odd.getvalue()).read("a") == b"1"
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        want = [(i.filename, i.flag_bits, i.compress_type, i.CRC, i.compress_size, i.file_size, i.header_offset) for i in z.infolist()]
+    monkeypatch.setattr(packages.zipfile, "ZipFile", None)
+    package = packages.Package(raw)
+    assert [tuple(getattr(i, x) for x in packages.Member.__slots__) for i in package.names.values()] == want
+    assert package.read("word/ä.xml") == XML and package.parts() == [("_rels/.rels", "relationships")]
+
+
+def test_quiet_parts_leave_errors_only():
+    """Relationships that few plans read give no nodes in the scan that all share, but their errors do."""
+    good, bad = b"<Relationships><Relationship Id='a'/></Relationships>", b"<Relationships>"
+    out = list(shred._emit([(("r",), good, True), (("p",), XML, False), (("s",), bad, True)], ["k"], [shred.pa.string()]))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert {r["k"] for r in rows} == {"p", "s"} and [r["error"] is None for r in rows if r["k"] == "s"] == [False]
+    assert [r["name"] for r in rows if r["k"] == "p"] == [r["name"] for r in _nodes(XML)]
+    assert rows[0]["attrs"] == [] and ("w:val", "H") in [x for r in rows for x in r["attrs"] or []]

@@ -5,11 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quire.operators import blocks
 from quire.plans.extract import READ, Extraction
 from quire.sources import build as B
 from quire.sources import shred
 
+SMALL = "/root/testdata/sf0.001"
 XML = b'<w:document><w:p><w:pPr><w:tabs><w:tab w:val="x"/></w:tabs><w:numPr><w:ilvl w:val="1"/><w:numId w:val="7"/></w:numPr><w:rPr><w:b/></w:rPr></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>a</w:t></w:r></w:p></w:document>'
 
 
@@ -61,3 +63,11 @@ def test_blocks_and_subtrees_are_merged(spark):
     for out in (blocks.lagged(df, ["key"], ["seq"], "p", "seq", 7), blocks.counted(df, ["key"], ["seq"], {"n": (F.lit(1), None)}, block=7)):
         out.collect()
         assert "SortMergeJoin" in plan(out) and "Broadcast" not in plan(out)
+
+
+def test_roots_of_subtrees_are_merged(spark, monkeypatch):
+    seen = []
+    keep = Extraction._keep
+    monkeypatch.setattr(Extraction, "_keep", lambda self, df, *a, **k: seen.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df, *a, **k))
+    entry.queries()["x3_partial"](spark, SMALL).collect()
+    assert any("SortMergeJoin" in p for p in seen) and not any("Broadcast" in p for p in seen)

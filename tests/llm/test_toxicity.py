@@ -218,3 +218,6 @@ def test_large_corpora_have_thresholds_by_language(spark, monkeypatch):
     sets = [toxicity.language_id.grams(t.decode()) for t, _ in held]
     want = toxicity.language_id.kernel(sets, model.languages) @ model.languages.weights + model.languages.bias
     assert np.allclose([model.languages.outputs(x) for x in sets], want, atol=1e-4)  # sums by gram are the kernel's
+    hashes = np.arange(0, 1 << 32, 40_009, dtype=np.uint64)
+    row = {int(h): k for k, h in enumerate(model.net.known)}
+    assert model.net.rows(hashes).tolist() == [row.get(int(h) % toxicity.PLACES, len(row)) for h in hashes]
